@@ -57,3 +57,21 @@ def ascii_lower(c: Column) -> Column:
 def hash128(c: Column) -> tuple[Column, Column]:
     """Two differently seeded 64-bit hashes of a column; together a 128-bit key."""
     return F.xxhash64(c), F.xxhash64(F.lit(7), c)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder as a table and read it back: lineage ends there and any executor may be lost."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete tables of store() that nothing reads any more."""
+    for df in stored:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

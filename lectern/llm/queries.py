@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, packing, quality, secret_scan, sharding, topk
+from . import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op8_packing, op9_sharding)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op8_packing, op9_sharding, op10_jaccard_join)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,5 +84,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM g),
+t AS (SELECT doc_id, hash(x) AS h1, md5_number_lower(x) AS h2 FROM (SELECT doc_id, unnest(s) AS x FROM g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT n.doc_id, n.n_shingles, k.component_id FROM n JOIN k ON k.a = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op10_jaccard_join": OP10_SQL}
