@@ -350,9 +350,10 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that come first in their component (the least doc_id; of rows that repeat it, the least text), with their columns.
+    """The rows of docs whose doc_id is the least of a component, with their columns.
 
-    Rows without words, and rows whose doc_id is null, link with nothing here and stay.
+    Rows that repeat a doc_id are one document, which stays if one of them is the least of its component and no other goes; rows
+    without words and rows whose doc_id is null stay.
     """
     found = join_components(docs, n, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, sharding, topk
+from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, packing, quality, secret_scan, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -56,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op8_packing, op9_sharding, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op7_license_scan, op8_packing, op9_sharding, op10_jaccard_join)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,5 +103,34 @@ SELECT n.doc_id, n.n_shingles, k.component_id FROM n JOIN k ON k.a = n.doc_id
 """
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _grams_sql(words: str) -> str:
+    return f"list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i+4], ' '))"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+#: Every window of every class against every template, without bands: what exact containment finds.
+OP7_SQL = f"""
+WITH tpl(license, t) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in license_scan.TEMPLATES.items())}),
+tw AS (SELECT license, {_WORDS.format("t")} AS w FROM tpl),
+tg AS (SELECT license, len(w) AS n_words, unnest(list_distinct({_grams_sql("w")})) AS g FROM tw),
+ts AS (SELECT license, count(*) AS size FROM tg GROUP BY license),
+cls(win, stride, top) AS (VALUES {", ".join(f"({w}, {s}, {t})" for w, s, t in license_scan.lengths(license_scan.TEMPLATES))}),
+own AS (SELECT license, n_words, min(win) AS win FROM (SELECT DISTINCT license, n_words FROM tg) JOIN cls ON top >= n_words GROUP BY ALL),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+dg AS (SELECT r, doc_id, unnest({_grams_sql("w")}) AS g, unnest(range(0, greatest(len(w) - 4, 0))) AS p FROM dw),
+hit AS (SELECT * FROM dg JOIN tg USING (g) JOIN own USING (license, n_words) JOIN cls USING (win)),
+win AS (SELECT r, doc_id, license, n_words, g, p, win, unnest(list_filter(range(0, p + 1, stride), lambda a: a + win - 4 > p)) AS a FROM hit),
+cnt AS (SELECT r, doc_id, license, n_words, win, a, count(DISTINCT g) AS c, min(p) AS first FROM win GROUP BY ALL),
+ok AS (SELECT cnt.*, c / size AS containment FROM cnt JOIN ts USING (license) WHERE c / size >= {license_scan.CONTAINMENT})
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(first, struct_pack(x := -containment, y := first)) AS INTEGER) AS first_word, any_value(n_words) AS n_words
+FROM ok GROUP BY r, doc_id, license
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op7_license_scan": OP7_SQL, "op10_jaccard_join": OP10_SQL}
