@@ -39,7 +39,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     long = long.select("doc", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
     pairs = long.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     common = pairs.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    return long.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "t1", "t2", "pos")
+    # another join key than the grouping key: both sides are then shuffled for the join, and the adaptive join can split a hot line
+    turned = F.bitwise_not("h1").alias("turned")
+    met = long.select("doc", "t1", "t2", "pos", turned, "h2").join(common.select(turned, "h2", "keeper"), ["turned", "h2"])
+    return met.where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "t1", "t2", "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
