@@ -50,8 +50,6 @@ def adjacent_chapters(chapters: DataFrame, wanted: DataFrame, order: DataFrame,
     both = there.unionByName(asked)
     line = Window.partitionBy("corpus_id", "group_id").orderBy("pos", "chapter")
     own = F.when(F.col("req_id").isNull(), F.struct("book_ord", "chapter"))
-    before = F.last(own, ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    del before
     # rows of one chapter tie: rank them so that a range can leave them out
     ranked = both.withColumn("rank", F.dense_rank().over(line)).withColumn("own", own)
     by_rank = Window.partitionBy("corpus_id", "group_id").orderBy("rank")

@@ -71,11 +71,9 @@ def with_coordinates(rows: DataFrame) -> DataFrame:
     """chapter, v_first, v_last of every node: the chapter and verse node before it, or it; a chapter ends a verse."""
     sofar = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     is_chapter, is_verse = F.col("type") == "chapter", F.col("type") == "verse"
-    mark = F.struct("number_first", "number_last")
     chapter = F.last(F.when(is_chapter, F.col("number_first")), ignorenulls=True).over(sofar)
     at_chapter = F.last(F.when(is_chapter, F.col("seq")), ignorenulls=True).over(sofar)
     verse = F.last(F.when(is_verse, F.struct("seq", "number_first", "number_last")), ignorenulls=True).over(sofar)
-    del mark
     out = rows.withColumns({"chapter": chapter, "at_chapter": at_chapter, "verse": verse})
     holds = F.col("verse.seq") > F.col("at_chapter")
     return out.withColumns({"v_first": F.when(holds, F.col("verse.number_first")), "v_last": F.when(holds, F.col("verse.number_last"))}).drop("verse", "at_chapter")

@@ -32,9 +32,12 @@ def hits(p: DataFrame, query: DataFrame, mode: str = "occurrence") -> DataFrame:
     word occurs. The query is the few words that a person typed, so it goes to all tasks; postings shuffle by reference only
     after the probe has cut them down, with counts combined before.
     """
-    found = p.join(F.broadcast(query), "lemma")
-    known = query.join(found.select("lemma").distinct(), "lemma", "left_semi").agg(F.count(F.lit(1)).alias("n_all"), F.count_distinct("lemma").alias("n_terms"))
-    grouped = found.groupBy("corpus_id", *REF).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("lemma").alias("terms"))
+    found = p.join(F.broadcast(query), "lemma").select("corpus_id", *REF, "lemma")
+    # one exchange, by reference, which both counts below read: they use the same columns of it, so Spark reuses it
+    cells = found.repartition("corpus_id", *REF).groupBy("corpus_id", *REF, "lemma").agg(F.count(F.lit(1)).alias("n"))
+    there = cells.groupBy("lemma").agg(F.sum("n").alias("n")).where("n > 0").select("lemma")
+    known = query.join(F.broadcast(there), "lemma", "left_semi").agg(F.count(F.lit(1)).alias("n_all"), F.count_distinct("lemma").alias("n_terms"))
+    grouped = cells.groupBy("corpus_id", *REF).agg(F.sum("n").alias("occurrences"), F.count("lemma").alias("terms"))
     # one row
     both = grouped.join(F.broadcast(known))
     return both.where(F.col("occurrences") == F.col("n_all") if mode == "occurrence" else F.col("terms") == F.col("n_terms")).select("corpus_id", *REF, "occurrences")
