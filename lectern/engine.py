@@ -154,7 +154,14 @@ class Engine:
         lights = search.highlights(p, query, wanted).join(wanted, ["corpus_id", *search.REF]).join(starts, "req_id", "left")
         lights = {r["req_id"]: r["h"] for r in lights.select("req_id", F.transform("highlights", lambda h: F.struct(ps.rebase(h["start"], F.col("start_at")).alias("start"), ps.rebase(h["end"], F.col("start_at")).alias("end"))).alias("h")).collect()}
         content = {r["req_id"]: json.loads(r["content"]) for r in ps.passages(n, wanted).collect()}
-        items = [{"reference": self.reference(r["book_ord"], r["chapter"], r["v_first"], r["v_last"]), "content": content.get(i), "highlights": [h.asDict(recursive=True) for h in lights.get(i, [])]} for i, r in enumerate(page)]
+        items = []
+        for i, r in enumerate(page):
+            own = [h.asDict(recursive=True) for h in lights.get(i, [])]
+            if content.get(i) and content[i][0].get("marker") == "cl":
+                for h in own:  # the label stands before the passage
+                    h["start"]["path"][0] += 1
+                    h["end"]["path"][0] += 1
+            items.append({"reference": self.reference(r["book_ord"], r["chapter"], r["v_first"], r["v_last"]), "content": content.get(i), "highlights": own})
         return {"response_type": "search_results", "search_term": term, "total_results": total, "references": items}
 
     def find_passages(self, corpus: str, n: DataFrame, term: str, parts: list[Part], generate_footnotes: bool) -> dict:

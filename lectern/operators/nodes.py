@@ -35,7 +35,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 code = next((r["code"] for r in rows if r["type"] == "book"), None)
                 out += [base | {"code_found": code} | r for r in rows]
                 out += [base | {"code_found": code} | n for n in notes]
-            frame = pd.DataFrame(out, columns=names, dtype=object)
+            frame = pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=object) for c in names})  # None, not NaN
             for c in ("seq", "last", "depth", "number_first", "number_last", "child_count", "position"):
                 frame[c] = frame[c].astype("Int32")
             yield frame

@@ -76,8 +76,8 @@ def passage_nodes(n: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = n.join(b, [*KEYS]).where("depth > 0")
     root, inner = F.col("path")[0], F.get("path", F.lit(1))
     in_para = (F.col("root_type") == "para") & inner.isNotNull()
-    roots = n.where("depth = 1").select(*KEYS, F.col("path")[0].alias("r_root"), F.col("type").alias("root_type"))
-    rows = rows.join(roots, (rows["corpus_id"] == roots["corpus_id"]) & (rows["book_ord"] == roots["book_ord"]) & (F.col("path")[0] == F.col("r_root"))).drop(roots["corpus_id"], roots["book_ord"])
+    roots = n.where("depth = 1").select(*KEYS, F.col("path")[0].alias("own_root"), F.col("type").alias("root_type"))
+    rows = rows.withColumn("own_root", root).join(roots, [*KEYS, "own_root"]).drop("own_root")
     after = (root > F.col("start_at.root")) | ((root == F.col("start_at.root")) & (~in_para | (inner >= F.col("start_at.inner"))))
     inside = F.col("end_at").isNull() | (root < F.col("end_at.root")) | ((root == F.col("end_at.root")) & (F.col("end_at.inner") > 0) & (~in_para | (inner < F.col("end_at.inner"))))
     sliced = rows.where(after & inside)

@@ -7,8 +7,10 @@ partition overwrite; a removed book is deleted as a partition. A full rebuild gi
 
 from __future__ import annotations
 
+import contextlib
 import json
 import threading
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,15 @@ class Maintainer:
         self.stop_words = stop_words or {}
         self.lock = threading.Lock()
 
-    def exclusively(self):
+    @contextlib.contextmanager
+    def exclusively(self) -> Iterator[None]:
         """A second writer at the same time is an error, not a wait."""
         if not self.lock.acquire(blocking=False):
             raise RuntimeError("the tables have a writer already")
-        return self.lock
+        try:
+            yield
+        finally:
+            self.lock.release()
 
     def manifest(self) -> dict[str, list]:
         """path -> [corpus, book, modified] of every file that was read."""
@@ -55,15 +61,12 @@ class Maintainer:
 
     def rebuild(self) -> None:
         """Everything anew."""
-        lock = self.exclusively()
-        try:
+        with self.exclusively():
             files = documents(read_files(self.spark, self.root))
             parsed = parse_files(files)
             n = nodes(parsed, self.catalog)
             write_snapshot(self.store, n, self.index(n), {})
             self.note_all(parsed)
-        finally:
-            lock.release()
 
     def note_all(self, parsed: DataFrame) -> None:
         there = self.present()
@@ -72,11 +75,8 @@ class Maintainer:
 
     def update(self) -> set[tuple[str, int]]:
         """Read what changed since the manifest; returns the (corpus, book) keys that were written anew or removed."""
-        lock = self.exclusively()
-        try:
+        with self.exclusively():
             return self._update()
-        finally:
-            lock.release()
 
     def _update(self) -> set[tuple[str, int]]:
         old, now = self.manifest(), self.present()
