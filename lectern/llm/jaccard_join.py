@@ -13,14 +13,15 @@ have two in one part: every pair of frequent tokens of a part is a signature. m
 power of two; a set signs for the one or two powers that a linked set of smaller or equal size may use), so signatures are
 linear in the set size.
 
-Links. Within a signature, members are verified against the least member (the hub) only; a hot signature is salted by its
-counter, and the hubs of its lanes meet in turn. Components of these links mostly join whole groups. What remains are
-signatures whose members still lie in several components: there, and only there, every pair from different components that the
-sizes and the triangle inequality of the Jaccard distance (both distances to a common hub are known) allow is verified. No link that
-joins components is lost, and a group of m near copies costs about m checks, not m * m.
+Links. Every signature says how many tokens its set can share if it is the signature of the first shared token: that token and what
+follows it, or all frequent ones. Pairs for which that is too little are left out there; a linked pair meets where it is enough.
+Within a signature, members meet the member that can share most (the hub) only; a hot signature is salted by its counter, and the
+hubs of its lanes meet in turn. A pair is looked at further only if the parity bitmaps of its sets allow a link. Each node is verified with one hub first, then with hubs of other components. What remains are
+signatures whose members still lie in several components: there, and only there, every pair from different components that those
+bounds and short bitmaps allow is looked at. No link that joins components is lost, and a group of m near copies costs about m checks, not m * m.
 
 Verification is exact on the hashed n-grams of the whole texts: the hub's text and its members' stream through a task, one set
-at a time. A bit table of bounded size keeps texts without candidates from the shuffle.
+at a time. A bit table of bounded size keeps texts without candidates from the shuffle, and texts travel compressed.
 
 Defined results: words are what ASCII white space parts, in ASCII lower case. Fewer than n words: the whole sequence is the one
 token; none, or a null text: the empty set, which links with nothing. Rows that repeat an id are rows of their own; a
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, ship, store
@@ -46,22 +47,49 @@ SKETCH_BITS, FREQUENT_TIMES, FREQUENT_LEAST = 20, 2, 32
 #: Members of a lane of a hot signature, and of a chunk of a hub's candidates.
 LANE, CHUNK = 512, 256
 BLOCK_BITS, FLAG_BITS = 12, 22
-CACHE_ENTRIES = 400_000
+#: Bytes that are part of a word: all but [\x20\x09-\x0D].
+IN_WORD = np.array([c not in b" \t\n\x0b\f\r" for c in range(256)])
+LONG, LEAST_BITS, MOST_BITS = 256, 512, 1 << 14
 _MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
-class WordHash(dict):
+class WordHash:
+    """Hashes of the words of a text, all at once.
+
+    A word is the sum over its bytes of a random value of the byte times a power of an odd number, modulo 2**64. Running sums over the
+    whole text and the inverse powers give every word's sum whatever its place. Words of more than LONG bytes, where such sums
+    can be made to meet, take another hash.
+    """
+
     def __init__(self, seed: int):
-        super().__init__()
         self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+        random = np.random.default_rng(1234 + seed)
+        self.value = random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.odd = 0x5851F42D4C957F2D + 2 * seed
+        self.grow(1 << 12)
+
+    def grow(self, size: int) -> None:
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(size, self.odd, dtype=np.uint64))
+            self.inverse = np.cumprod(np.full(size, pow(self.odd, -1, 1 << 64), dtype=np.uint64))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text, dtype=np.uint8)
+        if len(raw) > len(self.power):
+            self.grow(max(len(raw), 2 * len(self.power)))
+        inner = np.zeros(len(raw) + 2, dtype=bool)
+        inner[1:-1] = IN_WORD[raw]
+        edge = np.flatnonzero(inner[1:] != inner[:-1])
+        start, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum(self.value[raw] * self.power[: len(raw)], out=sums[1:])
+            out = (sums[end] - sums[start]) * self.inverse[start]
+        size = end - start
+        if len(size) and size.max() > LONG:
+            for i in np.flatnonzero(size > LONG):
+                out[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]], self.seed)
+        return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,17 +101,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def tokens(text: str | None, words: WordHash, n: int = N) -> np.ndarray:
     """The sorted distinct hashes of the word n-grams of a text."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    codes = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    width = min(n, len(parts))
+    codes = mix(words(text.encode("utf-8", "surrogatepass").lower())) if text else np.zeros(0, dtype=np.uint64)
+    if not len(codes):
+        return codes
+    width = min(n, len(codes))
     with np.errstate(over="ignore"):
-        h = np.full(len(codes) - width + 1, np.uint64(width * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        for j in range(width):
-            h = (h + codes[j : len(codes) - width + 1 + j]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j)
-            h ^= h >> np.uint64(32)
-    return np.unique(mix(h))
+        # a sum of mixed codes under odd factors, one for each place
+        h = codes[: len(codes) - width + 1] + np.uint64(width)
+        for j in range(1, width):
+            h += codes[j : len(codes) - width + 1 + j] * np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64))
+    h = np.sort(mix(h))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def bitmap(tok: np.ndarray) -> bytes:
+    """The parities of the tokens over twice as many bits as tokens, rounded up to a power of two within bounds."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 2 << (len(tok) - 1).bit_length()))
+    return np.packbits((np.bincount((tok % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+#: Longs of the short bitmap that the join of open signatures compares.
+SHORT = 8
+
+
+def short_bitmap(bits: bytes) -> np.ndarray:
+    """A bitmap folded, or repeated with zeros, to SHORT longs: bits that differ in it differ in the whole one."""
+    x = np.frombuffer(bits, dtype=np.int64)
+    return np.bitwise_xor.reduce(x.reshape(-1, SHORT), axis=0) if len(x) >= SHORT else np.concatenate([x, np.zeros(SHORT - len(x), dtype=np.int64)])
+
+
+def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """False only if the sets cannot be linked: bits that differ are at most as many as tokens that only one set has.
+
+    The longer bitmap folds to the shorter, as a token's place in it is its place in the longer modulo the shorter.
+    """
+    if n_a * 100 < n_b * percent or n_b * 100 < n_a * percent:
+        return False
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) != len(y):
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+    differ = (int.from_bytes(x.tobytes()) ^ int.from_bytes(y.tobytes())).bit_count()
+    # with d tokens in one set only, both = (n_a + n_b - d) / 2 and either = (n_a + n_b + d) / 2
+    return 100 * (n_a + n_b - differ) >= percent * (n_a + n_b + differ)
 
 
 def node_of(tok: np.ndarray, seed: int) -> tuple[int, int]:
@@ -127,27 +186,28 @@ def sum_blocks(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """A row (doc_id, n, node, other) for each document and, from each task, its rows (block, counts) of the sketch."""
+    """A row (doc_id, n, node, other, bits) for each document and, from each task, its rows (block, counts) of the sketch."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, known = WordHash(seed), np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
         for batch in batches:
-            sizes, nodes, others = [], [], []
+            sizes, nodes, others, bits = [], [], [], []
             for text in batch["text"]:
                 tok = tokens(text, words, n)
                 node, other = node_of(tok, seed) if len(tok) else (None, None)
                 sizes.append(len(tok))
                 nodes.append(node)
                 others.append(other)
+                bits.append(bitmap(tok) if len(tok) else None)
                 if node is not None and node not in known:
                     known.add(node)
                     np.add.at(counts, (tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": pd.array(sizes, dtype="Int64"), "node": pd.array(nodes, dtype="Int64"), "other": pd.array(others, dtype="Int64"), "block": pd.array([None] * len(sizes), dtype="Int32"), "counts": None})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": pd.array(sizes, dtype="Int64"), "node": pd.array(nodes, dtype="Int64"), "other": pd.array(others, dtype="Int64"), "bits": pd.Series(bits, dtype=object), "block": pd.array([None] * len(sizes), dtype="Int32"), "counts": pd.Series([None] * len(sizes), dtype=object)})
         blocks = count_blocks(counts)
         if len(blocks):
-            yield blocks.assign(doc_id=None, n=None, node=None, other=None)[["doc_id", "n", "node", "other", "block", "counts"]].astype({c: "Int64" for c in ("doc_id", "n", "node", "other")})
+            yield blocks.assign(doc_id=None, n=None, node=None, other=None, bits=None)[["doc_id", "n", "node", "other", "bits", "block", "counts"]].astype({c: "Int64" for c in ("doc_id", "n", "node", "other")})
 
-    return docs.mapInPandas(read, "doc_id long, n long, node long, other long, block int, counts binary")
+    return docs.mapInPandas(read, "doc_id long, n long, node long, other long, bits binary, block int, counts binary")
 
 
 def needed(n: int, percent: int) -> int:
@@ -161,27 +221,29 @@ def parts_of(n: int, percent: int) -> list[int]:
     return sorted({max(1, (1 << (k.bit_length() - 1)) >> 4) for k in range(smallest, n + 1) if k in (smallest, n) or k & (k - 1) == 0}) if n < 64 else sorted({max(1, 1 << e >> 4) for e in range(smallest.bit_length() - 1, n.bit_length())})
 
 
-def signatures(tok: np.ndarray, freq: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, counter of its rarer token) of a set; freq holds the counters of its tokens."""
+def signatures(tok: np.ndarray, freq: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, counter of its rarer token, most tokens it can share) of a set; freq holds the counters of its tokens.
+
+    If a rare token is the first that two sets share, they share no more than it and what follows it; if the first is frequent,
+    no more than their frequent tokens. The last column is that number; a counter of 0 marks a rare token.
+    """
     n = len(tok)
     if needed(n, percent) < 2:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # linked with equal sets only
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # linked with equal sets only
     frequent = freq > limit
     order = np.lexsort((tok, freq))  # rare tokens come first, as their counters are lower
     first = n - needed(n, percent)
-    head = order[: first + 1]
-    out, hot = [tok[head[~frequent[head]]]], []
-    hot.append(np.zeros(len(out[0]), dtype=np.int64))
+    n_rare = n - int(frequent.sum())
+    singles = order[: min(first + 1, n_rare)]
+    out, hot, left = [tok[singles]], [np.zeros(len(singles), dtype=np.int64)], [n - np.arange(len(singles))]
     for m in parts_of(n, percent):
-        tail = order[: first + m + 1]
-        own = tail[frequent[tail]]
+        own = order[n_rare : first + m + 1]
         if len(own) < 2:
             continue
         part = (mix(tok[own]) >> np.uint64(8)) % np.uint64(m)
         own = own[np.lexsort((tok[own], part))]
         part = np.sort(part)
-        gap = 1
-        while gap < len(own):
+        for gap in range(1, len(own)):
             same = part[gap:] == part[:-gap]
             if not same.any():
                 break
@@ -189,37 +251,58 @@ def signatures(tok: np.ndarray, freq: np.ndarray, limit: int, percent: int) -> t
             with np.errstate(over="ignore"):
                 out.append(mix(tok[a] * np.uint64(0x9E3779B97F4A7C15) + mix(tok[b]) + np.uint64(m)))
             hot.append(np.minimum(freq[a], freq[b]))
-            gap += 1
-    return np.concatenate(out), np.concatenate(hot)
+            left.append(np.full(len(a), n - n_rare))
+    return np.concatenate(out), np.concatenate(hot), np.concatenate(left)
+
+
+#: Bits of a set's size, and of what it can share, in the packed column of a signature; larger ones count as the largest.
+SIZE_BITS = 25
+
+
+def packed_facts(lanes: np.ndarray, n: int, left: np.ndarray) -> np.ndarray:
+    top = (1 << SIZE_BITS) - 1
+    left = np.full(len(left), top) if n >= top else left
+    return np.minimum(lanes, 8191).astype(np.int64) << 2 * SIZE_BITS | min(n, top) << SIZE_BITS | left.astype(np.int64)
+
+
+def facts(c: Column) -> tuple[Column, Column, Column]:
+    """lanes, n, left of a packed column."""
+    mask = F.lit((1 << SIZE_BITS) - 1).cast("long")
+    return F.shiftright(c, 2 * SIZE_BITS).cast("int"), F.shiftright(c, SIZE_BITS).bitwiseAND(mask), c.bitwiseAND(mask)
+
+
+def enough(left: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets of n_a and n_b tokens can be linked that share `left` at most."""
+    return left * (100 + percent) >= (n_a + n_b) * percent
 
 
 def sign(docs: DataFrame, table, limit: int, seed: int, n: int, percent: int) -> DataFrame:
-    """(sig, lanes, node) of every distinct set of a task."""
+    """(sig, facts, node) of every distinct set of a task; facts packs lanes, n and left."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, known = WordHash(seed), table.value, set()
         for batch in batches:
-            sigs, lanes, nodes, held = [], [], [], 0
+            sigs, packed, nodes, held = [], [], [], 0
             for text in batch["text"]:
                 tok = tokens(text, words, n)
                 if not len(tok) or (node := node_of(tok, seed)[0]) in known:
                     continue
                 known.add(node)
-                sig, hot = signatures(tok, counts[(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64), limit, percent)
+                sig, hot, left = signatures(tok, counts[(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64), limit, percent)
                 sigs.append(sig)
-                lanes.append(1 + hot // LANE)
+                packed.append(packed_facts(1 + hot // LANE, len(tok), left))
                 nodes.append(np.full(len(sig), node, dtype=np.int64))
                 held += len(sig)
                 if held > 500_000:
-                    yield frame(sigs, lanes, nodes)
-                    sigs, lanes, nodes, held = [], [], [], 0
+                    yield frame(sigs, packed, nodes)
+                    sigs, packed, nodes, held = [], [], [], 0
             if held:
-                yield frame(sigs, lanes, nodes)
+                yield frame(sigs, packed, nodes)
 
-    def frame(sigs, lanes, nodes) -> pd.DataFrame:
-        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "lanes": np.concatenate(lanes).astype(np.int32), "node": np.concatenate(nodes)})
+    def frame(sigs, packed, nodes) -> pd.DataFrame:
+        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "facts": np.concatenate(packed), "node": np.concatenate(nodes)})
 
-    return docs.select("text").mapInPandas(emit, "sig long, lanes int, node long")
+    return docs.select("text").mapInPandas(emit, "sig long, facts long, node long")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -228,19 +311,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, seed: int, n: int) -> DataFrame:
-    """(hub, node, both, either) of distinct pairs (hub, node); texts has (node, text) of every node in them."""
+    """(hub, node, both, either) of distinct pairs (hub, node); texts has (node, packed text) of every node in them."""
     counted = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     chunked = pairs.join(counted, "hub").select("hub", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node")
-    members = chunked.join(texts, "node").select("hub", "chunk", F.lit(1).alias("member"), "node", "text")
-    hubs = chunked.select("hub", "chunk").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "chunk", F.lit(0).alias("member"), F.col("hub").alias("node"), "text")
+    members = chunked.join(texts, "node").select("hub", "chunk", F.lit(1).alias("member"), "node", "packed")
+    hubs = chunked.select("hub", "chunk").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "chunk", F.lit(0).alias("member"), F.col("hub").alias("node"), "packed")
     met = members.unionByName(hubs).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, hub = WordHash(seed), np.zeros(0, dtype=np.uint64)
         for batch in batches:
             out = []
-            for h, is_member, node, text in zip(batch["hub"], batch["member"], batch["node"], batch["text"], strict=True):
-                tok = tokens(text, words, n)
+            for h, is_member, node, packed in zip(batch["hub"], batch["member"], batch["node"], batch["packed"], strict=True):
+                tok = tokens(unpack(packed), words, n)
                 if is_member:
                     out.append((h, node, *similarity(hub, tok)))
                 else:
@@ -250,6 +333,18 @@ def verify(pairs: DataFrame, texts: DataFrame, seed: int, n: int) -> DataFrame:
     return met.mapInPandas(check, "hub long, node long, both long, either long")
 
 
+def pack(text: str) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(text.encode("utf-8", "surrogatepass"))
+
+
+def unpack(packed: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def flag_table(ids: DataFrame) -> np.ndarray:
     """Which of 2**FLAG_BITS buckets the ids fall in."""
 
@@ -267,62 +362,121 @@ def bucket(ids: np.ndarray) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, seed: int, n: int) -> DataFrame:
-    """(node, text) of the wanted nodes, from one document of each."""
-    chosen = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = store(chosen)
-    flags = docs.sparkSession.sparkContext.broadcast(flag_table(chosen.where("doc_id is not null")))
+    """(node, packed text) of the wanted nodes, from one document of each."""
+    chosen = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flag_table(chosen.where("doc_id is not null"))))
 
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(flags.value[bucket(ids.fillna(0).to_numpy(dtype=np.int64))], index=ids.index) | ~known
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.unpackbits(flags.value).astype(bool)
+        for batch in batches:
+            ids = batch["doc_id"].astype("Int64")
+            known = table[bucket(ids.fillna(0).to_numpy(dtype=np.int64))] | ids.isna().to_numpy()
+            own = batch[known & batch["text"].notna().to_numpy()]
+            yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "packed": pd.Series([pack(t) for t in own["text"]], index=own.index, dtype=object)})
 
-    likely = docs.where(maybe("doc_id"))
-    met = likely.join(chosen.select(F.col("doc_id").alias("c_doc"), "node"), F.col("doc_id").eqNullSafe(F.col("c_doc"))).select("node", "text")
+    packed = docs.mapInPandas(likely, "doc_id long, packed binary")
+    met = packed.join(chosen.select(F.col("doc_id").alias("c_doc"), "node"), F.col("doc_id").eqNullSafe(F.col("c_doc"))).select("node", "packed")
 
-    # rows that repeat an id may hold another text
+    # rows that repeat an id meet here; of them, one that has the node's set stays
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHash(seed)
+        words, known = WordHash(seed), set()
         for batch in batches:
-            yield batch[[len(t) > 0 and node_of(t, seed)[0] == node for node, t in zip(batch["node"], (tokens(x, words, n) for x in batch["text"]), strict=True)]]
+            keep = []
+            for node, blob in zip(batch["node"], batch["packed"], strict=True):
+                good = node not in known and node_of(tokens(unpack(blob), words, n), seed)[0] == node
+                keep.append(good)
+                if good:
+                    known.add(node)
+            yield batch[keep]
+
+    return store(met.mapInPandas(same, "node long, packed binary"))
+
 
-    return store(met.mapInPandas(same, "node long, text string").dropDuplicates(["node"]))
+def short_column(bits: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def short(blobs: pd.Series) -> pd.Series:
+        return pd.Series([short_bitmap(b) for b in blobs], index=blobs.index, dtype=object)
+
+    return short(bits)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, node) that sizes and bitmaps do not rule out."""
+    known = sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    hubs = known.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("bits").alias("bits_hub"))
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, n_a: pd.Series, b: pd.Series, n_b: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*x, percent) for x in zip(a, n_a, b, n_b, strict=True)], dtype=bool)
+
+    return pairs.join(known, "node").join(hubs, "hub").where(may("bits", "n", "bits_hub", "n_hub")).select(*pairs.columns)
 
 
 def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes, enough to join every component; members are (sig, lanes, node)."""
-    lane = F.when(F.col("lanes") > 1, F.pmod(F.xxhash64("node"), "lanes")).otherwise(0).cast("int")
-    own = Window.partitionBy("sig", "lane")
-    first = members.withColumn("lane", lane).withColumns({"hub": F.min("node").over(own), "top": F.max("node").over(own)})
-    first = store(first.where("hub <> top or lanes > 1").select("sig", "lanes", "node", "hub"))
-    hubs = first.where("lanes > 1").select("sig", F.col("hub").alias("node")).distinct()
-    upper = hubs.withColumn("hub", F.min("node").over(Window.partitionBy("sig")))
-    pairs = store(first.select("hub", "node").union(upper.select("hub", "node")).where("hub <> node").distinct())
-    wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
-    texts = texts_of(docs, wanted, sets, seed, n)
-    checked = store(verify(pairs, texts, seed, n))
+    """Links (u, v) between nodes, enough to join every component; members are (sig, facts, node)."""
     linked = F.col("both") * 100 >= F.col("either") * percent
-    links = checked.where(linked).select(F.col("hub").alias("u"), F.col("node").alias("v"))
-
-    roots = store(components(links))
-    rooted = first.join(roots, "node", "left").select("sig", "node", "hub", F.coalesce("root", "node").alias("root"))
-    open_sigs = rooted.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sig")
-    size = sets.where("node is not null").groupBy("node").agg(F.max("n").alias("n"))
-    distance = checked.select("hub", "node", (1 - F.col("both") / F.col("either")).alias("d"))
-    rest = rooted.join(open_sigs, "sig", "left_semi").distinct().join(size, "node").join(distance, ["hub", "node"], "left")
-    # a hub is at distance 0 of itself; only distances to the same hub compare
-    rest = store(rest.select("sig", "node", "hub", "root", "n", F.when(F.col("hub") == F.col("node"), 0.0).otherwise(F.col("d")).alias("d")))
+
+    def links(checked: DataFrame) -> DataFrame:
+        return checked.where(linked).select(F.col("hub").alias("u"), F.col("node").alias("v"))
+
+    lanes, size, left = facts(F.col("facts"))
+    # a node falls into another lane of each of its hot signatures, so that it meets the best hub of its group in some
+    lane = F.when(lanes > 1, F.pmod(F.xxhash64("sig", "node"), lanes)).otherwise(0).cast("int")
+    own = Window.partitionBy("sig", "lane")
+    # the hub of a lane is the member that can share most; in a group of near copies that is one with few edits
+    best = F.struct(left.alias("left"), "node", size.alias("n"))
+    met = members.withColumn("lane", lane).withColumns({"hub": F.max(best).over(own), "low": F.min("node").over(own), "high": F.max("node").over(own)})
+    first = store(met.where((F.col("low") != F.col("high")) | (lanes > 1)).select("sig", lanes.alias("lanes"), "node", size.alias("n"), left.alias("left"), "hub"))
+    tops = first.where("lanes > 1").select("sig", "hub").distinct().withColumn("top", F.max("hub").over(Window.partitionBy("sig")))
+    upper = tops.select("sig", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.left").alias("left"), F.col("top").alias("hub"))
+    meets = first.select("sig", "node", "n", "left", "hub").union(upper)
+    fit = enough(F.least("left", "hub.left"), F.col("n"), F.col("hub.n"), percent) & (F.col("hub.node") != F.col("node"))
+    pairs = meets.where(fit).groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max("hub.left").alias("shares"))
+    pairs = store(possible(pairs, sets, percent))
+    # pairs of different components within a signature may need texts of nodes that no hub pair holds; they come later
+    texts = texts_of(docs, pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), sets, seed, n)
+
+    # each node with its best hub first: that joins most groups, and spares the other hubs of the same group
+    once = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shares", "hub")).alias("hub")).select("hub", "node")
+    found = store(links(verify(once, texts, seed, n)))
+    roots = store(components(found))
+    stored_pairs, pairs = pairs, pairs.select("hub", "node")
+    others = apart(pairs.join(once, ["hub", "node"], "left_anti"), roots)
+    found = store(found.union(links(verify(store(others), texts, seed, n))))
+    roots = store(components(found))
+
+    rooted = first.select("sig", "node", "n", "left").distinct().join(roots, "node", "left").select("sig", "node", "n", "left", F.coalesce("root", "node").alias("root"))
+
+    def open_(rows: DataFrame) -> DataFrame:
+        """Signatures whose members lie in several components, and their least size."""
+        return rows.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("least")).where("a <> b").select("sig", "least")
+
+    # members that cannot be linked with even the smallest member go; most signatures are then of one component
+    alive = rooted.join(open_(rooted), "sig").where(enough(F.col("left"), F.col("n"), F.col("least"), percent)).drop("least")
+    short = sets.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits")).select("node", short_column(F.col("bits")).alias("short"))
+    rest = store(alive.join(open_(alive).select("sig"), "sig", "left_semi").join(short, "node"))
     a, b = rest.alias("a"), rest.alias("b")
-    near = (F.col("a.hub") != F.col("b.hub")) | F.col("a.d").isNull() | F.col("b.d").isNull() | (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - percent / 100 + 1e-9)
-    fits = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    open_pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits & near)
-    open_pairs = open_pairs.select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct().join(checked, ["hub", "node"], "left_anti")
-    more = verify(store(open_pairs), texts, seed, n).where(linked)
-    out = store(links.union(more.select("hub", "node")))
-    forget(first, pairs, rest, checked, texts)
+    differ = sum((F.bit_count(F.col("a.short")[i].bitwiseXOR(F.col("b.short")[i])) for i in range(SHORT)), F.lit(0))
+    total = F.col("a.n") + F.col("b.n")
+    fits = enough(F.least("a.left", "b.left", "a.n", "b.n"), F.col("a.n"), F.col("b.n"), percent) & ((total - differ) * 100 >= (total + differ) * percent)
+    cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits)
+    cross = cross.select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
+    cross = store(possible(cross, sets, percent).join(pairs, ["hub", "node"], "left_anti"))
+    more = cross.select(F.col("hub").alias("node")).union(cross.select("node")).distinct()
+    more_texts = texts_of(docs, more, sets, seed, n) if cross.take(1) else texts
+    out = store(found.union(links(verify(cross, more_texts, seed, n))))
+    forget(first, stored_pairs, rest, cross, texts, more_texts)
     return out
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    of_node = roots.select("node", F.col("root").alias("node_root"))
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    met = pairs.join(of_node, "node", "left").join(of_hub, "hub", "left")
+    return met.where(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).select("hub", "node")
+
+
 def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
@@ -331,7 +485,7 @@ def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     seed = 0
     while True:
         both = store(read_sets(docs, seed, n))
-        sets = both.where("block is null").select("doc_id", "n", "node", "other")
+        sets = both.where("block is null").select("doc_id", "n", "node", "other", "bits")
         meet = sets.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b"))
         if not meet.where("a <> b").take(1):
             break
