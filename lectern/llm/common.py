@@ -20,8 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts can be long, and a worker holds a batch in several forms.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless they find it by PYTHONPATH or in their working folder."""
+    """Ready the session for Python stages: small batches, and this package on the executors.
+
+    The package is sent unless executors find it by PYTHONPATH or in their working folder.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p} | {os.getcwd()}
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_lectern_shipped", False):

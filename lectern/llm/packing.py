@@ -24,7 +24,7 @@ from .common import ship
 LENGTH, END_ID = 2048, 1
 SPACES = (" ", "\n")
 #: Entries of the cache of words in a worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 

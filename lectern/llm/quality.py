@@ -31,7 +31,7 @@ from .common import ship
 FOLDS, CUT = 5, 0.3
 #: The bound of the training sample, in rows; the features are hashed to 2**BITS columns.
 MAX_SAMPLE, BITS = 4000, 18
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 _KINDS = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
