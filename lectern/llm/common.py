@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch, where the session leaves Spark's default: texts can be long, and a worker holds a batch in several forms.
-BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
+#: Bytes of an Arrow batch: texts can be long, and a worker holds a batch in several forms.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready the session for Python stages: small batches, and this package on the executors.
+    """Ready the session for Python stages: batches bounded by bytes, and this package on the executors.
 
     The package is sent unless executors find it by PYTHONPATH or in their working folder.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        spark.conf.set(key, str(BATCH_BYTES))
     paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p} | {os.getcwd()}
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_lectern_shipped", False):
@@ -44,19 +46,51 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The checkpoint folder all executors share: spark.checkpoint.dir.
+
+    Without it, a folder of this machine serves a local session, where driver and executor are one process; on a cluster that would
+    lose data, so it is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; later plans read it, whichever executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def lean(stage: Callable) -> Callable:
+    """A stage over batches whose worker, when it ends, gives back the memory that its caches and batches took.
+
+    Workers are kept for later stages and would hold it meanwhile.
+    """
+
+    @functools.wraps(stage)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from stage(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the C library that has it
+        pass
 
 
 def ascii_lower(c: Column) -> Column:

@@ -3,29 +3,33 @@
 A document of n tokens (its ids and the end id) is cut into pieces whose lengths are powers of two: as many of the largest
 length as fit, then the binary digits of the rest. Every piece is a sequence of its own, so no sequence crosses documents,
 none needs padding, and equal lengths form a bucket that batches without waste. Nothing is shuffled: pieces are numbered by
-partition and row of the scan.
+partition and row of the scan, so the numbers hold for one result: write it, or they may differ where its input is dealt anew.
 
-Defined results: a null text counts as empty, so that its document is the end id alone. Rows that repeat are packed each.
+Ids are those of the tokenizers library with its default settings: the string of an added token in a text is that token.
+
+Defined results: a null text counts as empty, so that its document is the end id alone. Rows that repeat are packed each. A text of
+any length is one row of a task; its pieces go on in batches of bounded size. An empty table gives no pieces. Columns other than
+the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 LENGTH, END_ID = 2048, 1
-SPACES = (" ", "\n")
-#: Entries of the cache of words in a worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 100_000
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: Bytes of ids, and pieces, after which a batch of pieces goes on.
+BATCH_BYTES, BATCH_PIECES = 4_000_000, 20_000
 
 
 def cuts(n: int, length: int = LENGTH) -> list[int]:
@@ -35,28 +39,11 @@ def cuts(n: int, length: int = LENGTH) -> list[int]:
     return [top] * (n // top) + [1 << b for b in range(top.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-class Words(dict):
-    """Ids, as little-endian bytes, of the words of a text, which the pre-tokenizer parts at single blanks."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = np.array(self.encode(self.lead + word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
 class ByteBpe:
     """The ids of a byte-level BPE file of the tokenizers library.
 
     The same vocabulary is read by tiktoken where its ranks lie beside the file, as that is several times faster; the ids
-    are the same (a test compares them). Texts whose white space is single blanks and line feeds between other characters
-    are parted there: the pre-tokenizer always parts at such a place and takes the blank, not the line feed, with the word.
+    are the same (a test compares them with the named library).
     """
 
     def __init__(self, path: str):
@@ -67,26 +54,19 @@ class ByteBpe:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            with open(path, encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+            self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            self.encode = lambda text: self.bpe.encode_to_numpy(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
             self.encode = lambda text: tok.encode(text, add_special_tokens=False).ids
-        self.first, self.later = Words(self.encode, ""), Words(self.encode, " ")
-        self.feed = self.first["\n"]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        parts = text.split()
-        if not text or sum(map(len, parts)) + text.count(" ") + text.count("\n") != len(text) or len(parts) - 1 != text.count(" ") + text.count("\n"):
-            return np.array(self.encode(text), dtype="<u4").tobytes()
-        out = []
-        for line in text.split("\n"):
-            head, *tail = line.split(" ")
-            out.append(self.first[head] + b"".join(map(self.later.__getitem__, tail)))
-        return self.feed.join(out)
+        return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
 
 def default_tokenizer() -> str:
@@ -95,35 +75,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, bucket of every piece."""
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids (binary, little-endian unsigned 32-bit; left out unless with_ids), ids_crc32, doc_tokens, bucket, sequence_id, offset of every piece.
+
+    bucket is the binary logarithm of the length.
+    """
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], dtype="<u4").tobytes()
+    names = ["doc_id", "start", "length", *["ids"] * with_ids, "ids_crc32", "doc_tokens", "bucket"]
+    types = {"doc_id": pa.int64(), "ids": pa.binary(), "bucket": pa.int32()}
+    schema = pa.schema([(c, types.get(c, pa.int64())) for c in names])
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
+        rows, held = [], 0
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (bpe.ids(text) if text else b"") + end
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, text = doc.as_py(), text.as_py()
+                ids = memoryview((bpe.ids(text) if text else b"") + end)
                 n, start = len(ids) // 4, 0
                 for size in cuts(n, length):
-                    out.append((doc, start, size, ids[4 * start : 4 * (start + size)], n))
+                    piece = ids[4 * start : 4 * (start + size)]
+                    own = (bytes(piece),) if with_ids else ()
+                    rows.append((doc, start, size, *own, zlib.crc32(piece), n, size.bit_length() - 1))
                     start += size
-                held += len(ids)
-                if held > 16_000_000:
-                    yield frame(out)
-                    out, held = [], 0
-            yield frame(out)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-        return out.astype({"doc_id": "Int64"})
-
-    cut_up = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(pieces, PIECES)
-    return cut_up.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.round(F.log2("length")).cast("int")})
+                    held += 4 * size * with_ids
+                    if held > BATCH_BYTES or len(rows) >= BATCH_PIECES:
+                        yield packed(rows)
+                        rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    kinds = {"ids": "binary", "bucket": "int"}
+    cut_up = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
+    return cut_up.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

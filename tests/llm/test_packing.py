@@ -13,19 +13,23 @@ from lectern.llm.queries import op8_packing
 
 
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_those_of_the_library():
     bpe, t, r = packing.ByteBpe(packing.default_tokenizer()), reference(), random.Random(9)
-    parts = ["word", "Éa", " ", "  ", "\n", "\n\n", "\t", "it's", "'s", "don't", "12", "3.4", "!!", "###", "$%", "<|endoftext|>", "\xa0", "日本", "\r\n", "_x", "²", "ſ", "é", "\x1c", "😀"]
+    parts = ["word", "Éa", " ", "  ", "\n", "\n\n", "\t", "it's", "'s", "don't", "12", "3.4", "!!", "###", "$%", "<|endoftext|>", "\xa0", "日本", "\r\n", "_x", "²", "ſ", "é", "\x1c", "😀", "<|endof", "text|>"]
     for _ in range(2000):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
         assert np.frombuffer(bpe.ids(s), dtype="<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_long_runs():
+    bpe, t = packing.ByteBpe(packing.default_tokenizer()), reference()
+    for s in (" " * 300_000, "\n" * 200_000, "x" * 100_000, "é" * 50_000, " \n" * 50_000 + "a", "7" * 100_000, "<|endoftext|>" * 5000):
+        assert np.frombuffer(bpe.ids(s), dtype="<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
 def test_cuts():
     for n in range(1, 5000):
         c = packing.cuts(n)
