@@ -5,13 +5,14 @@ made of, in order, and whether it repeats the word before). Every indicator is s
 bad training texts; a linear hinge-loss model is fitted on the scaled indicators by dual coordinate descent, and its margin
 becomes a probability by a logistic curve, fitted on margins of rows left out of each of three fits.
 
-The fit reads a bounded sample of the labelled rows (MAX_SAMPLE, those of the smallest hash, whole texts); the score
-reads every whole text. Labels never reach a score: rows of the held-out fold are not read by the fit, and neither lang, source
+The fit reads a bounded sample of the labelled rows (MAX_SAMPLE, those of the smallest hash, whole texts), whose indicators are made on the
+executors; the driver gets those, at most 2**BITS columns a row. The score reads every whole text. Labels never reach a score: rows of the held-out fold are not read by the fit, and neither lang, source
 nor doc_id are inputs.
 
 Defined results: a null text is an empty one; an empty text has no indicators but the bias, and a score. Labels that are
 null take no part; where labels of an id differ, the lowest counts; an id whose text repeats counts once. Without labels, or with
-one class only, every score is the smoothed share of good labels.
+one class only, every score is the smoothed share of good labels. An empty table gives no rows; a text of any length is a set of at most 2**BITS
+indicators; other columns are neither read nor changed, whatever their names. Equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, lean, ship
 
 FOLDS, CUT = 5, 0.3
 #: The bound of the training sample, in rows; the features are hashed to 2**BITS columns.
 MAX_SAMPLE, BITS = 4000, 18
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 50_000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 _KINDS = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
@@ -48,7 +49,7 @@ def shape(word: str) -> str:
         kind = "0" if part.isdigit() else part if not part.isalpha() else "Aa" if part[:1].isupper() and part[1:].islower() else "A" if part.isupper() else "a"
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out)[:12]
+    return "".join(out)
 
 
 class Words(dict):
@@ -151,14 +152,12 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-6), float(b)
 
 
-def train(texts: list[str | None], labels: list[int], bits: int = BITS) -> Model:
-    """A model of texts and their labels (0 or 1); equal whatever the order of the rows."""
+def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS) -> Model:
+    """A model of indicators and their labels (0 or 1); the same rows in the same order give the same model."""
     y = np.array(labels, dtype=np.float64)
     if len(set(labels)) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << bits), 0.0, 1.0, math.log(p / (1 - p)), bits)
-    words = Words()
-    rows = [indicators(t, words, bits) for t in texts]
     margins = np.zeros(len(rows))
     part = np.arange(len(rows)) % 3
     for k in range(3):
@@ -176,8 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, label_
     own = own.groupBy("doc_id").agg(F.min(label_col).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
     # at most max_sample ids and labels: a bound that does not depend on the data
     texts = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = sorted(((r["doc_id"], r["text"], r["y"]) for r in texts.collect()), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0]))
-    return train([t for _, t, _ in rows], [int(v == 1) for _, _, v in rows])
+    ship(docs.sparkSession)
+
+    @lean
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [indicators(t, words).astype("<i4").tobytes() for t in batch["text"]]})
+
+    found = texts.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text").mapInPandas(columns, "doc_id long, y int, x binary").collect()
+    found.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"]))
+    model = train([np.frombuffer(r["x"], dtype="<i4") for r in found], [int(r["y"] == 1) for r in found])
+    del found
+    give_back()
+    return model
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
@@ -185,6 +196,7 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset, model.bits))
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, words = Model(*shared.value), Words()
         for texts in batches:

@@ -46,3 +46,64 @@ def test_dual_coordinate_descent_parts_separable_rows():
     w = quality.dual_coordinate_descent(rows, [np.ones(2)] * 4, y, np.ones(4), 2, 50)
     margin = [w[x].sum() + w[-1] for x in rows]
     assert margin[0] > 0.9 and margin[1] > 0.9 and margin[2] < -0.9 and margin[3] < -0.9
+
+
+def plain_indicators(text, bits):
+    """The columns of a text, n-gram by n-gram, in integers."""
+    import re
+
+    import xxhash
+
+    full, out, last, kinds = 1 << 64, set(), None, []
+
+    def column(x):
+        x %= full
+        return (((x ^ x >> 29) * 0xBF58476D1CE4E5B9) % full) >> (64 - bits)
+
+    for word in (text or "").split():
+        forms = []
+        for part in re.findall(r"[^\W\d_]+|\d+|\s+|[\W_]", word):
+            form = "0" if part.isdigit() else part if not part.isalpha() else "Aa" if part[0].isupper() and part[1:].islower() else "A" if part.isupper() else "a"
+            forms += [form] if forms[-1:] != [form] else []
+        code = xxhash.xxh64_intdigest(word.lower().strip(".,!?")) >> 16 << 16 | xxhash.xxh64_intdigest("".join(forms)) % 65536
+        out.add(column(code >> 16))
+        kinds.append(code % 65536 * 2 + (code == last))
+        last = code
+    for i, k in enumerate(kinds):
+        out.add(column(k + 2**50))
+        if i + 1 < len(kinds):
+            two = k * 0x9E3779B97F4A7C15 + kinds[i + 1]
+            out.add(column(two + 2**51))
+            if i + 2 < len(kinds):
+                out.add(column(two * 0xC2B2AE3D27D4EB4F + kinds[i + 2]))
+    return sorted(out)
+
+
+def test_scores_match_a_plain_version(spark, sf):
+    """Indicators in integers; ratios from counts in dictionaries; the hinge-loss fit holds its optimality conditions; scores by hand."""
+    import math
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    words = quality.Words()
+    for _, text in [*docs, (0, "MiXed Case-42 x_9 ½ ＡＢ a a a, A.")]:
+        assert quality.indicators(text, words).tolist() == plain_indicators(text, quality.BITS)
+    own = [(i, t) for i, t in docs if i is not None and i < 120 and not (i in (7, 8))]
+    rows, y = [np.array(plain_indicators(t, quality.BITS)) for _, t in own], np.array([float(i % 8 != 0) for i, _ in own])
+    counts = [{}, {}]
+    for x, label in zip(rows, y, strict=True):
+        for c in x:
+            counts[int(label)][c] = counts[int(label)].get(c, 0) + 1
+    total = [sum(c.values()) + (1 << quality.BITS) for c in counts]
+    ratio = {c: math.log((counts[1].get(c, 0) + 1) / total[1]) - math.log((counts[0].get(c, 0) + 1) / total[0]) for c in {*counts[0], *counts[1]}}
+    found = quality.log_count_ratios(rows, y, quality.BITS)
+    assert all(abs(found[c] - v) < 1e-9 for c, v in ratio.items()) and not found[[c for c in range(100) if c not in ratio]].any()
+    values = [np.array([ratio[c] for c in x]) / math.sqrt(len(x)) for x in rows]
+    cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = quality.dual_coordinate_descent(rows, values, y, cost, quality.BITS, 300)
+    margin = np.array([sum(w[c] * v for c, v in zip(x, own_values, strict=True)) + w[-1] for x, own_values in zip(rows, values, strict=True)]) * (2 * y - 1)
+    primal = float(w @ w) / 2 + float((cost * np.maximum(0, 1 - margin)).sum())
+    assert primal <= 1.001 * min(primal, *(float((w * k) @ (w * k)) / 2 + float((cost * np.maximum(0, 1 - margin * k)).sum()) for k in (0.9, 0.99, 1.01, 1.1)))
+    model = quality.train(rows, [int(v) for v in y])
+    for x in rows[:20]:
+        z = model.slope * (sum(float(model.weights[c]) for c in x) / math.sqrt(len(x)) + model.bias) + model.offset
+        assert abs(model.probability(x) - 1 / (1 + math.exp(-z))) < 1e-6
