@@ -71,9 +71,20 @@ def test_tables(spark, sf, make_docs):
 
 
 def test_edges(spark, make_docs):
-    docs = make_docs([(1, None), (2, ""), (None, "some words that are the item itself here"), (3, "x " * 100_000)]).withColumnsRenamed({"lang": "found", "source": "row"})
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (None, "x x"), (4, "some words that are the item itself here"), (4, "some words that are the item itself here")], "item_id long, text string")
-    assert [(r["doc_id"], r["item_id"]) for r in d.contaminated(docs, items).collect()] == [(None, 4), (None, 4)]
-    assert d.clean(docs, items).count() == 3
-    assert d.clean(docs, items.limit(0)).count() == 4
+    whole = "some words that are the item itself here"
+    docs = make_docs([(1, None), (2, ""), (None, whole), (3, "x " * 100_000), (5, "Yes!"), (6, "yes, the x x and no")]).withColumnsRenamed({"lang": "found", "source": "row"})
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (None, "x x"), (4, whole), (4, whole), (None, whole), (7, "Yes"), (8, "The")], "item_id long, text string")
+    want = [(None, 4), (None, 4), (None, None), (5, 7)]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in d.contaminated(docs, items).collect()), key=str) == sorted(want, key=str)
+    assert sorted(r["doc_id"] for r in d.clean(docs, items).collect()) == [1, 2, 3, 6]
+    assert d.clean(docs, items.limit(0)).count() == 6 and d.contaminated(docs, items.limit(0)).collect() == []
     assert d.contaminated(docs.limit(0), items).collect() == []
+
+
+def test_blocks_of_items(spark, sf, monkeypatch):
+    """A benchmark of many blocks gives what one block gives."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    found, clean = sorted(map(tuple, d.contaminated(docs, items).collect())), d.clean(docs, items).count()
+    monkeypatch.setattr(d, "BLOCK_CHARS", 300)
+    assert len(list(d.item_blocks(items, "item_id", "text"))) > 2
+    assert sorted(map(tuple, d.contaminated(docs, items).collect())) == found and d.clean(docs, items).count() == clean
