@@ -4,13 +4,18 @@ A page becomes its DOM tree. Every element and text node has a hidden state, con
 seen of a node (its tag, the words of its class, id and role, the length of a text and whether a link holds it); edge
 potentials join the states of parent and child, by the child's tag. Sum-product message passing, upward and then downward, gives
 the exact marginal of every node; texts whose marginal exceeds one half are content. The potentials are smoothed counts over
-labelled pages (training_pages), whose labels are known by construction.
+labelled pages (training_pages), whose labels are known by construction: parts of usual names, and wrappers of any depth with no name or
+one never seen, inside and outside of the article. A name counts by the share of its words that are known ("notice" says more than
+"notice-board-history"). Where no text of a page exceeds one half, though one of LEAST_TEXT characters stands outside links, the texts that come
+next to the largest marginal are taken (NEAR), so that an unusual page is not lost.
 
 Blocks are what block elements part; white space inside a block becomes one blank, a line break too; blocks are joined by one
-line feed. Nothing is capped. Scripts, styles, forms' controls, comments and the head hold no text of a page.
+line feed. Nothing is capped. Scripts, styles, forms' controls, drawings, comments of the markup and the head hold no text of a page; formulas do.
 
-Defined results: null html is empty, and its text is empty. Rows that repeat are read each. Broken markup is read as browsers do in the
-usual cases: implied and missing end tags, unknown end tags, unclosed comments.
+Defined results: null html is empty, and its text is empty; so is that of a page without text. Rows that repeat are read each. Broken markup is read as
+browsers do in the usual cases: implied and missing end tags, unknown end tags, unclosed and short comments; a drawing, list of choices or template that
+never ends is taken as empty, so that what follows stays. An empty table gives no rows; a page of any length is one tree in memory; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +31,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 #: Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes select option svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Elements whose text is not shown as text, those of them that markup after an open one ends, and those that may hold '/>'.
+HUSHED = RAW | frozenset("noscript template svg select option optgroup datalist".split())
+ENDED = frozenset("svg math select datalist noscript template".split())
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup p pre search section summary table caption tbody td tfoot th thead tr ul".split()
@@ -42,22 +51,28 @@ FENCES = frozenset("table ul ol dl article section main div body html td th asid
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.IGNORECASE)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-ENDS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+ENDS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW | ENDED}
+COMMENT_END = re.compile(r"--!?>")
+#: A slash before '>' that is not the end of an attribute's value.
+CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 
 
-NAME_WEIGHT, PLAIN_WEIGHT = 2.0, 0.5
+#: Sibling texts are alike, so that their evidence counts in part; names are rare and decide. A name counts from NAME_LEAST nodes of training pages.
+NAME_WEIGHT, PLAIN_WEIGHT, NAME_LEAST = 2.0, 0.5, 12
+#: Where nothing exceeds one half: the share of the largest marginal, in odds, that a text must have, and the characters of a text that make a page worth it.
+NEAR, LEAST_TEXT = 0.2, 40
 
 
 class Dom:
-    """Nodes in page order: parent, tag (empty for a text), names (of class, id, role), text."""
+    """Nodes in page order: parent, tag (empty for a text), names (the words of each class, id and role), text."""
 
     def __init__(self):
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
-        self.names: list[tuple[str, ...]] = [()]
+        self.names: list[tuple[tuple[str, ...], ...]] = [()]
         self.text: list[str] = [""]
 
-    def add(self, parent: int, tag: str, names: tuple[str, ...] = (), text: str = "") -> int:
+    def add(self, parent: int, tag: str, names: tuple[tuple[str, ...], ...] = (), text: str = "") -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.names.append(names)
@@ -65,34 +80,42 @@ class Dom:
         return len(self.parent) - 1
 
 
-def names_of(attributes: str) -> tuple[str, ...]:
+def names_of(attributes: str) -> tuple[tuple[str, ...], ...]:
     if not attributes.strip(" /\n\t"):
         return ()
-    out: list[str] = []
+    out: list[tuple[str, ...]] = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), entities.unescape((m[2] or "").strip("\"'"))
         if key in ("class", "id", "role"):
-            out += (w.lower() for w in NAME.findall(value))
+            out += (words for name in value.split() if (words := tuple(w.lower() for w in NAME.findall(name))))
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            out.append("hidden")
+            out.append(("hidden",))
     return tuple(dict.fromkeys(out))
 
 
 def parse(page: str) -> Dom:
-    dom, stack, at, n = Dom(), [0], 0, len(page)
+    dom, at, n = Dom(), 0, len(page)
+    stack, hushed = [0], [False]  # the open elements, and whether their text is not shown
+    no_end: set[str] = set()  # tags without an end tag in the rest of the page
+    next_end: dict[str, int] = {}
 
     def tag_at(k: int) -> str:
         return dom.tag[stack[k]]
 
+    def cut(k: int) -> None:
+        del stack[k:], hushed[k:]
+
     def close_to(tags, fences) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if tag_at(k) in tags:
-                del stack[k:]
+                cut(k)
                 return
             if tag_at(k) in fences:
                 return
 
     def add_text(s: str) -> None:
+        if hushed[-1]:
+            return
         if s.strip():
             dom.add(stack[-1], "", (), entities.unescape(s) if "&" in s else s)
         elif s and dom.tag[-1] == "":  # a blank between two texts counts
@@ -100,6 +123,16 @@ def parse(page: str) -> Dom:
         elif s:
             dom.add(stack[-1], " ", (), " ")
 
+    def has_end(tag: str) -> bool:
+        """Whether an end tag follows; each part of the page is searched once for a tag."""
+        if tag not in no_end and next_end.get(tag, -1) < at:
+            m = ENDS[tag].search(page, at)
+            if m:
+                next_end[tag] = m.start()
+            else:
+                no_end.add(tag)
+        return tag not in no_end
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -107,8 +140,11 @@ def parse(page: str) -> Dom:
             break
         if page.startswith("<!--", lt):
             add_text(page[at:lt])
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            if page.startswith(("<!-->", "<!--->"), lt):
+                at = page.index(">", lt) + 1
+                continue
+            end = COMMENT_END.search(page, lt + 4)
+            at = n if end is None else end.end()
             continue
         if page.startswith(("<!", "<?"), lt):
             add_text(page[at:lt])
@@ -133,13 +169,18 @@ def parse(page: str) -> Dom:
         if tag in ("html", "body"):
             names = names_of(attributes)
             if tag == "body" and not any(dom.tag[k] == "body" for k in stack):
-                del stack[1:]
+                cut(1)
                 stack.append(dom.add(0, "body", names))
+                hushed.append(False)
             continue
+        if tag in BLOCKS and hushed[-1]:
+            close_to(("svg", "select", "datalist"), BLOCKS)  # a block ends a drawing or a list of choices
         if tag in CLOSES_P:
             close_to({"p"}, {"table", "td", "th", "button", "body"})
         if tag in SIBLINGS:
             close_to(SIBLINGS[tag], FENCES - {"td", "th"})
+        if tag in ("option", "optgroup"):
+            close_to(("option",), ("select", "datalist"))
         node = dom.add(stack[-1], tag, names_of(attributes))
         if tag in RAW:
             end = ENDS[tag].search(page, at)
@@ -148,18 +189,19 @@ def parse(page: str) -> Dom:
             else:
                 close = page.find(">", end.end())
                 at = n if close < 0 else close + 1
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID and not CLOSED.search(attributes) and not (tag in FOREIGN and attributes.endswith("/")) and (tag not in ENDED or has_end(tag)):
             stack.append(node)
+            hushed.append(hushed[-1] or tag in HUSHED)
     return dom
 
 
-def seen(dom: Dom, i: int, linked: bool) -> tuple[str, ...]:
-    """What is seen of a node."""
+def seen(dom: Dom, i: int, linked: bool) -> str:
+    """What is seen of a node beside its names: the tag, or the length of a text and whether a link holds it."""
     tag = dom.tag[i]
     if tag in ("", " "):
         size = len(dom.text[i].strip())
-        return (f"text:{min(4, max(2, size.bit_length() // 2))}:{'link' if linked else 'plain'}",)
-    return (f"tag:{tag}", *(f"name:{w}" for w in dom.names[i]))
+        return f"text:{min(4, max(2, size.bit_length() // 2))}:{'link' if linked else 'plain'}"
+    return f"tag:{tag}"
 
 
 class Model:
@@ -174,8 +216,10 @@ class Model:
         linked = links(dom)
         for i, y in enumerate(labels):
             self.state[y] += 1
-            for f in seen(dom, i, linked[i]):
-                self.node[y][f] += 1
+            self.node[y][seen(dom, i, linked[i])] += 1
+            for name in dom.names[i]:
+                for w in name:
+                    self.node[y][f"name:{w}"] += 1 / len(name)
             if i:
                 kind = dom.tag[i] or "text"
                 for key in (kind, "any"):
@@ -186,8 +230,9 @@ class Model:
         total = [sum(c.values()) + 1.0 for c in self.node]
         self.lean: dict[str, float] = {}
         for f in {*self.node[0], *self.node[1]}:
+            if f.startswith("name:") and self.node[0][f] + self.node[1][f] < NAME_LEAST:
+                continue
             p = [(self.node[y][f] + 0.5) / total[y] for y in (0, 1)]
-            # sibling texts are alike, so that their evidence counts in part; names are rare and decide
             self.lean[f] = math.log(p[1] / p[0]) * (NAME_WEIGHT if f.startswith("name:") else PLAIN_WEIGHT)
         self.step: dict[str, tuple[float, float, float, float]] = {}
         for key in {k for k, _, _ in self.edge}:
@@ -200,15 +245,21 @@ class Model:
             self.step[key] = tuple(row)
         return self
 
+    def leaning(self, dom: Dom, i: int, linked: bool) -> float:
+        """The log odds of content that a node itself gives."""
+        out = self.lean.get(seen(dom, i, linked), 0.0)
+        for name in dom.names[i]:
+            known = [x for w in name if (x := self.lean.get(f"name:{w}")) is not None]
+            out += sum(known) * len(known) / len(name)
+        return out
+
     def marginals(self, dom: Dom) -> list[float]:
         """Probability of content for every node, by messages up and down the tree."""
         n = len(dom.parent)
         linked = links(dom)
-        lean, step, usual = self.lean, self.step, self.step["any"]
+        step, usual = self.step, self.step["any"]
         # belief of a node from itself and its subtree, as odds of content in logs
-        own = [0.0] * n
-        for i in range(n):
-            own[i] = sum(lean.get(f, 0.0) for f in seen(dom, i, linked[i]))
+        own = [self.leaning(dom, i, linked[i]) for i in range(n)]
         up = [0.0] * n
         edges = [usual] * n
         for i in range(n - 1, 0, -1):
@@ -274,7 +325,18 @@ def extract_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
     dom = parse(page)
-    return assemble(dom, [p > 0.5 for p in model.marginals(dom)])
+    p = model.marginals(dom)
+    return assemble(dom, [x > cutoff(dom, p) for x in p]) if any(map(str.strip, dom.text)) else ""
+
+
+def cutoff(dom: Dom, p: list[float]) -> float:
+    """One half; less where no text exceeds it and one is long enough to be an article's."""
+    linked = links(dom)
+    texts = [i for i in range(len(p)) if dom.tag[i] == "" and not linked[i] and dom.text[i].strip()]
+    if any(p[i] > 0.5 for i in texts) or not any(len(dom.text[i].strip()) >= LEAST_TEXT for i in texts):
+        return 0.5
+    odds = NEAR * max(p[i] / (1 - p[i]) for i in texts)
+    return odds / (1 + odds)
 
 
 # Labelled pages -------------------------------------------------------------------------------------------------------
@@ -295,7 +357,7 @@ SHARES = ("div:share", "div:social", "ul:share buttons", "div:toolbar", "div:met
 WORDS = "river stone market quiet early seven paper window summer ledger copper garden letter engine harbour winter silver".split()
 
 
-def training_pages(n: int = 800, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+def training_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """(html, [(marker, label)]) of made-up pages whose parts are known. Each text holds one marker word."""
     r = random.Random(seed)
     for _ in range(n):
@@ -304,7 +366,25 @@ def training_pages(n: int = 800, seed: int = 11) -> Iterator[tuple[str, list[tup
 
 class _Page:
     def __init__(self, r: random.Random):
-        self.r, self.marks, self.lines = r, [], []
+        self.r, self.marks = r, []
+
+    def unknown(self) -> str:
+        """An attribute with a name that is not of the lists, or one word of them among others, or nothing."""
+        r = self.r
+        if r.random() < 0.4:
+            return ""
+        part = lambda: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(1, 3)))
+        words = [part() for _ in range(r.randint(1, 3))]
+        if r.random() < 0.05:
+            words = [*r.choice(NOTICES + ADVERTS + SIDEBARS + FOOTERS).split(":")[-1].split()[:1], part(), part()]
+        return f' class="{r.choice(["-", "_", "__"]).join(words)}"' if r.random() < 0.9 else f' id="{words[0]}"'
+
+    def wrapped(self, inner: str, p: float) -> str:
+        """inner in wrappers without a known name, to any depth."""
+        while self.r.random() < p:
+            tag = self.r.choice(["div", "div", "div", "section"])
+            inner = f"<{tag}{self.unknown()}>{inner}</{tag}>"
+        return inner
 
     def words(self, low: int, high: int) -> str:
         return " ".join(self.r.choice(WORDS) for _ in range(self.r.randint(low, high))).capitalize()
@@ -342,9 +422,21 @@ class _Page:
             inner = self.text(2, 25, 0)
         else:
             inner = f"<p>{self.text(2, 25, 0)}</p>" + (f'<a href="/x">{self.text(0, 2, 0)}</a>' if self.r.random() < 0.4 else "")
-        return start + inner + end
+        return self.wrapped(start + inner + end, 0.15)
 
-    def block(self) -> str:
+    def block(self, depth: int = 0) -> str:
+        r = self.r.random()
+        if depth < 3 and r < 0.1:
+            return self.wrapped("".join(self.block(depth + 1) for _ in range(self.r.randint(1, 3))), 0.8)
+        if r < 0.14:  # loose text, and lines of it
+            lines = "<br>".join(self.text(3, 40, 1) for _ in range(self.r.choice([1, 1, 2, 4])))
+            return f"<div{self.unknown()}>{lines}</div>" if self.r.random() < 0.7 else f"{lines} "
+        if r < 0.16:
+            return f"<div{self.unknown()}>" + "".join(f"<figure><img src=a.png><figcaption>{self.text(1, 10, 1)}</figcaption></figure>" for _ in range(3)) + "</div>"
+        if r < 0.18:
+            return "<dl>" + "".join(f"<dt>{self.text(0, 3, 1)}</dt><dd>{self.text(2, 20, 1)}</dd>" for _ in range(3)) + "</dl>"
+        if r < 0.2:
+            return f"<p{self.unknown()}><a href=/x>{self.text(1, 6, 1)}</a></p>"
         r = self.r.random()
         inline = lambda: self.r.choice(["b", "i", "em", "strong", "a href=/x", "span", "code"])
         if r < 0.68:
@@ -352,7 +444,7 @@ class _Page:
             if self.r.random() < 0.3:
                 tag = inline()
                 body += f" <{tag}>{self.text(0, 3, 1)}</{tag.split()[0]}> {self.text(1, 20, 1)}"
-            return f"<p>{body}" + ("</p>" if self.r.random() < 0.9 else "")
+            return f"<p{self.unknown() if self.r.random() < 0.2 else ''}>{body}" + ("</p>" if self.r.random() < 0.9 else "")
         if r < 0.78:
             return f"<h{self.r.randint(2, 4)}>{self.text(1, 8, 1)}</h2>"
         if r < 0.86:
@@ -371,7 +463,10 @@ class _Page:
         some = lambda p, specs, kind: self.other(specs, kind) if r.random() < p else ""
         head = some(0.6, HEADERS, "header") + some(0.8, MENUS, "menu") + some(0.4, NOTICES, "notice") + some(0.5, ADVERTS, "ad")
         start, end = self.open(r.choice(CONTENT_ROOTS[:1] * 8 + CONTENT_ROOTS))
-        bare = r.random() < 0.06  # the body itself is the root
+        if r.random() < 0.3:  # a root that says nothing
+            tag = r.choice(["div", "div", "section", "main"])
+            start, end = f"<{tag}{self.unknown()}>", f"</{tag}>"
+        bare = r.random() < 0.12  # the body itself is the root
         start, end = ("", "") if bare else (start.replace(">", f' role="{ROOT_MARK}">'), end)
         title = f"<h1>{self.text(1, 8, 1)}</h1>"
         body = f"<header>{title}</header>" if r.random() < 0.15 else title if r.random() < 0.9 else ""
@@ -379,12 +474,15 @@ class _Page:
             body += self.block()
             body += some(0.06, ADVERTS, "ad") + some(0.04, SIDEBARS, "side") + some(0.03, SHARES, "share") + some(0.02, FORMS, "form") + some(0.03, NOTICES, "notice")
         body += some(0.1, COMMENTS, "comments") + some(0.05, MENUS, "menu") + some(0.05, FOOTERS, "footer")
-        body = f"<div>{body}</div>" if r.random() < 0.2 else body
+        body = self.wrapped(body, 0.25)
         tail = some(0.3, SHARES, "share") + some(0.45, COMMENTS, "comments") + some(0.4, SIDEBARS, "side") + some(0.4, FORMS, "form") + some(0.3, ADVERTS, "ad") + some(0.9, FOOTERS, "footer") + some(0.3, NOTICES, "notice")
         main = start + body + end
+        if bare and r.random() < 0.5:  # and there is little else
+            head, tail = "", ""
         if bare:
             return f'<!DOCTYPE html><html><head><title>t</title></head><body role="{ROOT_MARK}">{head}{main}{tail}</body></html>', self.marks
-        main = f"<div class=wrapper>{head}{main}{tail}</div>" if r.random() < 0.25 else f"{head}{main}{tail}" if r.random() < 0.7 else f"{head}<main>{main}</main>{tail}"
+        main = self.wrapped(main, 0.15)
+        main = f"<div{r.choice([' class=wrapper', self.unknown()])}>{head}{main}{tail}</div>" if r.random() < 0.35 else f"{head}{main}{tail}" if r.random() < 0.7 else f"{head}<main>{main}</main>{tail}"
         return f"<!DOCTYPE html><html><head><title>t</title></head><body>{main}</body></html>", self.marks
 
 
@@ -396,18 +494,18 @@ def labelled(page: str, marks: list[tuple[str, int]]) -> tuple[Dom, list[int]]:
     good = [0] * n
     for i in range(n - 1, 0, -1):
         if dom.tag[i] == "" and dom.text[i].strip():
-            good[i] = want.get(dom.text[i].split()[0], 0)
+            good[i] = max((want.get(w, 0) for w in dom.text[i].split()[:1]), default=0)
         good[dom.parent[i]] += good[i]
     y = [0] * n
     for i in range(n):
-        root = ROOT_MARK in dom.names[i]
+        root = (ROOT_MARK,) in dom.names[i]
         bare = dom.tag[i] in (" ", "br", "img", "hr")
         y[i] = int(root or i > 0 and y[dom.parent[i]] == 1 and (good[i] > 0 or bare))
-        dom.names[i] = tuple(w for w in dom.names[i] if w != ROOT_MARK)
+        dom.names[i] = tuple(w for w in dom.names[i] if w != (ROOT_MARK,))
     return dom, y
 
 
-def trained(n: int = 800, seed: int = 11) -> Model:
+def trained(n: int = 1200, seed: int = 11) -> Model:
     model = Model()
     for page, marks in training_pages(n, seed):
         model.learn(*labelled(page, marks))
@@ -422,6 +520,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shared = spark.sparkContext.broadcast((model.lean, model.step))
 
     @F.pandas_udf("string")
+    @lean
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model()
         own.lean, own.step = shared.value
