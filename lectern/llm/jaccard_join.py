@@ -23,7 +23,12 @@ bounds and short bitmaps allow is looked at. No link that joins components is lo
 Verification is exact on the hashed n-grams of the whole texts: the hub's text and its members' stream through a task, one set
 at a time. A bit table of bounded size keeps texts without candidates from the shuffle, and texts travel compressed.
 
-Defined results: words are what ASCII white space parts, in ASCII lower case. Fewer than n words: the whole sequence is the one
+The sketch grows with the table, from 2**SKETCH_BITS to 2**MOST_SKETCH_BITS counters (64 MB); beyond that counters get coarser, which costs
+candidates and never links. A node that holds more than a thousandth of the rows gets its component by a broadcast of at most a
+thousand nodes, so that its rows are not shuffled.
+
+Defined results: an empty table gives no rows; columns other than the id and the text are not read, whatever their names; texts of any length
+are read whole. Words are what ASCII white space parts, in ASCII lower case. Fewer than n words: the whole sequence is the one
 token; none, or a null text: the empty set, which links with nothing. Rows that repeat an id are rows of their own; a
 component's id is the least non-null id in it. Two distinct sets whose 64-bit fingerprints meet are told apart by a
 second fingerprint, and the run starts anew under another seed.
@@ -39,11 +44,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, ship, store
+from .common import forget, hash128, lean, ship, store
 from .components import components
 
 N, PERCENT = 5, 75
-SKETCH_BITS, FREQUENT_TIMES, FREQUENT_LEAST = 20, 2, 32
+SKETCH_BITS, MOST_SKETCH_BITS, FREQUENT_TIMES, FREQUENT_LEAST = 20, 24, 2, 32
+#: Bytes of input, as the plan estimates them, for each counter of the sketch.
+BYTES_A_COUNTER = 4096
+#: A node is hot beyond this share of the rows: one in so many.
+HOT_SHARE = 1000
 #: Members of a lane of a hot signature, and of a chunk of a hub's candidates.
 LANE, CHUNK = 512, 256
 BLOCK_BITS, FLAG_BITS = 12, 22
@@ -153,20 +162,30 @@ def node_of(tok: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def count_blocks(counts: np.ndarray) -> pd.DataFrame:
-    """A table of counters in rows of equal blocks; blocks without counts are left out."""
-    blocks = counts.reshape(-1, 1 << BLOCK_BITS).astype("<u4")
+    """A table of counters in rows of equal blocks, compressed; blocks without counts are left out."""
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=1)
+    blocks = counts.reshape(-1, 1 << BLOCK_BITS)
     full = np.flatnonzero(blocks.any(axis=1))
-    return pd.DataFrame({"block": full.astype("int32"), "counts": [blocks[i].tobytes() for i in full]})
+    return pd.DataFrame({"block": full.astype("int32"), "counts": [small.compress(blocks[i].astype("<u4").tobytes()) for i in full]})
+
+
+def counters(compressed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(compressed), dtype="<u4")
 
 
 def sum_blocks(rows: DataFrame, bits: int) -> np.ndarray:
     """The sum of the tables of all tasks: 2**bits counters, whatever the input; the driver gets one row a block."""
 
+    @lean
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, total = None, None
         for batch in batches:
             for block, counts in zip(batch["block"], batch["counts"], strict=True):
-                own = np.frombuffer(counts, dtype="<u4").astype(np.uint64)
+                own = counters(counts).astype(np.uint64)
                 if block != at:
                     if at is not None:
                         yield row(at, total)
@@ -177,19 +196,31 @@ def sum_blocks(rows: DataFrame, bits: int) -> np.ndarray:
             yield row(at, total)
 
     def row(block: int, total: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"block": [block], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+        return count_blocks(np.minimum(total, (1 << 32) - 1)).assign(block=np.array([block], dtype="int32"))
 
     out = np.zeros((1 << bits) >> BLOCK_BITS << BLOCK_BITS, dtype=np.uint32).reshape(-1, 1 << BLOCK_BITS)
     for r in rows.repartition("block").sortWithinPartitions("block").mapInPandas(add, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], dtype="<u4")
+        out[r["block"]] = counters(r["counts"])
     return out.reshape(-1)
 
 
-def read_sets(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """A row (doc_id, n, node, other, bits) for each document and, from each task, its rows (block, counts) of the sketch."""
+def sketch_bits(docs: DataFrame) -> int:
+    """The size of the sketch, by the size of docs."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (size // BYTES_A_COUNTER).bit_length()))
 
+
+def read_sets(docs: DataFrame, seed: int, n: int, sketch: int) -> DataFrame:
+    """A row (doc_id, t1, t2, n, node, other, bits) for each document and, from each task, its rows (block, counts) of the sketch.
+
+    t1 and t2 are hashes of the text as it is; with the id they name a row, up to rows that repeat whole.
+    """
+    facts_of = ["doc_id", "t1", "t2", "n", "node", "other", "bits"]
+    given = docs.select("doc_id", "text", *[h.alias(c) for h, c in zip(hash128(F.coalesce("text", F.lit(""))), ("t1", "t2"), strict=True)])
+
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts, known = WordHash(seed), np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
+        words, counts, known = WordHash(seed), np.zeros(1 << sketch, dtype=np.uint32), set()
         for batch in batches:
             sizes, nodes, others, bits = [], [], [], []
             for text in batch["text"]:
@@ -201,13 +232,13 @@ def read_sets(docs: DataFrame, seed: int, n: int) -> DataFrame:
                 bits.append(bitmap(tok) if len(tok) else None)
                 if node is not None and node not in known:
                     known.add(node)
-                    np.add.at(counts, (tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": pd.array(sizes, dtype="Int64"), "node": pd.array(nodes, dtype="Int64"), "other": pd.array(others, dtype="Int64"), "bits": pd.Series(bits, dtype=object), "block": pd.array([None] * len(sizes), dtype="Int32"), "counts": pd.Series([None] * len(sizes), dtype=object)})
+                    np.add.at(counts, (tok >> np.uint64(64 - sketch)).astype(np.int64), 1)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "t1": batch["t1"], "t2": batch["t2"], "n": pd.array(sizes, dtype="Int64"), "node": pd.array(nodes, dtype="Int64"), "other": pd.array(others, dtype="Int64"), "bits": pd.Series(bits, dtype=object), "block": pd.array([None] * len(sizes), dtype="Int32"), "counts": pd.Series([None] * len(sizes), dtype=object)})
         blocks = count_blocks(counts)
         if len(blocks):
-            yield blocks.assign(doc_id=None, n=None, node=None, other=None, bits=None)[["doc_id", "n", "node", "other", "bits", "block", "counts"]].astype({c: "Int64" for c in ("doc_id", "n", "node", "other")})
+            yield blocks.assign(**dict.fromkeys(facts_of))[[*facts_of, "block", "counts"]].astype({c: "Int64" for c in facts_of if c != "bits"})
 
-    return docs.mapInPandas(read, "doc_id long, n long, node long, other long, bits binary, block int, counts binary")
+    return given.mapInPandas(read, "doc_id long, t1 long, t2 long, n long, node long, other long, bits binary, block int, counts binary")
 
 
 def needed(n: int, percent: int) -> int:
@@ -225,7 +256,7 @@ def signatures(tok: np.ndarray, freq: np.ndarray, limit: int, percent: int) -> t
     """(signature, counter of its rarer token, most tokens it can share) of a set; freq holds the counters of its tokens.
 
     If a rare token is the first that two sets share, they share no more than it and what follows it; if the first is frequent,
-    no more than their frequent tokens. The last column is that number; a counter of 0 marks a rare token.
+    no more than their frequent tokens. The last column is that number.
     """
     n = len(tok)
     if needed(n, percent) < 2:
@@ -235,7 +266,7 @@ def signatures(tok: np.ndarray, freq: np.ndarray, limit: int, percent: int) -> t
     first = n - needed(n, percent)
     n_rare = n - int(frequent.sum())
     singles = order[: min(first + 1, n_rare)]
-    out, hot, left = [tok[singles]], [np.zeros(len(singles), dtype=np.int64)], [n - np.arange(len(singles))]
+    out, hot, left = [tok[singles]], [freq[singles]], [n - np.arange(len(singles))]
     for m in parts_of(n, percent):
         own = order[n_rare : first + m + 1]
         if len(own) < 2:
@@ -279,8 +310,10 @@ def enough(left: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 def sign(docs: DataFrame, table, limit: int, seed: int, n: int, percent: int) -> DataFrame:
     """(sig, facts, node) of every distinct set of a task; facts packs lanes, n and left."""
 
+    @lean
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, known = WordHash(seed), table.value, set()
+        shift = np.uint64(65 - len(counts).bit_length())
         for batch in batches:
             sigs, packed, nodes, held = [], [], [], 0
             for text in batch["text"]:
@@ -288,7 +321,7 @@ def sign(docs: DataFrame, table, limit: int, seed: int, n: int, percent: int) ->
                 if not len(tok) or (node := node_of(tok, seed)[0]) in known:
                     continue
                 known.add(node)
-                sig, hot, left = signatures(tok, counts[(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64), limit, percent)
+                sig, hot, left = signatures(tok, counts[(tok >> shift).astype(np.int64)].astype(np.int64), limit, percent)
                 sigs.append(sig)
                 packed.append(packed_facts(1 + hot // LANE, len(tok), left))
                 nodes.append(np.full(len(sig), node, dtype=np.int64))
@@ -318,6 +351,7 @@ def verify(pairs: DataFrame, texts: DataFrame, seed: int, n: int) -> DataFrame:
     hubs = chunked.select("hub", "chunk").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "chunk", F.lit(0).alias("member"), F.col("hub").alias("node"), "packed")
     met = members.unionByName(hubs).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
 
+    @lean
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, hub = WordHash(seed), np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -345,51 +379,48 @@ def unpack(packed: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
 
 
-def flag_table(ids: DataFrame) -> np.ndarray:
-    """Which of 2**FLAG_BITS buckets the ids fall in."""
+def flag_table(hashes: DataFrame) -> np.ndarray:
+    """Which of 2**FLAG_BITS buckets the hashes (t1) fall in."""
 
+    @lean
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << FLAG_BITS, dtype=np.int64)
+        counts = np.zeros(1 << FLAG_BITS, dtype=np.uint8)
         for batch in batches:
-            counts[bucket(batch["doc_id"].to_numpy(dtype=np.int64))] = 1
+            counts[bucket(batch["t1"].to_numpy(dtype=np.int64))] = 1
         yield count_blocks(counts)
 
-    return sum_blocks(ids.select("doc_id").mapInPandas(mark, "block int, counts binary"), FLAG_BITS) > 0
+    return sum_blocks(hashes.select("t1").mapInPandas(mark, "block int, counts binary"), FLAG_BITS) > 0
 
 
-def bucket(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, seed: int, n: int) -> DataFrame:
-    """(node, packed text) of the wanted nodes, from one document of each."""
-    chosen = store(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flag_table(chosen.where("doc_id is not null"))))
+def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, packed text) of the wanted nodes, from one document of each, found by its id and the hashes of its text."""
+    row = ["doc_id", "t1", "t2"]
+    # the rows of a node meet in their minimum before anything is joined
+    chosen = sets.where("node is not null").groupBy("node").agg(F.min(F.struct(*row)).alias("row")).join(nodes, "node", "left_semi")
+    chosen = store(chosen.select("node", *[F.col(f"row.{c}").alias(f"c_{c}") for c in row]))
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flag_table(chosen.select(F.col("c_t1").alias("t1")))))
 
+    @lean
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.unpackbits(flags.value).astype(bool)
+        table, known = np.unpackbits(flags.value).astype(bool), set()
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            known = table[bucket(ids.fillna(0).to_numpy(dtype=np.int64))] | ids.isna().to_numpy()
-            own = batch[known & batch["text"].notna().to_numpy()]
-            yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "packed": pd.Series([pack(t) for t in own["text"]], index=own.index, dtype=object)})
+            own = batch[table[bucket(batch["t1"].to_numpy(dtype=np.int64))]]
+            # rows that repeat whole go on once
+            fresh = []
+            for key in zip(own["doc_id"].astype("Int64").astype(object), own["t1"], own["t2"], strict=True):
+                fresh.append(key not in known)
+                known.add(key)
+            own = own[np.array(fresh, dtype=bool)]
+            yield pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "t1": own["t1"], "t2": own["t2"], "packed": pd.Series([pack(t) for t in own["text"]], index=own.index, dtype=object)})
 
-    packed = docs.mapInPandas(likely, "doc_id long, packed binary")
-    met = packed.join(chosen.select(F.col("doc_id").alias("c_doc"), "node"), F.col("doc_id").eqNullSafe(F.col("c_doc"))).select("node", "packed")
-
-    # rows that repeat an id meet here; of them, one that has the node's set stays
-    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, known = WordHash(seed), set()
-        for batch in batches:
-            keep = []
-            for node, blob in zip(batch["node"], batch["packed"], strict=True):
-                good = node not in known and node_of(tokens(unpack(blob), words, n), seed)[0] == node
-                keep.append(good)
-                if good:
-                    known.add(node)
-            yield batch[keep]
-
-    return store(met.mapInPandas(same, "node long, packed binary"))
+    hashed = docs.where("text is not null").select("doc_id", "text", *[h.alias(c) for h, c in zip(hash128(F.col("text")), ("t1", "t2"), strict=True)])
+    packed = hashed.mapInPandas(likely, "doc_id long, t1 long, t2 long, packed binary")
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in row]
+    return store(packed.join(chosen, same[0] & same[1] & same[2]).select("node", "packed"))
 
 
 def short_column(bits: Column) -> Column:
@@ -423,10 +454,16 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     # a node falls into another lane of each of its hot signatures, so that it meets the best hub of its group in some
     lane = F.when(lanes > 1, F.pmod(F.xxhash64("sig", "node"), lanes)).otherwise(0).cast("int")
     own = Window.partitionBy("sig", "lane")
+    members = members.select("sig", lane.alias("lane"), lanes.alias("lanes"), "node", size.alias("n"), left.alias("left"))
+    # sets that stand in several tasks come several times
+    members = members.withColumn("last", F.lag("node").over(own.orderBy("node"))).where(F.col("last").isNull() | (F.col("last") != F.col("node"))).drop("last")
+    # who cannot be linked with even the smallest member has nothing to do in a signature; lanes of a hot one do not know the whole
+    members = members.withColumns({"small": F.min("n").over(own), "most": F.max("left").over(own)})
+    members = members.where((F.col("lanes") > 1) | enough(F.least("left", "most"), F.col("n"), F.col("small"), percent)).drop("small", "most")
     # the hub of a lane is the member that can share most; in a group of near copies that is one with few edits
-    best = F.struct(left.alias("left"), "node", size.alias("n"))
-    met = members.withColumn("lane", lane).withColumns({"hub": F.max(best).over(own), "low": F.min("node").over(own), "high": F.max("node").over(own)})
-    first = store(met.where((F.col("low") != F.col("high")) | (lanes > 1)).select("sig", lanes.alias("lanes"), "node", size.alias("n"), left.alias("left"), "hub"))
+    best = F.struct("left", "node", "n")
+    met = members.withColumns({"hub": F.max(best).over(own), "low": F.min("node").over(own), "high": F.max("node").over(own)})
+    first = store(met.where((F.col("low") != F.col("high")) | (F.col("lanes") > 1)).select("sig", "lanes", "node", "n", "left", "hub"))
     tops = first.where("lanes > 1").select("sig", "hub").distinct().withColumn("top", F.max("hub").over(Window.partitionBy("sig")))
     upper = tops.select("sig", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.left").alias("left"), F.col("top").alias("hub"))
     meets = first.select("sig", "node", "n", "left", "hub").union(upper)
@@ -434,7 +471,7 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     pairs = meets.where(fit).groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max("hub.left").alias("shares"))
     pairs = store(possible(pairs, sets, percent))
     # pairs of different components within a signature may need texts of nodes that no hub pair holds; they come later
-    texts = texts_of(docs, pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), sets, seed, n)
+    texts = texts_of(docs, pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), sets)
 
     # each node with its best hub first: that joins most groups, and spares the other hubs of the same group
     once = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shares", "hub")).alias("hub")).select("hub", "node")
@@ -445,7 +482,7 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     found = store(found.union(links(verify(store(others), texts, seed, n))))
     roots = store(components(found))
 
-    rooted = first.select("sig", "node", "n", "left").distinct().join(roots, "node", "left").select("sig", "node", "n", "left", F.coalesce("root", "node").alias("root"))
+    rooted = first.select("sig", "node", "n", "left").join(roots, "node", "left").select("sig", "node", "n", "left", F.coalesce("root", "node").alias("root"))
 
     def open_(rows: DataFrame) -> DataFrame:
         """Signatures whose members lie in several components, and their least size."""
@@ -463,7 +500,7 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     cross = cross.select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
     cross = store(possible(cross, sets, percent).join(pairs, ["hub", "node"], "left_anti"))
     more = cross.select(F.col("hub").alias("node")).union(cross.select("node")).distinct()
-    more_texts = texts_of(docs, more, sets, seed, n) if cross.take(1) else texts
+    more_texts = texts_of(docs, more, sets) if cross.take(1) else texts
     out = store(found.union(links(verify(cross, more_texts, seed, n))))
     forget(first, stored_pairs, rest, cross, texts, more_texts)
     return out
@@ -477,38 +514,70 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return met.where(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).select("hub", "node")
 
 
-def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def joined_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2, n, node) of every row of docs (doc_id, text), and (node, component_id, size) of every node; size counts its rows."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seed = 0
+    seed, sketch = 0, sketch_bits(docs)
     while True:
-        both = store(read_sets(docs, seed, n))
-        sets = both.where("block is null").select("doc_id", "n", "node", "other", "bits")
+        both = store(read_sets(docs, seed, n, sketch))
+        sets = both.where("block is null").drop("block", "counts")
         meet = sets.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b"))
         if not meet.where("a <> b").take(1):
             break
         forget(both)
         seed += 1
-    counts = sum_blocks(both.where("block is not null").select("block", "counts"), SKETCH_BITS)
+    counts = sum_blocks(both.where("block is not null").select("block", "counts"), sketch)
     limit = int(FREQUENT_TIMES * counts.mean() + FREQUENT_LEAST)
     members = sign(docs, spark.sparkContext.broadcast(counts), limit, seed, n, percent)
     roots = components(links_within(members, sets, docs, seed, n, percent))
-    least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.join(named, "root").select("node", "component_id")
-    out = sets.join(of_node, "node", "left")
+    return sets.select("doc_id", "t1", "t2", "n", "node"), store(rooted.join(named, "root").select("node", "root", "component_id", "size"))
+
+
+def with_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sets, left-joined with the columns of their nodes; rows of hot nodes are not shuffled."""
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    hot = nodes.where(F.col("size") * HOT_SHARE > total)  # fewer than HOT_SHARE nodes, whatever the data
+    met = sets.join(F.broadcast(hot), "node")
+    # rows without a node have nothing to meet
+    rest = sets.where("node is not null").join(F.broadcast(hot.select("node")), "node", "left_anti").join(nodes, "node")
+    none = sets.where("node is null").select(*[sets[c] for c in sets.columns], *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c != "node"])
+    return met.unionByName(rest).unionByName(none)
+
+
+def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets, nodes = joined_sets(docs, n, percent)
+    out = with_nodes(sets, nodes)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of a component, with their columns.
+    """One row of docs of every component, with its columns; rows without words are in no group and stay.
 
-    Rows that repeat a doc_id are one document, which stays if one of them is the least of its component and no other goes; rows
-    without words and rows whose doc_id is null stay.
+    It is the row of the least doc_id (a null id is the largest), then of the least hash of its text; of rows that repeat both, any one.
     """
-    found = join_components(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    sets, nodes = joined_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), n, percent)
+    key = ["doc_id", "t1", "t2"]
+    # the rows of a node meet in their minimum before anything is joined
+    least = sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key)).alias("best")).join(nodes.select("node", "root"), "node")
+    best = least.groupBy("root").agg(F.min("best").alias("best")).select(*[F.col(f"best.{c}").alias(f"b_{c}") for c in key])
+    rows = sets.where("node is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).select(*[F.col(c).alias(f"k_{c}") for c in key], "copies")
+
+    def same(one: str, other: str) -> Column:
+        x, y, z = (F.col(f"{one}{c}").eqNullSafe(F.col(f"{other}{c}")) for c in key)
+        return x & y & z
+
+    gone = store(rows.join(best, same("k_", "b_"), "left_anti"))
+    again = store(rows.where("copies > 1").join(best, same("k_", "b_"), "left_semi"))
+    t1, t2 = hash128(F.coalesce("text", F.lit("")))
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("r_doc_id"), t1.alias("r_t1"), t2.alias("r_t2"))
+    kept = given.join(gone, same("r_", "k_"), "left_anti")
+    if again.take(1):  # rows that repeat whole
+        copies = kept.join(again, same("r_", "k_"), "left_semi").groupBy("r_doc_id", "r_t1", "r_t2").agg(F.first("row").alias("row"))
+        kept = kept.join(again, same("r_", "k_"), "left_anti").select("row").union(copies.select("row"))
+    return kept.select("row.*")

@@ -109,10 +109,21 @@ def test_edges(make_docs):
 
 def test_keep_one(make_docs):
     t = "one two three four five six seven"
-    rows = [(5, t), (2, t.upper()), (7, None), (8, ""), (None, t), (9, "quite another text of some words")]
+    rows = [(5, t), (2, t.upper()), (7, None), (8, ""), (None, t), (9, "quite another text of some words"), (5, "a clean text under an id that repeats, with words of its own")]
+    rows += [(11, "this row is there twice, as it is, in every column")] * 2 + [(None, "and so is this one, which has no id at all")] * 3
     kept = j.keep_one(make_docs(rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "9", "None"]
+    want = [(2, t.upper()), (5, rows[6][1]), (7, None), (8, ""), (9, rows[5][1]), (11, rows[7][1]), (None, rows[9][1])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_null_ids_and_a_hot_set(make_docs):
+    """Ten thousand rows without an id, a third of all rows one set: no join multiplies them."""
+    t = "the same words again and again in every row of this group"
+    rows = [(None, f"{t} {i % 50}") for i in range(6000)] + [(None, t)] * 4000 + [(i, t) for i in range(5000)]
+    out = j.join_components(make_docs(rows)).collect()
+    assert len(out) == 15_000 and {r["component_id"] for r in out} == {0}
+    assert [r["doc_id"] for r in j.keep_one(make_docs(rows)).collect()] == [0]
 
 
 def test_components_of_long_paths_and_stars(spark):
