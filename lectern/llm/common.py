@@ -31,8 +31,7 @@ def ship(spark: SparkSession) -> None:
 
     The package is sent unless executors find it by PYTHONPATH or in their working folder.
     """
-    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p} | {os.getcwd()}
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_lectern_shipped", False):

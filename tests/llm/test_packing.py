@@ -39,7 +39,7 @@ def test_cuts():
 
 def test_round_trip(spark, make_docs):
     t = reference()
-    rows = [(1, "Some words here.\nAnd more."), (2, None), (3, ""), (4, "x " * 30_000), (4, "again"), (4, "again"), (None, "no id")]
+    rows = [(1, "Some words here.\nAnd more."), (2, None), (3, ""), (4, "x " * 30_000), (9, "x y " * 800_000), (4, "again"), (4, "again"), (None, "no id")]
     out = packing.pack(make_docs(rows).withColumnsRenamed({"lang": "ids", "source": "length"})).collect()
     assert len({r["sequence_id"] for r in out}) == len(out) and {r["offset"] for r in out} == {0}
     docs = defaultdict(list)
