@@ -97,7 +97,7 @@ def alias_products(spec: object, common: dict[str, list[str]]) -> list[str]:
 def parse_config(text: str, catalog: Catalog) -> CorpusConfig:
     """The configuration of a corpus; every value has a default, and unknown keys are ignored."""
     from .functions.references import parse_references
-    from .functions.tokens import lemmas
+    from .functions.tokens import lemma, lemmas
 
     try:
         raw = tomllib.loads(text)
@@ -116,7 +116,7 @@ def parse_config(text: str, catalog: Catalog) -> CorpusConfig:
         out.book_aliases[book.ord] = [a for s in specs for a in alias_products(s, aliases.get("common", {}))]
     search = raw.get("search", {})
     out.index, out.languages = search.get("index", True), search.get("languages")
-    out.ignored_words = sorted({normalize_key(w) for w in search.get("ignored_words", [])})
+    out.ignored_words = sorted({lemma(normalize_key(w, out.languages)) for w in search.get("ignored_words", [])})
 
     def bound(reference: str) -> tuple[int, int, int, int]:
         found = parse_references(reference, catalog)
@@ -134,6 +134,6 @@ def parse_config(text: str, catalog: Catalog) -> CorpusConfig:
                     low, high = (*low[:2], low[2], low[2]), (*high[:2], high[3], 255)
                 else:
                     low, high = (*low[:2], low[2], 0), (*high[:2], high[3], 255)
-                out.footnotes.append(FootnoteRule(tuple(lemmas(phrase)), low, high, rule["footnote"], priority))
+                out.footnotes.append(FootnoteRule(tuple(lemmas(phrase, out.languages)), low, high, rule["footnote"], priority))
                 priority += 1
     return out

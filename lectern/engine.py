@@ -12,6 +12,7 @@ from .functions.catalog import Catalog, load
 from .functions.markers import text_direction
 from .functions.normalize import normalize_key
 from .functions.references import Parser, Part
+from .functions.tokens import scripts
 from .operators import footnotes, navigation, search
 from .operators import index as ix
 from .operators import nodes as nd
@@ -51,7 +52,16 @@ class Engine:
     def index_of(n: DataFrame, configs: dict[str, CorpusConfig]) -> DataFrame:
         """Postings of all corpora that are indexed, each without its own ignored words."""
         off = [k for k, c in configs.items() if not c.index]
-        p = ix.postings(n.where(~F.col("corpus_id").isin(off)) if off else n)
+        n = n.where(~F.col("corpus_id").isin(off)) if off else n
+        # corpora that read their text alike are indexed together
+        own: dict[tuple[str, ...], list[str]] = {}
+        for corpus, c in configs.items():
+            if c.index and scripts(c.languages) != scripts():
+                own.setdefault(tuple(c.languages), []).append(corpus)
+        special = [k for group in own.values() for k in group]
+        p = ix.postings(n.where(~F.col("corpus_id").isin(special)) if special else n)
+        for languages, group in own.items():
+            p = p.unionByName(ix.postings(n.where(F.col("corpus_id").isin(group)), languages=list(languages)))
         for corpus, c in configs.items():
             if c.ignored_words:
                 p = p.where(~((F.col("corpus_id") == corpus) & F.col("lemma").isin(c.ignored_words)))
@@ -140,7 +150,7 @@ class Engine:
 
     def find_words(self, corpus: str, n: DataFrame, term: str, start: int, count: int, mode: str) -> dict:
         p = self.postings.where(F.col("corpus_id") == corpus)
-        query = search.query_frame(self.spark, term)
+        query = search.query_frame(self.spark, term, self.corpus_config(corpus).languages)
         found = search.hits(p, query, mode).cache()
         try:
             total = found.count()

@@ -1,11 +1,15 @@
 """Normalisation of queries and names, with the way back to the source text.
 
-The full form decomposes compatibly, folds case, kana, ligatures and quotes, and drops controls, marks and white space. Column
-forms: `fold` stays in the JVM and suits text that is already composed Latin; `normalize_column` is the full form.
+The full form decomposes compatibly, folds case, kana, ligatures, quotes, Arabic and Persian letters, Vietnamese đ and Turkish ı, and drops
+controls, marks and white space. Swedish and Persian differ from other languages of their scripts, so they count where they are named:
+Swedish keeps å, ä and ö, and Persian has its own yeh and kaf where Arabic has others. Variants of Chinese signs become one where Unicode holds
+them as compatible; further tables of variants are not part of Python. `normalize_column` is the column form; `fold` stays in the JVM and suits
+composed Latin text.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,38 +19,48 @@ from pyspark.sql import functions as F
 #: Signs that are written alike.
 SAME = {"æ": "ae", "œ": "oe", "‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"'}
 KATAKANA_LOW, KATAKANA_HIGH, KANA_SHIFT = 0x30A1, 0x30F6, 0x60
-#: Voiced sound marks belong to the letter, other marks do not.
+#: Voiced sound marks belong to the letter. Of other marks, those of these scripts (by their names) are dropped; elsewhere marks are vowels.
 KEPT_MARKS = "゙゚"
+DROPPED_MARKS = ("COMBINING", "HEBREW", "ARABIC", "THAI")
+#: Letters that are written alike: forms of alef, yeh and teh, the stretching sign, Vietnamese and Turkish letters; Persian has others of the first.
+ARABIC = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ی": "ي", "ک": "ك", "ة": "ه", "ـ": "", "đ": "d", "ı": "i"}
+PERSIAN = ARABIC | {"ى": "ی", "ي": "ی", "ی": "ی", "ك": "ک", "ک": "ک"}
+SWEDISH = frozenset("åäöÅÄÖ")
 
 
-def fold_char(c: str) -> str:
+def fold_char(c: str, languages: frozenset[str] = frozenset()) -> str:
     """What a character becomes; empty where it vanishes."""
+    if c in SWEDISH and "swe" in languages:
+        return c.lower()
+    letters = PERSIAN if "pes" in languages or "fas" in languages else ARABIC
     out = []
-    for d in unicodedata.normalize("NFKD", c).lower():
-        d = SAME.get(d, d)
+    for d in unicodedata.normalize("NFKD", letters.get(c, c)).lower():
+        d = SAME.get(d, letters.get(d, d))
         for e in d:
             code = ord(e)
             if KATAKANA_LOW <= code <= KATAKANA_HIGH:
                 e = chr(code - KANA_SHIFT)
             kind = unicodedata.category(e)
-            if e.isspace() or kind == "Cc" or kind == "Mn" and e not in KEPT_MARKS:
+            if e.isspace() or kind == "Cc" or kind == "Mn" and e not in KEPT_MARKS and unicodedata.name(e, "").startswith(DROPPED_MARKS):
                 continue
             out.append(e)
     return unicodedata.normalize("NFC", "".join(out)) if any(m in out for m in KEPT_MARKS) else "".join(out)
 
 
-def normalize(text: str) -> tuple[str, list[int]]:
+def normalize(text: str, languages: list[str] | None = None) -> tuple[str, list[int]]:
     """The normalised text, and for each of its characters and its end the place in the source."""
-    out, places = [], []
+    out, places, named = [], [], frozenset(languages or ())
+    if "swe" in named:  # letters that are decomposed are put together first, at the place of the letter
+        text = re.sub("([aoAO])([\u0308\u030a])", lambda m: unicodedata.normalize("NFC", m[0]).ljust(2, "\u0301"), text)
     for i, c in enumerate(text):
-        for d in fold_char(c):
+        for d in fold_char(c, named):
             out.append(d)
             places.append(i)
     return "".join(out), [*places, len(text)]
 
 
-def normalize_key(text: str) -> str:
-    return normalize(text)[0]
+def normalize_key(text: str, languages: list[str] | None = None) -> str:
+    return normalize(text, languages)[0]
 
 
 def byte_map(text: str) -> list[int | None]:

@@ -40,21 +40,23 @@ def adjacent_chapters(chapters: DataFrame, wanted: DataFrame, order: DataFrame,
 
     Chapters beyond the catalog's count cannot be reached. A wanted chapter need not exist: the nearest ones around its place count. A book
     without chapters in the catalog has neither.
+
+    Neighbours are worked out once for each place that exists or is asked for: a few thousand a corpus at most, as numbers
+    outside a book count as the places before and after it. Requests meet them in a join; however many there are, no window holds them.
     """
     catalog = catalog or load()
     dim = catalog.frame(wanted.sparkSession).select(F.col("ord").alias("book_ord"), "chapter_count")
+    dim = dim.join(order.select("book_ord", "group_id", "pos"), "book_ord")
     dim = F.broadcast(dim)  # 113 books
-    there = chapters.select("corpus_id", "book_ord", F.col("number").alias("chapter")).distinct().join(dim, "book_ord").where(F.col("chapter") <= F.greatest("chapter_count", F.lit(1)))
-    there = there.join(F.broadcast(order), "book_ord").select("corpus_id", "group_id", "pos", "book_ord", "chapter", F.lit(None).cast("long").alias("req_id"))
-    asked = wanted.join(dim, "book_ord").where("chapter_count > 0").join(F.broadcast(order), "book_ord").select("corpus_id", "group_id", "pos", "book_ord", "chapter", F.col("req_id").cast("long").alias("req_id"))
-    both = there.unionByName(asked)
-    line = Window.partitionBy("corpus_id", "group_id").orderBy("pos", "chapter")
-    own = F.when(F.col("req_id").isNull(), F.struct("book_ord", "chapter"))
-    # rows of one chapter tie: rank them so that a range can leave them out
-    ranked = both.withColumn("rank", F.dense_rank().over(line)).withColumn("own", own)
-    by_rank = Window.partitionBy("corpus_id", "group_id").orderBy("rank")
-    out = ranked.withColumns({
-        "previous_chapter": F.last("own", ignorenulls=True).over(by_rank.rangeBetween(Window.unboundedPreceding, -1)),
-        "next_chapter": F.first("own", ignorenulls=True).over(by_rank.rangeBetween(1, Window.unboundedFollowing)),
-    })
-    return out.where("req_id is not null").select("req_id", "previous_chapter", "next_chapter")
+    last = F.greatest("chapter_count", F.lit(1))
+    place = ["corpus_id", "book_ord", "chapter"]
+    there = chapters.select("corpus_id", "book_ord", F.col("number").alias("chapter")).distinct().join(dim, "book_ord").where(F.col("chapter") <= last)
+    asked = wanted.select(F.col("req_id").cast("long").alias("req_id"), *place).join(dim, "book_ord").where("chapter_count > 0").withColumn("chapter", F.least(F.greatest("chapter", F.lit(-1)), last + 1))
+    marked = there.select("corpus_id", "group_id", "pos", "book_ord", "chapter", F.lit(True).alias("exists")).unionByName(asked.select("corpus_id", "group_id", "pos", "book_ord", "chapter", F.lit(False).alias("exists")))
+    places = marked.groupBy("corpus_id", "group_id", "pos", "book_ord", "chapter").agg(F.max("exists").alias("exists"))
+    own = F.when(F.col("exists"), F.struct("book_ord", "chapter"))
+    line = Window.partitionBy("corpus_id", "group_id")
+    before = line.orderBy("pos", "chapter").rowsBetween(Window.unboundedPreceding, -1)
+    after = line.orderBy(F.desc("pos"), F.desc("chapter")).rowsBetween(Window.unboundedPreceding, -1)
+    near = places.withColumns({"previous_chapter": F.last(own, ignorenulls=True).over(before), "next_chapter": F.last(own, ignorenulls=True).over(after)})
+    return asked.select("req_id", *place).join(near.select(*place, "previous_chapter", "next_chapter"), place).select("req_id", "previous_chapter", "next_chapter")

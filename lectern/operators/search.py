@@ -20,24 +20,25 @@ def check_page(start: int, count: int) -> None:
         raise SearchError(f"start must not be negative, and count at most {LARGEST_PAGE}")
 
 
-def query_frame(spark: SparkSession, term: str) -> DataFrame:
+def query_frame(spark: SparkSession, term: str, languages: list[str] | None = None) -> DataFrame:
     """The words of a query, one row each; a word that repeats counts each time."""
-    return spark.createDataFrame([(w,) for w in lemmas(term)], "lemma string")
+    return spark.createDataFrame([(w,) for w in lemmas(term, languages)], "lemma string")
 
 
 def hits(p: DataFrame, query: DataFrame, mode: str = "occurrence") -> DataFrame:
     """References with their occurrences, in canonical order by `orderBy` of the caller.
 
     occurrence: as many occurrences of query words as there are query words that the index knows. all_terms: every known query
-    word occurs. The query is the few words that a person typed, so it goes to all tasks; postings shuffle by reference only
-    after the probe has cut them down, with counts combined before.
+    word occurs. The query is the few words that a person typed, so it goes to all tasks; what the probe leaves of the postings is counted
+    before it is shuffled by reference, once.
     """
-    found = p.join(F.broadcast(query), "lemma").select("corpus_id", *REF, "lemma")
-    # one exchange, by reference, which both counts below read: they use the same columns of it, so Spark reuses it
-    cells = found.repartition("corpus_id", *REF).groupBy("corpus_id", *REF, "lemma").agg(F.count(F.lit(1)).alias("n"))
-    there = cells.groupBy("lemma").agg(F.sum("n").alias("n")).where("n > 0").select("lemma")
-    known = query.join(F.broadcast(there), "lemma", "left_semi").agg(F.count(F.lit(1)).alias("n_all"), F.count_distinct("lemma").alias("n_terms"))
-    grouped = cells.groupBy("corpus_id", *REF).agg(F.sum("n").alias("occurrences"), F.count("lemma").alias("terms"))
+    asked = query.groupBy("lemma").agg(F.count(F.lit(1)).alias("times"))
+    found = p.join(F.broadcast(asked), "lemma").select("corpus_id", *REF, "lemma", "times")
+    # a set of the query's words that occur: both counts combine in the tasks of the scan
+    grouped = found.groupBy("corpus_id", *REF).agg(F.sum("times").alias("occurrences"), F.collect_set("lemma").alias("held"))
+    grouped = grouped.withColumn("terms", F.size("held"))
+    there = grouped.select(F.explode("held").alias("lemma")).distinct()
+    known = asked.join(F.broadcast(there), "lemma", "left_semi").agg(F.sum("times").alias("n_all"), F.count(F.lit(1)).alias("n_terms"))
     # one row
     both = grouped.join(F.broadcast(known))
     return both.where(F.col("occurrences") == F.col("n_all") if mode == "occurrence" else F.col("terms") == F.col("n_terms")).select("corpus_id", *REF, "occurrences")

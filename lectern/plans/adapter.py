@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import sentence_array, surface_array
+from ..functions.tokens import lemma_column, sentence_array, surface_array
 from ..operators.index import token_rows
 
 #: Lines of a document that a segment number has room for.
@@ -43,7 +43,7 @@ CARRY = ("corpus_id", "book_ord", "chapter", "v_first", "v_last", "segment")
 def postings(documents: DataFrame) -> DataFrame:
     """The postings of the documents, without places in the sentence."""
     tokens = sentences(documents).select(*CARRY, F.posexplode(surface_array(F.col("text"))).alias("pos", "surface"))
-    return tokens.withColumn("lemma", F.lower("surface"))
+    return tokens.withColumn("lemma", lemma_column(F.col("surface")))
 
 
 def placed_postings(some: DataFrame) -> DataFrame:
@@ -87,6 +87,6 @@ s AS (SELECT corpus_id, book_ord, chapter, unnest(ss) AS sentence, generate_subs
 POSTINGS_SQL = (
     SENTENCES_SQL
     + r""",
-w AS (SELECT corpus_id, book_ord, chapter, verse, unnest(ws) AS surface, generate_subscripts(ws, 1) AS pos FROM (SELECT *, regexp_extract_all(sentence, '[\p{L}\p{N}]+') AS ws FROM s)),
-p AS (SELECT *, lower(surface) AS lemma FROM w)"""
+w AS (SELECT corpus_id, book_ord, chapter, verse, unnest(ws) AS surface, generate_subscripts(ws, 1) AS pos FROM (SELECT *, regexp_extract_all(sentence, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') AS ws FROM s)),
+p AS (SELECT *, strip_accents(lower(surface)) AS lemma FROM w)"""
 )

@@ -121,9 +121,9 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SENTENCES_SQL}, r AS (SELECT corpus_id, book_ord, chapter, verse, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT *, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS rs FROM s)), "
+    f"WITH {SENTENCES_SQL}, r AS (SELECT corpus_id, book_ord, chapter, verse, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT *, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*|[^\\p{{L}}\\p{{N}}]+') AS rs FROM s)), "
     "o AS (SELECT *, sum(length(run)) OVER (PARTITION BY corpus_id, book_ord, chapter, verse ORDER BY k) AS e FROM r), "
-    "h AS (SELECT * FROM o WHERE lower(run) IN ('worthless', 'idiot')) "
+    "h AS (SELECT * FROM o WHERE strip_accents(lower(run)) IN ('worthless', 'idiot')) "
     "SELECT corpus_id, book_ord, chapter, verse AS v_first, verse AS v_last, string_agg(CAST(e - length(run) AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY k) AS highlights FROM h GROUP BY corpus_id, book_ord, chapter, verse"
 )
 def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,7 +523,7 @@ def json_props_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"), F.count("props").alias("with_props"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) AS INTEGER) AS words, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS INTEGER) AS lemmas FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}]*')) AS INTEGER) AS words, CAST(len(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+'))) AS INTEGER) AS lemmas FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return _docs(spark, sf_dir).select("doc_id", F.size(surface_array(text)).alias("words"), F.size(F.array_distinct(word_array(text))).alias("lemmas"))
