@@ -1,16 +1,20 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Vectors are integers (floor of 256 times each component). Rows are packed into blocks; a block holds its exact vectors and its
-approximation: the cell of every component, a few leading bits. Queries, a stated set, are packed into blocks too, and every
-block of rows meets every block of queries. There, the cells give a lower and an upper bound for each score; the kth best lower
-bound so far excludes rows; exact vectors of the others are read in the order of their upper bounds until the kth exact score is
-certain. The best k are carried from block to block of a task, so each (query, lane) yields k rows, and a last ranking
-takes the best k of the lanes. No side is broadcast; query blocks are copied once for each lane.
+Vectors are integers (floor of 256 times each component). The approximation file holds, for each row, its id, a hash of its vector and the cell of every
+component: its leading bits, one byte, in blocks with a cell width for each dimension. Queries, a stated set, are packed into blocks too.
+
+First the file is scanned: every block of cells meets every block of queries, and the cells give a lower and an upper bound for each score. A row whose upper
+bound is below the kth best lower bound is out, and so is one that k rows of the same vector and smaller ids stand before; what stays is (query, row, upper bound). Then exact vectors are read in the order of the bounds: for
+the NEAR best of each query first, whose kth exact score rules out all but the few rows whose upper bound still reaches it; those
+are read next, and the kth result is certain. Exact vectors travel for such candidates only, cells (an eighth of a long) for the scan.
+
+Row blocks are copied once for each block of QUERIES_A_BLOCK queries, query blocks once for each of `lanes`: tasks are the products, and both
+copies are of cells or of queries, not of exact rows. No side is broadcast.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; empty vectors have no component
 and take no part. Only vectors of equal length are compared. A query's own row is every row with its vec_id; where rows repeat
-a query's id, the smallest vector asks. Candidates that repeat an id count each. Null ids take no part. Scores beyond a long
-are outside the contract.
+a query's id, the smallest vector asks. Candidates that repeat an id count each. Null ids take no part. An empty table, and one without a query, give no rows;
+other columns are not read, whatever their names. Components of 2**50 and more, and scores beyond a long, are outside the contract.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship, store
 
 K, EVERY, SCALE = 5, 50, 256
-ROWS_A_BLOCK, QUERIES_A_BLOCK, LANES, CELL_BITS = 1024, 1024, 24, 6
+#: Rows of a block of cells, queries of a block, queries that a task compares at a time.
+ROWS_A_BLOCK, QUERIES_A_BLOCK, QUERIES_AT_ONCE, LANES = 1024, 8192, 1024, 24
+#: Leading bits of a component in its cell, with its sign; exact vectors read in the first turn, over k.
+CELL_BITS, NEAR = 8, 4
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -35,119 +42,153 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
-def pack_blocks(size: int, lanes: int):
-    """Rows (vec_id, v) into rows (lane, dim, ids, vectors), size at most in each."""
-
+def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of some vectors (rows x dimensions, one byte) and the width of a cell in each dimension, as a shift."""
+    top = np.maximum(vectors.max(axis=0), ~vectors.min(axis=0))
+    shift = np.array([max(0, int(x).bit_length() - (CELL_BITS - 1)) for x in top], dtype=np.int64)
+    return (vectors >> shift).astype(np.int8), shift
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of the lower edges of the cells (queries x rows), and what each query may gain or lose within them."""
+    low = (cells.astype(np.int64) << shift).astype(np.float64)
+    wide = ((np.int64(1) << shift) - 1).astype(np.float64)
+    q = queries.astype(np.float64)
+    # float sums of large integers may round; the slack keeps the bounds on the safe side
+    slack = np.abs(q) @ (np.abs(low).max(axis=0, initial=0) + wide + 1) * 1e-12
+    return q @ low.T, np.maximum(q, 0) @ wide + slack, np.minimum(q, 0) @ wide - slack
+
+
+class Scan:
+    """The candidates of a block of queries, as blocks of cells come by."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.best = np.full((len(ids), k), -np.inf)  # the best lower bounds
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def meet(self, ids: np.ndarray, hashes: np.ndarray, cells: np.ndarray, shift: np.ndarray) -> None:
+        for at in range(0, len(self.ids), QUERIES_AT_ONCE):
+            part = slice(at, at + QUERIES_AT_ONCE)
+            edge, gain, loss = bounds(self.queries[part], cells, shift)
+            edge[self.ids[part, None] == ids] = -np.inf
+            lows = np.concatenate([self.best[part], edge + loss[:, None]], axis=1)
+            self.best[part] = np.partition(lows, lows.shape[1] - self.k, axis=1)[:, -self.k :]
+            upper = edge + gain[:, None]
+            q, r = np.nonzero((upper >= self.best[part].min(axis=1)[:, None]) & (edge > -np.inf))
+            self.found.append((q + at, ids[r], hashes[r], upper[q, r]))
+            self.held += len(q)
+        if self.held > 1_000_000:
+            self.prune()
+
+    def prune(self) -> None:
+        """Drop what the best lower bounds rule out, and of rows with one vector all but the k of the least ids: the others lose the tie."""
+        q, ids, hashes, upper = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        keep = upper >= self.best.min(axis=1)[q]
+        q, ids, hashes, upper = q[keep], ids[keep], hashes[keep], upper[keep]
+        order = np.lexsort((ids, hashes, q))
+        q, ids, hashes, upper = q[order], ids[order], hashes[order], upper[order]
+        fresh = np.concatenate(([True], (q[1:] != q[:-1]) | (hashes[1:] != hashes[:-1]))) if len(q) else np.zeros(0, dtype=bool)
+        starts = np.maximum.accumulate(np.where(fresh, np.arange(len(q)), 0))
+        keep = np.arange(len(q)) - starts < self.k
+        self.found, self.held = [(q[keep], ids[keep], hashes[keep], upper[keep])], int(keep.sum())
+
+    def result(self) -> Iterator[pd.DataFrame]:
+        """Rows of candidates with their upper bounds, and the best lower bounds as rows without one."""
+        if self.found:
+            self.prune()
+            q, ids, hashes, upper = self.found[0]
+            for at in range(0, len(q), 100_000):
+                s = slice(at, at + 100_000)
+                yield pd.DataFrame({"query_id": self.ids[q[s]], "vec_id": ids[s], "h": hashes[s], "upper": upper[s], "lower": np.nan})
+        q, j = np.nonzero(self.best > -np.inf)
+        yield pd.DataFrame({"query_id": self.ids[q], "vec_id": np.zeros(len(q), dtype=np.int64), "h": np.zeros(len(q), dtype=np.int64), "upper": np.nan, "lower": self.best[q, j]})
+
+
+def pack_blocks(size: int, approximate: bool):
+    """Rows (vec_id, h, v) into rows (dim, ids, hashes, vectors, shift), size at most in each; vectors are cells or longs."""
+
+    @lean
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"], strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= size:
-                    yield block(held.pop(len(v)))
+            for row in zip(batch["vec_id"], batch["h"], batch["v"], strict=True):
+                dim = len(row[2])
+                held.setdefault(dim, []).append(row)
+                if len(held[dim]) >= size:
+                    yield block(held.pop(dim))
         for rows in held.values():
             yield block(rows)
 
-    def block(rows: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-        ids = np.array([i for i, _ in rows], dtype="<i8")
-        vectors = np.array([v for _, v in rows], dtype="<i8")
-        small = vectors.astype("<i2") if np.abs(vectors).max(initial=0) < 1 << 15 else vectors
-        return pd.DataFrame({"lane": [int(ids[0]) % lanes], "dim": [vectors.shape[1]], "width": [small.itemsize], "ids": [ids.tobytes()], "vectors": [small.tobytes()]})
+    def block(rows: list[tuple]) -> pd.DataFrame:
+        vectors = np.array([v for _, _, v in rows], dtype="<i8")
+        cells, shift = cells_of(vectors) if approximate else (vectors, np.zeros(vectors.shape[1], dtype="<i8"))
+        pair = [np.array([r[i] for r in rows], dtype="<i8").tobytes() for i in (0, 1)]
+        return pd.DataFrame({"dim": [vectors.shape[1]], "ids": [pair[0]], "hashes": [pair[1]], "vectors": [cells.tobytes()], "shift": [shift.astype("<i1").tobytes()]})
 
     return pack
 
 
-BLOCK = "lane int, dim int, width int, ids binary, vectors binary"
-
-
-def unpack(ids: bytes, vectors: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype="<i8"), np.frombuffer(vectors, dtype=f"<i{width}").reshape(-1, dim).astype(np.int64)
-
-
-class Approximation:
-    """The cells of a block and the score bounds that they give."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = CELL_BITS):
-        top = int(np.abs(vectors).max(initial=0))
-        self.shift = max(0, top.bit_length() - bits)
-        self.cells = vectors >> self.shift
-        self.inexact = float(top)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score of the lower cell edges (queries x rows), and what a query may gain or lose within the cells."""
-        edge = (queries.astype(np.float64) @ self.cells.T.astype(np.float64)) * float(1 << self.shift)
-        wide = float((1 << self.shift) - 1)
-        gain, loss = np.maximum(queries, 0).sum(axis=1) * wide, np.minimum(queries, 0).sum(axis=1) * wide
-        # float sums of large integers may round; the slack keeps the bounds on the safe side
-        slack = np.abs(queries).astype(np.float64).sum(axis=1) * (self.inexact + 1) * 1e-12
-        return edge, gain + slack, loss - slack
-
-
-def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    if len(vectors) and float(np.abs(vectors).max()) * float(np.abs(query).max()) * len(query) >= 2.0**62:
-        return np.array([sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in vectors], dtype=object)
-    return vectors @ query
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> int:
-    """Merge a block into best: for each query, up to k (-score, id) in order. Returns how many exact vectors were read."""
-    edge, gain, loss = Approximation(vectors).bounds(queries)
-    reads = 0
-    for j, own in enumerate(q_ids):
-        others = np.flatnonzero(ids != own)
-        if not len(others):
-            continue
-        upper = edge[j, others] + gain[j]
-        floor = -best[j][-1][0] if len(best[j]) == k else None
-        if len(others) > k:
-            certain = np.partition(edge[j, others] + loss[j], len(others) - k)[len(others) - k]
-            floor = certain if floor is None else max(floor, certain)
-        if floor is not None:
-            keep = upper >= floor
-            others, upper = others[keep], upper[keep]
-        order = np.argsort(-upper, kind="stable")
-        for at in range(0, len(order), 4 * k):
-            part = order[at : at + 4 * k]
-            if len(best[j]) == k and upper[part[0]] < -best[j][-1][0]:
-                break  # no later row can reach the kth score
-            rows = others[part]
-            reads += len(rows)
-            scores = exact_scores(vectors[rows], queries[j])
-            best[j] = sorted(best[j] + [(-int(s), int(i)) for s, i in zip(scores, ids[rows], strict=True)])[:k]
-    return reads
+BLOCK = "dim int, ids binary, hashes binary, vectors binary, shift binary"
 
 
-def top_k(df: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", lanes: int = LANES) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of every query (vec_id divisible by `every`)."""
-    ship(df.sparkSession)
-    rows = integer_vectors(df, id_col, vec_col)
-    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    q = asking.mapInPandas(pack_blocks(QUERIES_A_BLOCK, 1 << 30), BLOCK).select(F.xxhash64("ids").alias("qb"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"))
-    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    blocks = rows.mapInPandas(pack_blocks(ROWS_A_BLOCK, lanes), BLOCK).select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), "dim", "ids", "vectors", "width")
-    # first which blocks meet, then the vectors: tasks are as many as (query block, lane), and row blocks carry no query block on the way
-    meets = blocks.join(q.select("lane", "dim", "qb"), ["lane", "dim"])
-    met = meets.join(q, ["qb", "lane", "dim"]).sortWithinPartitions("qb", "lane", "dim")
+def scan_file(rows: DataFrame, asking: DataFrame, k: int, lanes: int) -> DataFrame:
+    """(query_id, vec_id, h, upper, lower): candidates with an upper bound, and lower bounds that at least as many rows reach."""
+    file = rows.mapInPandas(pack_blocks(ROWS_A_BLOCK, True), BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids", "hashes"), F.lit(lanes)).cast("int"))
+    q = asking.mapInPandas(pack_blocks(QUERIES_A_BLOCK, False), BLOCK).select(F.xxhash64("ids", "dim").alias("qb"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # a task is (block of queries, lane): its rows are the block itself, then the cells of the lane
+    spread = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    nothing = {c: F.lit(None).cast("binary") for c in ("ids", "hashes", "vectors", "shift")}
+    first = spread.select("qb", "lane", "dim", F.lit(0).alias("part"), "q_ids", "q_vectors", *[v.alias(c) for c, v in nothing.items()])
+    met = file.join(q.select("qb", "dim"), "dim").select("qb", "lane", "dim", F.lit(1).alias("part"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_vectors"), *nothing)
+    tasks = first.unionByName(met).repartition("qb", "lane", "dim").sortWithinPartitions("qb", "lane", "dim", "part")
 
+    @lean
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, q_ids, queries, best = None, None, None, []
+        now = None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if at != (r.qb, r.lane, r.dim):
-                    if at:
-                        yield result(q_ids, best)
-                    at = (r.qb, r.lane, r.dim)
-                    q_ids, queries = unpack(r.q_ids, r.q_vectors, r.dim, r.q_width)
-                    best = [[] for _ in q_ids]
-                ids, vectors = unpack(r.ids, r.vectors, r.dim, r.width)
-                search_block(ids, vectors, q_ids, queries, best, k)
-        if at:
-            yield result(q_ids, best)
-
-    def result(q_ids: np.ndarray, best: list[list[tuple[int, int]]]) -> pd.DataFrame:
-        out = [(int(q), i, -s) for q, own in zip(q_ids, best, strict=True) for s, i in own]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = met.select("qb", "lane", "dim", "q_ids", "q_vectors", "q_width", "ids", "vectors", "width").mapInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if r.part == 0:
+                    if now is not None:
+                        yield from now.result()
+                    now = Scan(np.frombuffer(r.q_ids, dtype="<i8"), np.frombuffer(r.q_vectors, dtype="<i8").reshape(-1, r.dim), k)
+                else:
+                    now.meet(np.frombuffer(r.ids, dtype="<i8"), np.frombuffer(r.hashes, dtype="<i8"), np.frombuffer(r.vectors, dtype=np.int8).reshape(-1, r.dim), np.frombuffer(r.shift, dtype="<i1").astype(np.int64))
+        if now is not None:
+            yield from now.result()
+
+    return tasks.mapInPandas(search, "query_id long, vec_id long, h long, upper double, lower double")
+
+
+def top_k(df: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", lanes: int = LANES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of every query (vec_id divisible by `every`)."""
+    ship(df.sparkSession)
+    rows = integer_vectors(df, id_col, vec_col).withColumn("h", F.xxhash64("v"))
+    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v"))
+    found = store(scan_file(rows, asking, k, lanes))
+    by_query = Window.partitionBy("query_id")
+    # the kth best lower bound over all lanes: k rows a query and lane
+    lows = found.where("upper is null").withColumn("r", F.row_number().over(by_query.orderBy(F.desc("lower")))).where(F.col("r") == k).select("query_id", F.col("lower").alias("least"))
+    near = found.where("upper is not null").drop("lower").join(lows, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).drop("least")
+    near = store(near.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "vec_id", "h"))))
+    one = store(exact(near.where(F.col("turn") <= NEAR * k), rows, asking))
+    # rows that can still reach the kth exact score
+    kth = one.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    more = near.where(F.col("turn") > NEAR * k).join(kth, "query_id").where(F.col("upper") >= F.col("kth")).drop("kth")
+    scores = one.unionByName(exact(more, rows, asking))
+    rank = F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exact(pairs: DataFrame, rows: DataFrame, asking: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of candidates (query_id, vec_id, h): their exact vectors are fetched by id and hash."""
+    wanted = pairs.select("vec_id", "h").distinct()
+    # rows that repeat whole are candidates of their own, so one copy of their vector is enough
+    vectors = rows.join(wanted, ["vec_id", "h"], "left_semi").dropDuplicates(["vec_id", "h"])
+    met = pairs.select("query_id", "vec_id", "h").join(vectors, ["vec_id", "h"]).join(asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return met.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda total, x: total + x)

@@ -41,14 +41,29 @@ def test_ties_few_rows_and_empty(spark):
 
 def test_bounds_hold_and_save_reads():
     r = np.random.default_rng(2)
-    vectors = np.floor(256 * r.normal(size=(1024, 64)) / 8).astype(np.int64)
-    queries = vectors[:32]
-    edge, gain, loss = topk.Approximation(vectors).bounds(queries)
-    exact = queries @ vectors.T
-    assert (exact <= edge + gain[:, None]).all() and (exact >= edge + loss[:, None]).all()
-    best = [[] for _ in queries]
-    reads = topk.search_block(np.arange(1024), vectors, np.arange(32), queries, best, 5)
-    assert reads < 32 * 1024 / 4
-    for j in range(32):
-        want = sorted((-int(s), i) for i, s in enumerate(exact[j]) if i != j)[:5]
-        assert best[j] == want
+    for scale in (1, 40, 10**6):
+        vectors = np.floor(256 * r.normal(size=(1024, 64)) * scale / 8).astype(np.int64)
+        vectors[:, 5] //= 50
+        cells, shift = topk.cells_of(vectors)
+        assert (cells.astype(np.int64) << shift <= vectors).all() and (vectors < (cells.astype(np.int64) + 1 << shift)).all()
+        queries = vectors[:32]
+        edge, gain, loss = topk.bounds(queries, cells, shift)
+        exact = queries @ vectors.T
+        assert (exact <= edge + gain[:, None]).all() and (exact >= edge + loss[:, None]).all()
+        scan = topk.Scan(np.arange(32), queries, 5)
+        for at in range(0, 1024, 256):
+            scan.meet(np.arange(at, at + 256), np.arange(at, at + 256), cells[at : at + 256], shift)
+        rows = [x for f in scan.result() for x in f.itertuples()]
+        candidates = {(x.query_id, x.vec_id) for x in rows if x.lower != x.lower}
+        assert len(candidates) < 32 * 1024 / 8
+        for j in range(32):
+            assert all((j, i) in candidates for _, i in sorted((-int(x), i) for i, x in enumerate(exact[j]) if i != j)[:5])
+
+
+def test_clashing_columns_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_A_BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 4)
+    r = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in r.normal(size=8)]) for i in range(400)] + [(7, [3.0] * 8)] * 9
+    df = spark.createDataFrame([(i, v, 1, 2.0, "x") for i, v in rows], "vec_id long, embedding array<float>, h int, lower double, query_id string")
+    assert sorted(tuple(x) for x in topk.top_k(df, every=10).collect()) == brute(rows, every=10)
