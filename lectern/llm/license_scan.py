@@ -1,17 +1,17 @@
 """License notices by MinHash bands over overlapping text windows, in DataFrame operations only.
 
 A text becomes the hashes of its word five-grams. For each length class of templates, windows of that length and a half overlap so
-that a whole notice lies in one of them. A window's MinHash values (the least of its hashes under each of HASHES fixed masks) are bands of
-one value; a template and a window that share a band are a candidate. A notice that lies in its window whole makes up two thirds
-of the window, or a third of the smallest one, so it is retrieved with a probability of 1 - (2/3)**HASHES at least. Candidates are
-verified by exact containment: the share of the template's distinct five-grams that the window holds.
+that a whole notice lies in one of them; for the shortest classes windows are a word longer than the class and start at every word. A window's MinHash values (the
+least of its grams' hashes under each of HASHES seeds) are bands of one value; a template and a window that share a band are a candidate. A notice that lies
+in its window whole makes up a third of the window at least, so it is retrieved with a probability of 1 - (2/3)**HASHES at least (a loss of 2 in a
+million). Candidates are verified by exact containment: the share of the template's distinct five-grams that the window holds.
 
-Windows that hold no five-gram of any template have a Jaccard similarity of zero with all of them and are not hashed. The
-templates are a parameter, and their table is small by its bound (MAX_TEMPLATES): it goes to all tasks.
+Windows that hold no five-gram of any template have a Jaccard similarity of zero with all of them and are not hashed; the five-grams of all templates are a set
+within the plan, built once, not data of a row. The templates are a parameter, bounded by MAX_TEMPLATES and MAX_WORDS in all, so their table is small: it goes to all tasks.
 
 Words: runs of letters and digits, in lower case. Defined results: a null or empty text, and one of fewer than five words,
 holds no notice; templates of fewer than five words are refused. Of a template's windows in a row the best containment counts, then the
-first. Rows that repeat an id are scanned each.
+first. Rows that repeat an id are scanned each. Texts of any length are read whole. An empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N, CONTAINMENT, HASHES, MAX_TEMPLATES = 5, 0.75, 32, 5000
+N, CONTAINMENT, HASHES, MAX_TEMPLATES, MAX_WORDS = 5, 0.75, 32, 5000, 200_000
+#: Classes of templates up to this many words have a window at every word.
+SHORT = 8
 
 #: Public license notices and the openings of public license texts.
 TEMPLATES = {
@@ -56,20 +58,9 @@ def gram_hashes(w: Column) -> Column:
     return F.transform(F.arrays_zip(*shifted), lambda s: F.xxhash64(*[s[f"w{j}"] for j in range(N)]))
 
 
-def masks(hashes: int) -> list[int]:
-    """Fixed 64-bit masks, the outputs of a linear congruential generator."""
-    out, x = [], 1
-    for _ in range(hashes):
-        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        out.append(x - (1 << 64) if x >> 63 else x)
-    return out
-
-
 def minhash(grams: Column, hashes: int = HASHES) -> list[Column]:
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform(grams, lambda h: h.bitwiseXOR(F.lit(mask))))
-
-    return [least(m) for m in masks(hashes)]
+    """The least hash of a set of grams under each seed."""
+    return [F.array_min(F.transform(grams, lambda h: F.xxhash64(F.lit(seed), h))) for seed in range(hashes)]
 
 
 def bands(grams: Column) -> Column:
@@ -80,6 +71,8 @@ def bands(grams: Column) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    if sum(len(t.split()) for t in templates.values()) > MAX_WORDS:
+        raise ValueError(f"templates of more than {MAX_WORDS} words in all")
     if short := [k for k, t in templates.items() if len(re.findall(r"[^\W_]+", t)) < N]:
         raise ValueError(f"templates of fewer than {N} words: {short}")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, template string")
@@ -94,25 +87,31 @@ def lengths(templates: dict[str, str]) -> list[tuple[int, int, int]]:
     for n in sorted({len(re.findall(r"[^\W_]+", t)) for t in templates.values()}):
         if n > top:
             top = max(n, n * 5 // 4)
-            out.append((top + (top + 1) // 2, (top + 1) // 2, top))
+            stride = 1 if top <= SHORT else (top + 1) // 2
+            out.append((top + stride, stride, top))
     return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, first_word, n_words of every notice: where the first of its five-grams stands."""
     templates = TEMPLATES if templates is None else templates
+    if not templates:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words")).where("false")
     known = template_table(docs.sparkSession, templates)
-    every = known.select(F.explode("t_grams").alias("g")).groupBy().agg(F.collect_set("g").alias("vocabulary"))
+    # the grams of the templates, MAX_WORDS at most
+    vocabulary = sorted(r["g"] for r in known.select(F.explode("t_grams").alias("g")).distinct().collect())
     # the generator keeps the words of a text a value of their own, made once, where a projection would be inlined into each slice
     parted = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
     hashed = parted.select("doc_id", F.explode(F.array(gram_hashes(F.col("w")))).alias("grams"))
-    # one row of template hashes, bounded by MAX_TEMPLATES
-    likely = hashed.join(F.broadcast(every), F.arrays_overlap("grams", "vocabulary")).withColumn("copy", F.monotonically_increasing_id())
-    spans = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).alias("stride")) for w, s, _ in lengths(templates)])
+    # the places of template grams in a text; windows are made around them only
+    places = F.filter(F.transform("grams", lambda g, i: F.when(g.isin(vocabulary), i)), lambda i: i.isNotNull())
+    likely = hashed.select("doc_id", "grams", F.explode(F.array(places)).alias("places")).where(F.size("places") > 0).withColumn("copy", F.monotonically_increasing_id())
+    spans = F.array(*[F.struct(F.lit(w - N + 1).alias("size"), F.lit(w).alias("window"), F.lit(s).alias("stride")) for w, s, _ in lengths(templates)])
     by_class = likely.withColumn("span", F.explode(spans))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("grams") - 1, F.lit(0)), F.col("span.stride"))
-    windows = by_class.withColumn("at", F.explode(starts)).select("doc_id", "copy", "span.window", "at", "vocabulary", F.slice("grams", F.col("at") + 1, F.col("span.window") - (N - 1)).alias("grams"))
-    windows = windows.where(F.arrays_overlap("grams", "vocabulary")).select("doc_id", "copy", "window", "at", "grams")
+    stride, size = F.col("span.stride"), F.col("span.size")
+    around = F.transform("places", lambda p: F.transform(F.sequence(F.ceil(F.greatest(p - size + 1, F.lit(0)) / stride).cast("int"), F.floor(p / stride).cast("int")), lambda k: k * stride))
+    cut = F.transform(F.array_distinct(F.flatten(around)), lambda at: F.struct(at.alias("at"), F.slice("grams", at + 1, size).alias("grams")))
+    windows = by_class.select("doc_id", "copy", "span.window", F.explode(cut).alias("cut")).select("doc_id", "copy", "window", "cut.at", "cut.grams")
     keyed = windows.withColumn("band", F.explode(bands(F.col("grams"))))
     retrieved = known.withColumn("band", F.explode(bands(F.col("t_grams"))))
     met = keyed.join(F.broadcast(retrieved), ["window", "band"])

@@ -30,8 +30,14 @@ def test_matches_brute_force(make_docs):
     assert got == want
 
 
-def test_minhash_of_equal_sets_is_equal_and_spread():
-    assert len(set(s.masks(32))) == 32
+def test_bands_retrieve_what_they_promise(make_docs):
+    """Notices of every length in long texts, hundreds each: none is lost."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    names = ["MIT-notice", "CC-BY-NC-4.0-notice", "Apache-2.0-notice", "GPL-3.0-notice", "ISC"]
+    rows = [(i, " ".join([*(word() for _ in range(r.randint(0, 90))), s.TEMPLATES[names[i % 5]], *(word() for _ in range(r.randint(0, 90)))])) for i in range(1500)]
+    assert {(x["doc_id"], x["license"]) for x in s.scan(make_docs(rows)).collect()} >= {(i, names[i % 5]) for i in range(1500)}
+    assert all(win - s.N + 1 <= 3 * max(1, n - s.N + 1) for win, _, top in s.lengths(s.TEMPLATES) for n in [min(len(re.findall(r"[^\W_]+", t)) for t in s.TEMPLATES.values() if top >= len(re.findall(r"[^\W_]+", t)) > top * 4 // 5 - 1)])
 
 
 def test_edges(make_docs):
@@ -42,3 +48,6 @@ def test_edges(make_docs):
     assert s.scan(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         s.scan(df, {"short": "four words are few"})
+    with pytest.raises(ValueError):
+        s.scan(df, {"long": "five " * 200_001})
+    assert s.scan(df, {}).collect() == []
