@@ -1,12 +1,14 @@
 """Shards by jump consistent hashing.
 
 A stable 64-bit key and the number of shards decide the shard; with one more shard a row stays or moves into the new
-one, so about 1/(n+1) of the rows move. The slot of a row within its shard comes from two levels, so that no task sorts a
-whole shard: rows are ranked within (shard, lane) and lanes start at the sum of the counts before them. The lane counts
-are shards x lanes rows, whatever the input.
+one, so about 1/(n+1) of the rows move. Shards are worked out once and stored with a number for each row, a few dozen bytes a row. The slot of a row within its
+shard comes from two levels, so that no task sorts a whole shard: rows are ranked within (shard, lane) and lanes start at the sum of the counts before
+them. Lanes follow the number of rows (LANE_ROWS each), and a row's number decides its lane, so that lanes are even whatever
+keys and texts repeat.
 
-Defined results: a null key counts as key -1. Keys are doc_ids, so repeated ids share a shard; ties of a slot are ordered by
-doc_id, size and checksum, and full repeats are interchangeable. A null text has no bytes.
+Defined results: a null key counts as key -1. Keys are doc_ids, so repeated ids share a shard; a row's shards depend on its key alone, its slot is a number
+within one result. A null text has no bytes; texts of any length are only measured. Rows that repeat have a slot each. An empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, store
 
-SHARDS, LANES, ROW_BYTES = 40, 64, 16
+SHARDS, LANE_ROWS, ROW_BYTES = 40, 50_000, 16
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -49,14 +51,16 @@ def jump_column(key, shards: int):
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     ship(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    lane = F.pmod(F.xxhash64(key), F.lit(LANES)).cast("int")
-    at = docs.select(jump_column(key, shards).alias("shard"), lane.alias("lane")).groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.monotonically_increasing_id().alias("number"))
+    key = F.coalesce("doc_id", F.lit(-1))
+    rows = store(slim.withColumns({"shard": jump_column(key, shards), "grown_shard": jump_column(key, shards + 1)}))
+    lanes = 1 + rows.count() // (shards * LANE_ROWS)
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(lanes)).cast("int"))
+    at = rows.groupBy("shard", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = at.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), jump_column(key, shards).alias("shard"), jump_column(key, shards + 1).alias("grown_shard"), lane.alias("lane"))
-    within = Window.partitionBy("shard", "lane").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    within = Window.partitionBy("shard", "lane").orderBy("number")
     ranked = rows.withColumn("within", F.row_number().over(within) - 1)
-    # shards x lanes rows at most: a bound that does not depend on the data
-    return ranked.join(F.broadcast(starts), ["shard", "lane"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("within")).alias("slot"), "grown_shard")
+    # a row for each LANE_ROWS rows; the join picks its way by their size
+    return ranked.join(starts, ["shard", "lane"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("within")).alias("slot"), "grown_shard")

@@ -43,3 +43,12 @@ def test_edges(make_docs):
     rows = sharding.shard_rows(df).collect()
     assert len(rows) == 4 and len({(r["shard"], r["slot"]) for r in rows}) == 4
     assert sharding.shard_rows(df.limit(0)).collect() == []
+
+
+def test_many_lanes_and_a_hot_key(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "LANE_ROWS", 5)
+    rows = sharding.shard_rows(make_docs([(7, "same")] * 700 + [(i, "other") for i in range(800)])).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 1500 and all(sorted(v) == list(range(len(v))) for v in slots.values())
