@@ -7,7 +7,7 @@ which first groups by (hash, document), and by the adaptive skew join, which spl
 
 Defined results: a null text is one empty line. Documents are told apart by doc_id: rows that repeat a doc_id count once,
 and all null ids count as one document, which is smaller than any other. Every row is returned, repeated ones too, and
-other columns pass through.
+other columns pass through, whatever their names. Of equal ids that hold a line last, each row keeps it. Texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
