@@ -180,7 +180,7 @@ class Engine:
         if refs:
             wanted = self.spark.createDataFrame([(i, corpus, r.book, r.chapter, r.first, r.last) for i, r in refs], "req_id long, corpus_id string, book_ord int, chapter int, v_first int, v_last int")
             c = self.corpus_config(corpus)
-            annotate = footnotes.annotator(c.footnotes) if generate_footnotes and c.footnotes else None
+            annotate = footnotes.annotator(c.footnotes, c.languages) if generate_footnotes and c.footnotes else None
             content = {r["req_id"]: json.loads(r["content"]) for r in ps.passages(n, wanted, annotate).collect()}
             order = navigation.book_order(self.spark, c.book_order, self.catalog)
             near = {r["req_id"]: r for r in navigation.adjacent_chapters(nd.chapter_list(n), wanted, order, self.catalog).collect()}

@@ -449,16 +449,11 @@ def footnote_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def told(texts: pd.Series) -> pd.Series:
-        shared = footnotes.Rules(rules)
+        book = footnotes.PhraseBook(rules)
 
         def one(text: str | None) -> list[str]:
-            finder, out = footnotes.PhraseFinder(shared, (1, 1, 1, 1)), []
-            for w in lemmas(text or ""):
-                if found := finder.push(w):
-                    out.append(" ".join(found[0]))
-            if found := finder.finish():
-                out.append(" ".join(found[0]))
-            return out
+            found = lemmas(text or "")
+            return [" ".join(found[a:b]) for a, b in book.told(found)]
 
         return texts.map(one)
 
