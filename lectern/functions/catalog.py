@@ -106,6 +106,6 @@ def read_catalog(text: str) -> Catalog:
 
 @functools.lru_cache(maxsize=4)
 def load(path: str | None = None) -> Catalog:
-    """The catalog at path, at $CATALOG_PATH, or in the fixtures beside the package."""
-    path = path or os.environ.get("CATALOG_PATH") or str(Path(__file__).resolve().parents[2] / "FIXTURES.md")
+    """The catalog at path, at $CATALOG_PATH, or that of the package."""
+    path = path or os.environ.get("CATALOG_PATH") or str(Path(__file__).with_name("catalog.md"))
     return read_catalog(Path(path).read_text(encoding="utf-8"))

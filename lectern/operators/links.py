@@ -21,6 +21,23 @@ class LinkError(ValueError):
         self.status = status
 
 
+def choose(stored: int | None, top: int, number: int | None, read_only: bool, offensive: Callable[[str], bool]) -> tuple[str, int]:
+    """(kind, value) that a list of references gets: the id it is stored under, its own number if that is short, or the next id that may be given out.
+
+    top is the largest id in use, number that of the list's code, if it has one.
+    """
+    if stored is not None:
+        return "id", stored
+    if number is not None and (number < top + 1 or read_only) and not offensive(base59_encode(number)):
+        return "encoded", number
+    if read_only:
+        raise LinkError(409, "the links cannot be written, and the list has no code")
+    new = top + 1
+    while offensive(base59_encode(new)):
+        new += STEP
+    return "new", new
+
+
 class LinkStore:
     """A table of links with one writer. offensive tells codes that must not be given out; none by default."""
 
@@ -45,23 +62,17 @@ class LinkStore:
         key = "|".join(f"{r.book}.{r.chapter}.{r.first}.{r.last}" for r in refs)
         known = self.table()
         there = known.where(F.col("refs_key") == key).agg(F.min("id")).first()[0]
-        if there is not None:
-            return {"type": "id", "value": base59_encode(there)}
         top = known.agg(F.max("id")).first()[0] or 0
         try:
             number = encode_number(refs, self.catalog)
         except CodecError:
             number = None
-        if number is not None and (number < top + 1 or self.read_only) and not self.offensive(base59_encode(number)):
-            return {"type": "encoded", "value": base59_encode(number)}
-        if self.read_only:
-            raise LinkError(409, "the links cannot be written, and the list has no code")
-        new = top + 1
-        while self.offensive(base59_encode(new)):
-            new += STEP
-        row = [(new, key, [(r.book, r.chapter, r.first, r.last) for r in refs])]
-        self.spark.createDataFrame(row, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-        return {"type": "id", "value": base59_encode(new)}
+        kind, value = choose(there, top, number, self.read_only, self.offensive)
+        if kind == "new":
+            row = [(value, key, [(r.book, r.chapter, r.first, r.last) for r in refs])]
+            self.spark.createDataFrame(row, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            kind = "id"
+        return {"type": kind, "value": base59_encode(value)}
 
     def resolve(self, kind: str, value: str) -> list[str]:
         try:

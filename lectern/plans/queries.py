@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, markers
-from ..functions.catalog import Catalog, load
-from ..functions.normalize import fold
+from ..functions.catalog import load
 from ..functions.references import parse_column
 from ..functions.tokens import lemmas, surface_array, word_array
 from ..operators import aliases, footnotes, index, navigation, passages, search
 from ..operators import nodes as node_ops
 from ..session import scratch
+from . import document_queries  # noqa: F401 - registers its queries
 from .adapter import POSTINGS_SQL, SENTENCES_SQL, nodes, placed_postings, postings, sentences, spread, table
+from .registry import QUERIES, SQL, dim_sql, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 STOP_WORDS = ("the", "of", "and", "der", "die", "und", "de", "la", "le", "el")
 REF = "corpus_id, book_ord, chapter, verse"
 
 
-def query(sql: str | Callable[[], str] | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql if isinstance(sql, str) else sql()
-        return f
-
-    return add
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -185,43 +171,9 @@ def passage_end_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("corpus_id", "book_ord", F.col("start_at.inner").alias("start_inner"), F.col("end_at.inner").alias("end_inner"))
 
 
-@query("SELECT conv_id, turn, CAST(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS current_user_turn, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM conversations")
-def carry_forward_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sofar = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    user = F.col("role") == "user"
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(user, F.col("turn")), ignorenulls=True).over(sofar).alias("current_user_turn"), F.count(F.when(user, 1)).over(sofar).alias("segment"))
-
-
-@query("WITH g AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM conversations) SELECT conv_id, segment, count(*) AS turns, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM g GROUP BY conv_id, segment")
-def segment_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sofar = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "conversations").withColumn("segment", F.count(F.when(F.col("role") == "user", 1)).over(sofar))
-    parts = rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("parts"))
-    return parts.select("conv_id", "segment", "turns", F.array_join(F.transform("parts", lambda x: x["t"]), " ").alias("text"))
-
-
-@query("SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS running_header, max(text) FILTER (WHERE turn = 1) AS long, max(text) FILTER (WHERE turn = 2) AS short, max(text) FILTER (WHERE turn = 3) AS abbreviation, coalesce(max(text) FILTER (WHERE turn = 2), max(text) FILTER (WHERE turn = 0), max(text) FILTER (WHERE turn = 3), max(text) FILTER (WHERE turn = 1), CAST(conv_id AS VARCHAR)) AS simple_name FROM conversations GROUP BY conv_id")
-def translated_info_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("running_header", "long", "short", "abbreviation")
-    wide = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(k) for i, k in enumerate(kinds)])
-    return wide.withColumn("simple_name", F.coalesce("short", "running_header", "abbreviation", "long", F.col("conv_id").cast("string")))
-
-
-@query("SELECT doc_id, first AS counted, doc_id <> first AS ignored FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS first FROM documents)")
-def duplicate_source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("key"))
-    first = docs.groupBy("key").agg(F.min("doc_id").alias("counted"))
-    return docs.join(first, "key").select("doc_id", "counted", (F.col("doc_id") != F.col("counted")).alias("ignored"))
-
-
 # Books, names and references ------------------------------------------------------------------------------------------
 
 
-def _dim_sql(catalog: Catalog) -> str:
-    rows = ", ".join(f"({b.ord}, '{b.usfm_id}', '{b.category}', {list(b.verse_counts)}::INTEGER[])" for b in catalog.books)
-    return f"dim(ord, usfm_id, category, counts) AS (VALUES {rows})"
-
-
 @query("WITH o AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS pos FROM nation) SELECT n_regionkey AS group_id, CAST(pos AS INTEGER) AS pos, n_nationkey AS book_ord, lag(n_nationkey) OVER w AS predecessor, lead(n_nationkey) OVER w AS successor FROM o WINDOW w AS (PARTITION BY n_regionkey ORDER BY pos)")
 def prev_next_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.neighbours(_nation_order(spark, sf_dir))
@@ -245,7 +197,7 @@ def successor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     lambda: (
         "WITH "
-        + _dim_sql(load())
+        + dim_sql(load())
         + ", there AS (SELECT lang AS corpus_id, CAST(doc_id % 66 AS INTEGER) AS book_ord, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS chapter FROM documents GROUP BY ALL), "
         "ok AS (SELECT t.* FROM there t JOIN dim ON ord = book_ord WHERE chapter <= len(counts)), "
         "asked AS (SELECT CAST(o_orderkey AS BIGINT) AS req_id, 'en' AS corpus_id, CAST(o_custkey % 66 AS INTEGER) AS book_ord, CAST(o_orderkey % 20 + 1 AS INTEGER) AS chapter FROM orders) "
@@ -281,14 +233,14 @@ def alias_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.permutations(names)
 
 
-@query(lambda: f"WITH {_dim_sql(load())} SELECT category, count(*) AS books, CAST(sum(len(counts)) AS BIGINT) AS chapters, CAST(sum(coalesce(list_sum(counts), 0)) AS BIGINT) AS verses FROM dim GROUP BY category")
+@query(lambda: f"WITH {dim_sql(load())} SELECT category, count(*) AS books, CAST(sum(len(counts)) AS BIGINT) AS chapters, CAST(sum(coalesce(list_sum(counts), 0)) AS BIGINT) AS verses FROM dim GROUP BY category")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = load().frame(spark)
     verses = F.aggregate("verse_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     return dim.groupBy("category").agg(F.count(F.lit(1)).alias("books"), F.sum("chapter_count").cast("long").alias("chapters"), F.sum(verses).alias("verses"))
 
 
-@query(lambda: f"WITH {_dim_sql(load())} SELECT l_orderkey, l_linenumber, usfm_id, CAST(l_suppkey % 60 + 1 AS INTEGER) AS chapter, CAST(l_partkey % 40 + 1 AS INTEGER) AS verse, CASE WHEN l_suppkey % 60 + 1 > len(counts) THEN 'out_of_bounds_chapter' WHEN l_partkey % 40 + 1 > counts[CAST(l_suppkey % 60 + 1 AS INTEGER)] THEN 'out_of_bounds_verse' END AS error_type FROM lineitem JOIN dim ON ord = l_orderkey % 98")
+@query(lambda: f"WITH {dim_sql(load())} SELECT l_orderkey, l_linenumber, usfm_id, CAST(l_suppkey % 60 + 1 AS INTEGER) AS chapter, CAST(l_partkey % 40 + 1 AS INTEGER) AS verse, CASE WHEN l_suppkey % 60 + 1 > len(counts) THEN 'out_of_bounds_chapter' WHEN l_partkey % 40 + 1 > counts[CAST(l_suppkey % 60 + 1 AS INTEGER)] THEN 'out_of_bounds_verse' END AS error_type FROM lineitem JOIN dim ON ord = l_orderkey % 98")
 def bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = F.broadcast(load().frame(spark).select("ord", "usfm_id", "chapter_count", "verse_counts"))  # 113 books
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 98).cast("int").alias("ord"), (F.col("l_suppkey") % 60 + 1).cast("int").alias("chapter"), (F.col("l_partkey") % 40 + 1).cast("int").alias("verse"))
@@ -297,26 +249,7 @@ def bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(dim, "ord").select("l_orderkey", "l_linenumber", "usfm_id", "chapter", "verse", error.alias("error_type"))
 
 
-def verse_ordinals(spark: SparkSession) -> DataFrame:
-    """Every verse of the canon with its place: 44,424 rows, whatever the data."""
-    dim = load().frame(spark).select("ord", F.posexplode("verse_counts").alias("c", "n"))
-    each = dim.select("ord", (F.col("c") + 1).alias("chapter"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("verse"))
-    return each.withColumn("place", F.row_number().over(Window.partitionBy("ord").orderBy("chapter", "verse")))
-
-
-@query(lambda: f"WITH {_dim_sql(load())}, c AS (SELECT ord, unnest(counts) AS n, generate_subscripts(counts, 1) AS chapter FROM dim), v AS (SELECT ord, chapter, unnest(range(1, n + 1)) AS verse FROM c), w AS (SELECT CAST(ord AS BIGINT) * 1000000 + chapter * 1000 + verse AS code FROM v) SELECT code, lag(code) OVER (ORDER BY code) AS previous, lead(code) OVER (ORDER BY code) AS next FROM w")
-def verse_ordinal_next_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours within a book by place, and across books by its first and last verse."""
-    v = verse_ordinals(spark).withColumn("code", F.col("ord").cast("long") * 1000000 + F.col("chapter") * 1000 + F.col("verse"))
-    ends = v.groupBy("ord").agg(F.min("code").alias("first"), F.max("code").alias("last"))
-    order = Window.partitionBy(F.lit(1)).orderBy("ord")
-    ends = ends.select("ord", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))  # 98 rows
-    w = Window.partitionBy("ord").orderBy("place")
-    rows = v.select("ord", "code", F.lag("code").over(w).alias("p"), F.lead("code").over(w).alias("n")).join(F.broadcast(ends), "ord")
-    return rows.select("code", F.coalesce("p", "before").alias("previous"), F.coalesce("n", "after").alias("next"))
-
-
-@query(lambda: f"WITH {_dim_sql(load())} SELECT o_orderkey, 0 AS book_ord, CASE WHEN e IS NULL THEN c END AS chapter, CASE WHEN e IS NULL THEN v END AS v_first, CASE WHEN e IS NULL THEN v END AS v_last, e AS error_type FROM (SELECT o_orderkey, c, v, CASE WHEN c > len(counts) THEN 'out_of_bounds_chapter' WHEN v > counts[c] THEN 'out_of_bounds_verse' END AS e FROM (SELECT o_orderkey, CAST(o_orderkey % 60 + 1 AS INTEGER) AS c, CAST(o_custkey % 40 + 1 AS INTEGER) AS v FROM orders) JOIN dim ON ord = 0) WHERE e IS NULL UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, CASE WHEN c > len(counts) THEN 'out_of_bounds_chapter' ELSE 'out_of_bounds_verse' END FROM (SELECT o_orderkey, CAST(o_orderkey % 60 + 1 AS INTEGER) AS c, CAST(o_custkey % 40 + 1 AS INTEGER) AS v FROM orders) JOIN dim ON ord = 0 WHERE c > len(counts) OR v > counts[c]")
+@query(lambda: f"WITH {dim_sql(load())} SELECT o_orderkey, 0 AS book_ord, CASE WHEN e IS NULL THEN c END AS chapter, CASE WHEN e IS NULL THEN v END AS v_first, CASE WHEN e IS NULL THEN v END AS v_last, e AS error_type FROM (SELECT o_orderkey, c, v, CASE WHEN c > len(counts) THEN 'out_of_bounds_chapter' WHEN v > counts[c] THEN 'out_of_bounds_verse' END AS e FROM (SELECT o_orderkey, CAST(o_orderkey % 60 + 1 AS INTEGER) AS c, CAST(o_custkey % 40 + 1 AS INTEGER) AS v FROM orders) JOIN dim ON ord = 0) WHERE e IS NULL UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, CASE WHEN c > len(counts) THEN 'out_of_bounds_chapter' ELSE 'out_of_bounds_verse' END FROM (SELECT o_orderkey, CAST(o_orderkey % 60 + 1 AS INTEGER) AS c, CAST(o_custkey % 40 + 1 AS INTEGER) AS v FROM orders) JOIN dim ON ord = 0 WHERE c > len(counts) OR v > counts[c]")
 def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-formed references of one book, some out of bounds, through the full grammar."""
     text = F.concat(F.lit("Genesis "), (F.col("o_orderkey") % 60 + 1).cast("string"), F.lit(":"), (F.col("o_custkey") % 40 + 1).cast("string"))
@@ -368,44 +301,6 @@ def base59_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base59_encode(spark, sf_dir).select("o_orderkey", codec.base59_decode_column(F.translate("code", "01", "OI")).alias("number"))
 
 
-@query("SELECT o_orderkey, true AS same FROM orders")
-def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of two references, encoded and decoded."""
-    known = load()
-
-    @F.pandas_udf("boolean")
-    def same(key: pd.Series, cust: pd.Series) -> pd.Series:
-        from ..functions.references import Reference
-
-        def one(k: int, c: int) -> bool:
-            refs = []
-            for book, chapter, verse in ((k % 66, c, k // 3), (c % 98, k, c // 2)):
-                b = known[int(book)]
-                ch = int(chapter) % b.chapter_count + 1
-                v = int(verse) % b.verse_count(ch) + 1
-                refs.append(Reference(b.ord, ch, v, v))
-            try:
-                return codec.decode(codec.encode(refs, known), known) == refs
-            except codec.CodecError as e:
-                return e.kind in ("too_big", "overlap")
-
-        return pd.Series([one(k, c) for k, c in zip(key, cust, strict=True)], dtype=bool)
-
-    return table(spark, sf_dir, "orders").select("o_orderkey", same("o_orderkey", "o_custkey").alias("same"))
-
-
-@query("WITH m AS (SELECT max(o_orderkey) AS top FROM orders) SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 'id' WHEN CAST(o_custkey AS BIGINT) * 100 < top + 1 THEN 'encoded' ELSE 'new' END AS kind, CASE WHEN o_custkey % 10 = 0 THEN o_orderkey WHEN CAST(o_custkey AS BIGINT) * 100 < top + 1 THEN CAST(o_custkey AS BIGINT) * 100 ELSE top + 1 END AS value FROM orders, m")
-def shorturl_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored list has its id; one whose number is below the next id its code; the others the next id."""
-    orders = table(spark, sf_dir, "orders")
-    top = orders.agg(F.max("o_orderkey").alias("top"))  # one row
-    stored, number = F.col("o_custkey") % 10 == 0, F.col("o_custkey").cast("long") * 100
-    short = number < F.col("top") + 1
-    kind = F.when(stored, "id").when(short, "encoded").otherwise("new")
-    value = F.when(stored, F.col("o_orderkey")).when(short, number).otherwise(F.col("top") + 1)
-    return orders.join(F.broadcast(top)).select("o_orderkey", kind.alias("kind"), value.alias("value"))
-
-
 # Notes ----------------------------------------------------------------------------------------------------------------
 
 #: lemma, lowest and highest reference (book, chapter, first, last), priority, note.
@@ -479,22 +374,6 @@ def text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", markers.text_direction(F.coalesce("text", F.lit(""))).alias("direction"))
 
 
-@query("SELECT tag AS marker, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
-def marker_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("marker"))
-    return tags.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
-
-
-SUPPORTED = ("html", "head", "body", "p", "h1", "b", "br", "article")
-
-
-@query(f"SELECT page_id, string_agg(DISTINCT tag, ';' ORDER BY tag) AS unsupported, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) WHERE tag NOT IN {SUPPORTED} GROUP BY page_id")
-def unsupported_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))
-    other = tags.where(~F.col("tag").isin(*SUPPORTED))
-    return other.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ";").alias("unsupported"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
 def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\n\\r]+", " ")).alias("text"))
@@ -508,11 +387,6 @@ def extension_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(extension(path).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, lower(regexp_replace(p_name, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS alias_key FROM part")
-def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", fold(F.col("p_name")).alias("alias_key"))
-
-
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, count(props) AS with_props FROM events GROUP BY event_type")
 def json_props_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"), F.count("props").alias("with_props"))
