@@ -61,6 +61,7 @@ CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 NAME_WEIGHT, PLAIN_WEIGHT, NAME_LEAST = 2.0, 0.5, 12
 #: Where nothing exceeds one half: the share of the largest marginal, in odds, that a text must have, and the characters of a text that make a page worth it.
 NEAR, LEAST_TEXT = 0.2, 40
+NAMES_KEPT = 10_000
 
 
 class Dom:
@@ -210,12 +211,11 @@ class Model:
     def __init__(self):
         self.node = [Counter(), Counter()]
         self.edge: Counter = Counter()
-        self.state = [1.0, 1.0]
+        self.known: dict[tuple, float] = {}
 
     def learn(self, dom: Dom, labels: list[int]) -> None:
         linked = links(dom)
         for i, y in enumerate(labels):
-            self.state[y] += 1
             self.node[y][seen(dom, i, linked[i])] += 1
             for name in dom.names[i]:
                 for w in name:
@@ -247,11 +247,29 @@ class Model:
 
     def leaning(self, dom: Dom, i: int, linked: bool) -> float:
         """The log odds of content that a node itself gives."""
-        out = self.lean.get(seen(dom, i, linked), 0.0)
-        for name in dom.names[i]:
-            known = [x for w in name if (x := self.lean.get(f"name:{w}")) is not None]
-            out += sum(known) * len(known) / len(name)
-        return out
+        tag = dom.tag[i]
+        if tag in ("", " "):
+            return self.of_seen(("", min(4, max(2, len(dom.text[i].strip()).bit_length() // 2)), linked))
+        names = dom.names[i]
+        return self.of_seen((tag, 0, False)) + (self.of_names(names) if names else 0.0)
+
+    def of_seen(self, what: tuple[str, int, bool]) -> float:
+        if what not in self.known:
+            tag, size, linked = what
+            self.known[what] = self.lean.get(f"tag:{tag}" if tag else f"text:{size}:{'link' if linked else 'plain'}", 0.0)
+        return self.known[what]
+
+    def of_names(self, names: tuple[tuple[str, ...], ...]) -> float:
+        """Names are few in kind, so that what they say is kept, for NAMES_KEPT of them."""
+        if names not in self.known:
+            total = 0.0
+            for name in names:
+                known = [x for w in name if (x := self.lean.get(f"name:{w}")) is not None]
+                total += sum(known) * len(known) / len(name)
+            if len(self.known) >= NAMES_KEPT:
+                self.known.clear()
+            self.known[names] = total
+        return self.known[names]
 
     def marginals(self, dom: Dom) -> list[float]:
         """Probability of content for every node, by messages up and down the tree."""
@@ -326,7 +344,8 @@ def extract_text(page: str | None, model: Model) -> str:
         return ""
     dom = parse(page)
     p = model.marginals(dom)
-    return assemble(dom, [x > cutoff(dom, p) for x in p]) if any(map(str.strip, dom.text)) else ""
+    least = cutoff(dom, p)
+    return assemble(dom, [x > least for x in p]) if any(map(str.strip, dom.text)) else ""
 
 
 def cutoff(dom: Dom, p: list[float]) -> float:
