@@ -38,34 +38,29 @@ def verse_places(n: DataFrame) -> DataFrame:
 def bounds(n: DataFrame, wanted: DataFrame) -> DataFrame:
     """start and end places of each wanted reference (req_id, corpus_id, book_ord, chapter, v_first, v_last); absent ones drop out.
 
-    Places are (root, inner) and compare as such; a null end is the end of the document.
+    Places are (root, inner) and compare as such; a null end is the end of the document. The chapters of a book and the verse marks of a chapter
+    are gathered once, as lists of one document, and a reference reads its places from them: two joins, however many places it asks for.
     """
-    chapters = n.where("type = 'chapter' and depth = 1").groupBy(*KEYS, F.col("number_first").alias("chapter")).agg(F.min(F.col("path")[0]).alias("chapter_root"))
-    all_chapters = n.where("type = 'chapter' and depth = 1").select(*KEYS, F.col("path")[0].alias("other_root"))
-    marks = verse_places(n)
-    base = wanted.join(chapters, [*KEYS, "chapter"])
-    met = base.join(marks, [*KEYS, "chapter"], "left")
-
-    def first(cond: Column, value: str | Column) -> Column:
-        return F.min_by(value, F.when(cond, F.col("place")))
-
-    holds = lambda v: F.col("number_first").isNotNull() & (F.col("number_first") <= v) & (v <= F.col("number_last"))
-    mark = F.struct("place", "start", "number_first", "number_last")
-    one = met.groupBy("req_id", *KEYS, "chapter", "v_first", "v_last", "chapter_root").agg(first(holds(F.col("v_first")), F.when(holds(F.col("v_first")), mark)).alias("v1"))
-    whole = (F.col("v_first") == 1) | (F.col("v1.number_first") == 1)
+    roots = n.where("type = 'chapter' and depth = 1").groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("number_first").alias("number"), F.col("path")[0].alias("root"))).alias("chapters"))
+    marks = verse_places(n).groupBy(*KEYS, "chapter").agg(F.array_sort(F.collect_list(F.struct("place", "start", "number_first", "number_last"))).alias("marks"))
+    here = F.array_min(F.transform(F.filter("chapters", lambda c: c["number"] == F.col("chapter")), lambda c: c["root"]))
+    base = wanted.join(roots, [*KEYS]).withColumn("chapter_root", here).where("chapter_root is not null").join(marks, [*KEYS, "chapter"], "left")
+
+    def first(test: Callable[[Column], Column]) -> Column:
+        """The first mark in the chapter that a test holds for."""
+        return F.get(F.filter(F.coalesce("marks", F.array().cast(base.schema["marks"].dataType)), test), F.lit(0))
+
+    holds = lambda m, v: (m["number_first"] <= v) & (v <= m["number_last"])
+    one = base.withColumn("v1", first(lambda m: holds(m, F.col("v_first"))))
+    one = one.withColumn("whole", (F.col("v_first") == 1) | F.coalesce(F.col("v1.number_first") == 1, F.lit(False))).where("whole or v1 is not null")
     top = F.struct(F.col("chapter_root").alias("root"), F.lit(0).alias("inner"))
-    one = one.where(whole | F.col("v1").isNotNull()).withColumn("whole", whole).withColumn("from", F.when(whole, top).otherwise(F.col("v1.start")))
-    after = one.join(marks, [*KEYS, "chapter"], "left")
-    next_ = holds(F.col("v_last") + 1) & (F.col("place") >= F.col("from"))
-    two = after.groupBy("req_id", *KEYS, "chapter", "v_first", "v_last", "chapter_root", "whole", "from").agg(first(next_, F.when(next_, mark)).alias("e1"))
+    two = one.withColumn("from", F.when(F.col("whole"), top).otherwise(F.col("v1.start")))
+    two = two.withColumn("e1", first(lambda m: holds(m, F.col("v_last") + 1) & (m["place"] >= F.col("from"))))
     # a bridge that holds the last verse and the one after it belongs to the passage: it ends at the verse after the bridge
-    bridged = two.join(marks, [*KEYS, "chapter"], "left")
-    beyond = holds(F.col("e1.number_last") + 1) & (F.col("place") > F.col("e1.place"))
-    three = bridged.groupBy("req_id", *KEYS, "chapter", "v_first", "v_last", "whole", "from", "e1").agg(first(beyond, F.when(beyond, F.col("start"))).alias("e2"))
+    three = two.withColumn("e2", first(lambda m: holds(m, F.col("e1.number_last") + 1) & (m["place"] > F.col("e1.place")))["start"])
     verse_end = F.when(F.col("e1.number_first") == F.col("v_last") + 1, F.col("e1.start")).otherwise(F.col("e2"))
-    four = three.join(all_chapters, [*KEYS], "left")
-    later = F.min(F.when(F.col("other_root") > F.col("from.root"), F.col("other_root")))
-    out = four.groupBy("req_id", *KEYS, "chapter", "v_first", "v_last", "whole", "from", verse_end.alias("verse_end")).agg(later.alias("next_root"))
+    later = F.array_min(F.filter(F.transform("chapters", lambda c: c["root"]), lambda r: r > F.col("from.root")))
+    out = three.withColumns({"verse_end": verse_end, "next_root": later})
     chapter_end = F.when(F.col("next_root").isNotNull(), F.struct(F.col("next_root").alias("root"), F.lit(0).alias("inner")))
     return out.select("req_id", *KEYS, "chapter", "v_first", "v_last", "whole", F.col("from").alias("start_at"), F.coalesce("verse_end", chapter_end).alias("end_at"))
 

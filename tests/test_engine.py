@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zipfile
+
 import corpus
 import pytest
 
@@ -159,6 +161,42 @@ def test_partial_updates_equal_a_rebuild(spark, tmp_path):
         m.update()
 
 
+def test_configurations_and_empty_books_and_zips(spark, tmp_path):
+    root = corpus.write(tmp_path)
+    m = Maintainer(spark, root, str(tmp_path / "store"))
+    m.rebuild()
+    folder = tmp_path / "corpora" / "small"
+    lemmas = lambda c="small": {r[0] for r in m.tables()[1].where(f"corpus_id = '{c}'").select("lemma").distinct().collect()}
+    assert "the" not in lemmas() and "river" in lemmas()
+    # a second corpus with words of its own to ignore: those of the first stay in it
+    (tmp_path / "corpora" / "other").mkdir()
+    (tmp_path / "corpora" / "other" / "a.usfm").write_text("\\id GEN\n\\c 1\n\\p\n\\v 1 the river Für Elise")
+    (tmp_path / "corpora" / "other" / "corpus.toml").write_text('[search]\nignored_words = ["für"]')
+    m.update()
+    assert lemmas("other") == {"the", "river", "elise"} and "the" not in lemmas()
+    # what the index depends on makes it anew; what it does not leaves it
+    (folder / "corpus.toml").write_text(corpus.CONFIG.replace('["the", "The", "a"]', '["river"]'))
+    assert m.update() == set() and "the" in lemmas() and "river" not in lemmas()
+    (folder / "corpus.toml").write_text("[search]\nindex = false")
+    assert m.update() == set() and lemmas() == set() and m.tables()[0].where("corpus_id = 'small'").count() > 0
+    (folder / "corpus.toml").unlink()
+    m.update()
+    assert {"the", "river"} <= lemmas()
+    # a book that loses its words loses its postings
+    (folder / "02-EXO.usfm").write_text("\\id EXO\n\\c 1\n\\p\n")
+    assert m.update() == {("small", 1)} and m.tables()[1].where("corpus_id = 'small' and book_ord = 1").count() == 0
+    with zipfile.ZipFile(f"{root}/packed.zip", "w") as z:
+        z.writestr("x/1.usfm", "\\id RUT\n\\c 1\n\\p\n\\v 1 gleaning")
+        z.writestr("2.usfm", "\\id JON\n\\c 1\n\\p\n\\v 1 a fish")
+    assert m.update() == {("packed", 7), ("packed", 31)} and lemmas("packed") == {"gleaning", "a", "fish"}
+    (tmp_path / "corpora" / "packed.zip").unlink()
+    assert m.update() == {("packed", 7), ("packed", 31)} and lemmas("packed") == set()
+    fresh = Maintainer(spark, root, str(tmp_path / "fresh"))
+    fresh.rebuild()
+    key = lambda t: sorted(map(str, t[1].select("corpus_id", "book_ord", "lemma", "pos").collect()))
+    assert key(m.tables()) == key(fresh.tables())
+
+
 def test_watch(spark, tmp_path):
     root = corpus.write(tmp_path)
     m = Maintainer(spark, root, str(tmp_path / "store"))
