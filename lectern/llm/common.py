@@ -93,7 +93,8 @@ def give_back() -> None:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z in lower case, other characters as they are. Text of bytes below 128 takes the faster way, which is the same there."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def hash128(c: Column) -> tuple[Column, Column]:

@@ -24,17 +24,16 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, t1, t2 (which row of docs), pos, h1, h2 of every line; keys are cut to those long enough by the caller."""
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, t1, t2 (which row of docs), pos, key of every line. Keys are made before lines are exploded, so that each is worked out once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     t1, t2 = hash128(text)
-    base = docs.select(F.col(id_col).alias("doc"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return base.withColumn("key", line_key(F.col("line")))
+    return docs.select(F.col(id_col).alias("doc"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.transform(F.split(text, "\n"), line_key)).alias("pos", "key"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, t1, t2, pos) of every line to drop: its key has min_chars and min_docs documents, and a larger doc_id holds it."""
-    long = _lines(docs, id_col, text_col).where(F.length("key") >= min_chars)
+    long = _keys(docs, id_col, text_col).where(F.length("key") >= min_chars)
     h1, h2 = hash128(F.col("key"))
     long = long.select("doc", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
     pairs = long.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
