@@ -17,7 +17,7 @@ from .operators import footnotes, navigation, search
 from .operators import index as ix
 from .operators import nodes as nd
 from .operators import passages as ps
-from .operators.links import LinkStore
+from .operators.links import JdbcLinks, LinkStore
 from .sources import files as fl
 from .sources.snapshot import read_snapshot, write_snapshot
 
@@ -37,7 +37,8 @@ class Engine:
         self.spark, self.nodes, self.postings, self.configs = spark, nodes, postings, configs
         self.config, self.catalog = config or EngineConfig(), catalog or load()
         self.config_texts = config_texts or {}
-        self.links = LinkStore(spark, self.config.links_path, self.catalog, self.config.read_only_links)
+        links = self.config.links_path
+        self.links = LinkStore(spark, JdbcLinks(spark, links) if links.startswith("jdbc:") else links, self.catalog, self.config.read_only_links)
 
     @classmethod
     def from_folder(cls, spark: SparkSession, root: str, config: EngineConfig | None = None, catalog: Catalog | None = None) -> Engine:
@@ -73,8 +74,9 @@ class Engine:
         n, p, texts = read_snapshot(spark, path)
         return cls(spark, n, p, {k: parse_config(t, catalog) for k, t in texts.items()}, config, catalog, texts)
 
-    def bake(self, path: str) -> None:
-        write_snapshot(path, self.nodes, self.postings, self.config_texts)
+    def bake(self, path: str) -> dict[str, int]:
+        """Write a snapshot; returns how many nodes, books and words it has."""
+        return write_snapshot(path, self.nodes, self.postings, self.config_texts)
 
     def of(self, corpus: str) -> DataFrame:
         n = self.nodes.where(F.col("corpus_id") == corpus)

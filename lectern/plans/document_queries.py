@@ -11,11 +11,11 @@ from ..functions.catalog import load
 from ..functions.normalize import normalize_column
 from ..functions.references import Reference, parse_column
 from ..functions.tokens import lemmas
-from ..operators import index, links, navigation, passages, search
+from ..operators import display, index, links, navigation, passages, search
 from ..operators import nodes as node_ops
 from ..session import scratch
 from ..sources.snapshot import read_snapshot, write_snapshot
-from .adapter import table
+from .adapter import placed_postings, sentences, table
 from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, files, parsed, usfm_files
 from .registry import dim_sql, query
 
@@ -150,6 +150,45 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("lemma").alias("lemmas"))
 
 
+@query(f"{CORPUS_SQL} SELECT (SELECT count(*) FROM d) AS books, count(*) AS words FROM w")
+def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot says of itself, counted while it is written."""
+    n = corpus_nodes(spark, sf_dir)
+    counts = write_snapshot(scratch(spark), n, index.postings(n), {})
+    return spark.createDataFrame([(counts["books"], counts["words"])], "books long, words long")
+
+
+# Display --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{CORPUS_SQL}, {HEADED}, c AS (SELECT (SELECT count(*) FROM d) AS docs, (SELECT {_HEADS} FROM d) AS heads, (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM h) AS headings, (SELECT count(*) FROM s) AS verses) SELECT t.type, CAST(t.n AS BIGINT) AS n FROM c, LATERAL (VALUES ('USJ', docs), ('book', docs), ('para', lines + headings + heads), ('text', docs + heads + verses)) t(type, n)")
+def display_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.shown(corpus_nodes(spark, sf_dir)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"{CORPUS_SQL}, r AS (SELECT doc_id, line, nth, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT *, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*|[^\\p{{L}}\\p{{N}}]+') AS rs FROM s)), "
+    "m AS (SELECT doc_id, line, nth, string_agg(CASE WHEN strip_accents(lower(run)) IN ('the', 'und') THEN '[' || run || ']' ELSE run END, '' ORDER BY k) AS shown, count(*) FILTER (WHERE strip_accents(lower(run)) IN ('the', 'und')) AS n FROM r GROUP BY ALL) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(nth AS BIGINT) AS nth, shown FROM m WHERE n > 0"
+)
+def highlight_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with two words marked in them."""
+    s = sentences(table(spark, sf_dir, "documents"))
+    tokens = placed_postings(s).where(F.col("lemma").isin("the", "und"))
+    keys = ["corpus_id", "book_ord", "segment"]
+    places = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
+    cut = s.join(places, keys).withColumn("pieces", display.pieces_column(F.col("text"), F.col("places")))
+    shown = F.array_join(F.transform("pieces", lambda p: F.when(p["marked"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+    return cut.select(F.col("book_ord").alias("doc_id"), F.col("chapter").cast("long").alias("line"), F.col("v_first").cast("long").alias("nth"), shown.alias("shown"))
+
+
+@query("SELECT o_orderkey, 'Book ' || (o_custkey % 9 + 1) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ':' || (o_custkey % 7 + 1) ELSE ':' || (o_custkey % 7 + 1) || '-' || (o_custkey % 7 + 4) END AS shown FROM orders")
+def reference_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = F.col("o_orderkey") % 3, F.col("o_custkey")
+    first = F.when(o != 0, c % 7 + 1)
+    last = F.when(o == 1, c % 7 + 1).when(o == 2, c % 7 + 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", display.reference_text(F.lit("Book"), (c % 9 + 1).cast("string"), first, last).alias("shown"))
+
+
 # Passages -------------------------------------------------------------------------------------------------------------
 
 _ROOTS = "r AS (SELECT l.*, 1 + CAST(l.doc_id % 2 = 0 AS INTEGER) + CAST(l.doc_id % 3 = 0 AS INTEGER) + CAST(l.doc_id % 5 = 0 AS INTEGER) + CAST(l.doc_id % 7 = 0 AS INTEGER) + coalesce(sum(CASE WHEN line % 3 = 0 AND len(ss) > 3 THEN 4 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chapter_root FROM l)"

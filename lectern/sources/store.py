@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -54,5 +55,19 @@ class Store:
         qualified = self.fs.makeQualified(aside)
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration()).rename(qualified, self.fs.makeQualified(self.at(name)), options)
 
+    def claim(self, name: str) -> bool:
+        """Make an empty file that only one can make; whether it was made here."""
+        if self.fs.getUri().getScheme() == "file":  # whose check and creation are two steps in Hadoop
+            file = self.spark._jvm.java.io.File(self.fs.makeQualified(self.at(name)).toUri().getPath())
+            file.getParentFile().mkdirs()
+            return file.createNewFile()
+        try:
+            self.fs.create(self.at(name), False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)

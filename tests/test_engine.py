@@ -129,7 +129,7 @@ def test_links(engine, spark, tmp_path):
     with pytest.raises(LinkError) as e:
         fixed.create(";".join(f"PSA {i}:2" for i in range(1, 60, 3)))
     assert e.value.status == 409
-    rude = LinkStore(spark, str(tmp_path / "other"), offensive=lambda c: c == "1")
+    rude = LinkStore(spark, str(tmp_path / "other"), forbidden=lambda c: c == "1")
     assert rude.create("PSA 3:3")["value"] != "1"
 
 
