@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,18 @@ class Engine:
 
     @classmethod
     def from_folder(cls, spark: SparkSession, root: str, config: EngineConfig | None = None, catalog: Catalog | None = None) -> Engine:
+        """The corpora below a folder. They are read once: nodes and postings stay on the executors' disks until close()."""
         config, catalog = config or EngineConfig(corpora_dir=root), catalog or load()
         files = fl.read_files(spark, root, config.disabled)
         texts = fl.configs(files)
         configs = {k: parse_config(t, catalog) for k, t in texts.items()}
-        n = nd.nodes(nd.parse_files(fl.documents(files)), catalog)
-        return cls(spark, n, cls.index_of(n, configs), configs, config, catalog, texts)
+        n = nd.nodes(nd.parse_files(fl.documents(files)), catalog).persist(StorageLevel.DISK_ONLY)
+        return cls(spark, n, cls.index_of(n, configs).persist(StorageLevel.DISK_ONLY), configs, config, catalog, texts)
+
+    def close(self) -> None:
+        """Give back what from_folder keeps."""
+        self.postings.unpersist()
+        self.nodes.unpersist()
 
     @staticmethod
     def index_of(n: DataFrame, configs: dict[str, CorpusConfig]) -> DataFrame:
