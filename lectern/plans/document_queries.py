@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codec, references
+from ..functions import codec, markers, references
 from ..functions.catalog import load
 from ..functions.normalize import normalize_column
 from ..functions.references import Reference, parse_column
@@ -321,6 +321,75 @@ def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "list_no int, shown string")
 
 
+# Markers and numbers --------------------------------------------------------------------------------------------------
+
+#: Marker names with the largest number they take, as the tables ask for them; `zz` is none.
+ASKED = (("q", 4), ("mt", 4), ("p", 0), ("zz", 0))
+
+
+@query(
+    "WITH m(k, base, top) AS (VALUES " + ", ".join(f"({i}, '{b}', {t})" for i, (b, t) in enumerate(ASKED)) + "), o AS (SELECT o_orderkey, base, top, CAST(o_custkey % 7 AS INTEGER) AS n FROM orders JOIN m ON k = o_orderkey % 4) "
+    "SELECT o_orderkey, CASE WHEN base <> 'zz' AND n <= top THEN base END AS base, CASE WHEN base <> 'zz' AND top > 0 AND n <= top THEN greatest(n, 1) END AS number, CASE WHEN base = 'zz' THEN 'unknown' WHEN n > top THEN 'range' END AS error, base = 'mt' AS is_title FROM o"
+)
+def marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers with numbers from none to six, some beyond what the marker takes, some unknown."""
+
+    @F.pandas_udf("struct<base: string, number: int, error: string>")
+    def parse(marker: pd.Series) -> pd.DataFrame:
+        def one(text: str) -> tuple:
+            try:
+                m = markers.parse_marker(text)
+            except markers.MarkerError as e:
+                return None, None, e.kind
+            return m.base, m.low, None
+
+        return pd.DataFrame([one(t) for t in marker], columns=["base", "number", "error"]).astype({"number": "Int32"})
+
+    names = F.array(*[F.lit(b) for b, _ in ASKED])
+    n = (F.col("o_custkey") % 7).cast("string")
+    marker = F.concat(F.get(names, (F.col("o_orderkey") % 4).cast("int")), F.when(n == "0", "").otherwise(n))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", marker.alias("marker")).withColumn("m", parse("marker"))
+    return rows.select("o_orderkey", "m.base", "m.number", "m.error", markers.is_title(F.col("marker")).alias("is_title"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'GEN' ELSE '5EZ' END AS book, CAST(o_custkey % 50 + 1 AS INTEGER) AS chapter, CAST(o_orderkey % 30 + 1 AS INTEGER) AS a, CAST(o_orderkey % 30 + 1 + o_custkey % 3 AS INTEGER) AS b, o_orderkey % 5 AS k FROM orders) "
+    "SELECT o_orderkey, CASE WHEN k <> 4 THEN book END AS book, CASE WHEN k <> 4 THEN chapter END AS chapter, CASE WHEN k NOT IN (0, 4) THEN a END AS v_first, CASE WHEN k NOT IN (0, 4) THEN b END AS v_last, CASE WHEN k <> 4 THEN book || ' ' || chapter || CASE WHEN k = 0 THEN '' WHEN a = b THEN ':' || a ELSE ':' || a || '-' || b END END AS shown, k <> 4 AS machine FROM o"
+)
+def sid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of chapters and verses read and written again; every fifth is prose, which is none."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    a, b = (k % 30 + 1).cast("string"), (k % 30 + 1 + c % 3).cast("string")
+    book = F.when(k % 2 == 0, "GEN").otherwise("5EZ")
+    sid = F.when(k % 5 == 4, F.lit("In the third chapter")).otherwise(F.concat(book, F.lit(" "), (c % 50 + 1).cast("string"), F.when(k % 5 == 0, "").when(a == b, F.concat(F.lit(":"), a)).otherwise(F.concat(F.lit(":"), a, F.lit("-"), b))))
+
+    @F.pandas_udf("struct<book: string, chapter: int, v_first: int, v_last: int, shown: string>")
+    def parse(sids: pd.Series) -> pd.DataFrame:
+        def one(text: str) -> tuple:
+            found = markers.parse_sid(text)
+            return (*found, markers.format_sid(*found)) if found else (None,) * 5
+
+        return pd.DataFrame([one(t) for t in sids], columns=["book", "chapter", "v_first", "v_last", "shown"]).astype({c: "Int32" for c in ("chapter", "v_first", "v_last")})
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", sid.alias("sid")).withColumn("r", parse("sid"))
+    return rows.select("o_orderkey", "r.*", F.col("sid").rlike(markers.MACHINE).alias("machine"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN a <= b THEN CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END END AS verses, CASE WHEN a <= b THEN a <= 7 AND 7 <= b END AS holds_7 FROM (SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 20 + 1 AS INTEGER) AS a, CAST(l_partkey % 20 + 1 AS INTEGER) AS b FROM lineitem)")
+def verse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges as text, with letters around the numbers, read and shown again; falling ones are refused."""
+
+    @F.pandas_udf("struct<first: int, last: int>")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        known = {t: markers.verse_range(t) or (None, None) for t in texts.unique()}
+        return pd.DataFrame([known[t] for t in texts], columns=["first", "last"]).astype("Int32")
+
+    text = F.concat((F.col("l_suppkey") % 20 + 1).cast("string"), F.lit("a-b"), (F.col("l_partkey") % 20 + 1).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse(text).alias("r"))
+    a, b = F.col("r.first"), F.col("r.last")
+    return rows.select("l_orderkey", "l_linenumber", F.when(a.isNotNull(), markers.range_text(a, b)).alias("verses"), ((a <= 7) & (b >= 7)).alias("holds_7"))
+
+
 # The engine -----------------------------------------------------------------------------------------------------------
 
 

@@ -257,32 +257,6 @@ def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "r.book_ord", "r.chapter", "r.v_first", "r.v_last", "r.error_type")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN a <= b THEN CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END END AS verses, a <= 7 AND 7 <= b AS holds_7 FROM (SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 20 + 1 AS INTEGER) AS a, CAST(l_partkey % 20 + 1 AS INTEGER) AS b FROM lineitem)")
-def verse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges as text, read and shown again; falling ones are null."""
-    text = F.concat_ws("-", (F.col("l_suppkey") % 20 + 1).cast("string"), (F.col("l_partkey") % 20 + 1).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
-    part = lambda k: F.regexp_extract("t", r"^(\d+)-(\d+)$", k).cast("int")
-    a, b = part(1), part(2)
-    return rows.select("l_orderkey", "l_linenumber", F.when(a <= b, markers.range_text(a, b)).alias("verses"), ((a <= 7) & (b >= 7)).alias("holds_7"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'q' ELSE 'li' END AS base, CAST(o_custkey % 4 + 1 AS INTEGER) AS number, o_orderkey % 3 = 1 AS is_title FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 1) UNION ALL SELECT o_orderkey, 'mt', CAST(o_custkey % 4 + 1 AS INTEGER), true FROM orders WHERE o_orderkey % 3 = 1")
-def marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.when(k == 0, "q").when(k == 1, "mt").otherwise("li"), (F.col("o_custkey") % 4 + 1).cast("string")).alias("marker"))
-    return rows.select("o_orderkey", markers.marker_base(F.col("marker")).alias("base"), F.regexp_extract("marker", r"(\d+)$", 1).cast("int").alias("number"), markers.is_title(F.col("marker")).alias("is_title"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'GEN' ELSE '5EZ' END AS book, CAST(o_custkey % 50 + 1 AS INTEGER) AS chapter, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 30 + 1 AS INTEGER) END AS verse, true AS machine FROM orders")
-def sid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    sid = F.concat(F.when(k % 2 == 0, "GEN").otherwise("5EZ"), F.lit(" "), (F.col("o_custkey") % 50 + 1).cast("string"), F.when(k % 5 != 0, F.concat(F.lit(":"), (k % 30 + 1).cast("string"))).otherwise(""))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", sid.alias("sid"))
-    part = lambda i: F.regexp_extract("sid", markers.SID, i)
-    return rows.select("o_orderkey", part(1).alias("book"), part(2).cast("int").alias("chapter"), F.when(part(3) != "", part(3).cast("int")).alias("verse"), F.col("sid").rlike(markers.MACHINE).alias("machine"))
-
-
 # Codes and links ------------------------------------------------------------------------------------------------------
 
 _B59 = f"'{codec.ALPHABET}'"
@@ -374,11 +348,6 @@ def text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", markers.text_direction(F.coalesce("text", F.lit(""))).alias("direction"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
-def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\n\\r]+", " ")).alias("text"))
-
-
 @query(r"SELECT CASE WHEN r LIKE '%.%' THEN regexp_extract(lower(r), '\.([^.]+)$', 1) ELSE '' END AS extension, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS r FROM pages) GROUP BY 1")
 def extension_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import extension
@@ -387,11 +356,6 @@ def extension_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(extension(path).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, count(props) AS with_props FROM events GROUP BY event_type")
-def json_props_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"), F.count("props").alias("with_props"))
-
-
 @query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}]*')) AS INTEGER) AS words, CAST(len(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+'))) AS INTEGER) AS lemmas FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
