@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import normalize_column
+
 
 def cascade(config: DataFrame, document: DataFrame, builtin: DataFrame) -> DataFrame:
     """corpus_id, alias_key, book_ord, source: the first source that has a key decides. Inputs have corpus_id, alias_key, book_ord."""
@@ -19,7 +21,7 @@ def cascade(config: DataFrame, document: DataFrame, builtin: DataFrame) -> DataF
 def resolve(names: DataFrame, aliases: DataFrame, present: DataFrame) -> DataFrame:
     """The book of each name (corpus_id, name), null if unknown or if the corpus lacks the book."""
     known = aliases.join(present.select("corpus_id", "book_ord").distinct(), ["corpus_id", "book_ord"], "left_semi")
-    return names.withColumn("alias_key", F.lower("name")).join(known.select("corpus_id", "alias_key", "book_ord"), ["corpus_id", "alias_key"], "left").drop("alias_key")
+    return names.withColumn("alias_key", normalize_column(F.col("name"))).join(known.select("corpus_id", "alias_key", "book_ord"), ["corpus_id", "alias_key"], "left").drop("alias_key")
 
 
 def permutations(groups: list[DataFrame]) -> DataFrame:

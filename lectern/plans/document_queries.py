@@ -11,12 +11,12 @@ from ..functions.catalog import load
 from ..functions.normalize import normalize_column
 from ..functions.references import Reference, parse_column
 from ..functions.tokens import lemmas
-from ..operators import display, index, links, navigation, passages, search
+from ..operators import aliases, display, index, links, navigation, passages, search
 from ..operators import nodes as node_ops
 from ..session import scratch
 from ..sources.snapshot import read_snapshot, write_snapshot
 from .adapter import placed_postings, sentences, table
-from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, files, parsed, usfm_files
+from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, parsed, sole, usfm_files
 from .registry import dim_sql, query
 
 # Reading --------------------------------------------------------------------------------------------------------------
@@ -97,6 +97,23 @@ def book_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_ops.names(node_ops.translated_book_info(corpus_nodes(spark, sf_dir)))
 
 
+@query(f"{CORPUS_SQL} SELECT corpus_id, 'H  e\u0301' || doc_id AS name, CASE WHEN doc_id % 2 = 0 THEN book_ord END AS book_ord FROM d")
+def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books asked for by the names in their documents, in another case and with decomposed marks; some documents do not name themselves."""
+    n = corpus_nodes(spark, sf_dir)
+    known = node_ops.names(node_ops.translated_book_info(n))
+    asked = table(spark, sf_dir, "documents").select(sole().alias("corpus_id"), F.concat(F.lit("H  e\u0301"), F.col("doc_id").cast("string")).alias("name"))
+    return aliases.resolve(asked, known, n.where("type = 'book'")).select("corpus_id", "name", "book_ord")
+
+
+@query(lambda: f"{CORPUS_SQL}, {dim_sql(load())} SELECT corpus_id, bool_or(category = 'OT') AS has_ot, bool_or(category = 'NT') AS has_nt, bool_or(category = 'AP') AS has_ap, count(*) AS books FROM d JOIN dim ON ord = book_ord GROUP BY corpus_id")
+def testaments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of the canon each corpus has."""
+    dim = F.broadcast(load().frame(spark).select(F.col("ord").alias("book_ord"), "category"))  # 113 books
+    books = corpus_nodes(spark, sf_dir).where("type = 'book'").select("corpus_id", "book_ord").join(dim, "book_ord")
+    return books.groupBy("corpus_id").agg(*[F.bool_or(F.col("category") == c).alias(f"has_{c.lower()}") for c in ("OT", "NT", "AP")], F.count(F.lit(1)).alias("books"))
+
+
 @query(r"SELECT p_partkey, strip_accents(lower(regexp_replace(p_name, '\s', '', 'g'))) || 'efi''よはねaeoud' AS alias_key FROM part")
 def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full normal form: marks, width, ligatures, kana, quotes, Vietnamese."""
