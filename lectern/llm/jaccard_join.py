@@ -432,15 +432,19 @@ def short_column(bits: Column) -> Column:
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, node) that sizes and bitmaps do not rule out."""
+    """The pairs (hub, node) that sizes and bitmaps do not rule out; pairs are stored. The hub of a large group is in many: the facts of hot hubs are broadcast, HOT_SHARE of them at most."""
     known = sets.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     hubs = known.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("bits").alias("bits_hub"))
+    hot = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") * HOT_SHARE > pairs.count()).select("hub")
+    met = pairs.join(F.broadcast(hubs.join(F.broadcast(hot), "hub", "left_semi")), "hub").unionByName(pairs.join(F.broadcast(hot), "hub", "left_anti").join(hubs, "hub"))
 
     @F.pandas_udf("boolean")
-    def may(a: pd.Series, n_a: pd.Series, b: pd.Series, n_b: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*x, percent) for x in zip(a, n_a, b, n_b, strict=True)], dtype=bool)
+    @lean
+    def may(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, n_a, b, n_b in batches:
+            yield pd.Series([may_link(*x, percent) for x in zip(a, n_a, b, n_b, strict=True)], dtype=bool)
 
-    return pairs.join(known, "node").join(hubs, "hub").where(may("bits", "n", "bits_hub", "n_hub")).select(*pairs.columns)
+    return met.join(known, "node").where(may("bits", "n", "bits_hub", "n_hub")).select(*pairs.columns)
 
 
 def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int, n: int, percent: int) -> DataFrame:
@@ -469,7 +473,8 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     meets = first.select("sig", "node", "n", "left", "hub").union(upper)
     fit = enough(F.least("left", "hub.left"), F.col("n"), F.col("hub.n"), percent) & (F.col("hub.node") != F.col("node"))
     pairs = meets.where(fit).groupBy(F.col("hub.node").alias("hub"), "node").agg(F.max("hub.left").alias("shares"))
-    pairs = store(possible(pairs, sets, percent))
+    met_pairs = store(pairs)
+    pairs = store(possible(met_pairs, sets, percent))
     # pairs of different components within a signature may need texts of nodes that no hub pair holds; they come later
     texts = texts_of(docs, pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), sets)
 
@@ -498,11 +503,12 @@ def links_within(members: DataFrame, sets: DataFrame, docs: DataFrame, seed: int
     fits = enough(F.least("a.left", "b.left", "a.n", "b.n"), F.col("a.n"), F.col("b.n"), percent) & ((total - differ) * 100 >= (total + differ) * percent)
     cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits)
     cross = cross.select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
-    cross = store(possible(cross, sets, percent).join(pairs, ["hub", "node"], "left_anti"))
+    met_cross = store(cross)
+    cross = store(possible(met_cross, sets, percent).join(pairs, ["hub", "node"], "left_anti"))
     more = cross.select(F.col("hub").alias("node")).union(cross.select("node")).distinct()
     more_texts = texts_of(docs, more, sets) if cross.take(1) else texts
     out = store(found.union(links(verify(cross, more_texts, seed, n))))
-    forget(first, stored_pairs, rest, cross, texts, more_texts)
+    forget(first, met_pairs, stored_pairs, rest, met_cross, cross, texts, more_texts)
     return out
 
 
