@@ -26,7 +26,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir. Only a local session, one process, may use a temporary folder without it."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lectern-")
     return f"{base}/lectern-{uuid.uuid4().hex}"
