@@ -201,3 +201,28 @@ def test_config():
             parse_config(bad, CATALOG)
     with pytest.raises(ConfigError):
         order_groups(["GEN", "EXO", "", "GEN"], CATALOG)
+
+
+def test_letters_of_languages():
+    n = normalize.normalize_key
+    assert n("Åsa Öl") == "asaol" and n("Åsa Öl", ["swe"]) == "åsaöl" and n("Åsa", ["swe"]) == "åsa"
+    assert n("Đà Nẵng") == "danang" and n("Iğdır ŞIK") == "igdirsik"
+    assert n("آذَرِي ـ كِتَاب") == n("اذري كتاب") and n("کتاب ی") == n("كتاب ي") and n("كتاب ي", ["pes"]) == "کتابی"
+    assert n("ΆΛΦΑ") == "αλφα" and n("שָׁלוֹם") == "שלום" and n("हिन्दी") == "हिन्दी"
+    for text, languages in (("Ｆｕｌｌ wíde", None), ("Åsä x", ["swe"]), ("ヴァ！", None)):
+        norm, places = normalize.normalize(text, languages)
+        assert len(places) == len(norm) + 1 and places == sorted(places) and places[-1] == len(text)
+
+
+def test_words_of_scripts_without_blanks(spark):
+    from lectern.functions import tokens
+    from lectern.operators import index
+
+    text = "日本語 text ภาษา end"
+    assert tokens.lemmas(text, ["eng"]) == ["日本語", "text", tokens.lemma("ภาษา"), "end"]
+    assert tokens.lemmas(text)[:4] == ["日", "本", "語", "text"] and tokens.lemmas(text, ["jpn"])[-2:] == [tokens.lemma("ภาษา"), "end"]
+    df = spark.createDataFrame([(text,)], "text string")
+    for languages in (None, ["eng"], ["jpn"], ["tha"]):
+        rows = index.token_rows(df, "text", "text", languages=languages).orderBy("pos").collect()
+        want = tokens.words(text, languages)
+        assert [(r["lemma"], r["surface"], r["start_at"], r["end_at"]) for r in rows] == want
