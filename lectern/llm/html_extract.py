@@ -376,7 +376,7 @@ SHARES = ("div:share", "div:social", "ul:share buttons", "div:toolbar", "div:met
 WORDS = "river stone market quiet early seven paper window summer ledger copper garden letter engine harbour winter silver".split()
 
 
-def training_pages(n: int = 1200, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+def training_pages(n: int = 2400, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """(html, [(marker, label)]) of made-up pages whose parts are known. Each text holds one marker word."""
     r = random.Random(seed)
     for _ in range(n):
@@ -524,7 +524,7 @@ def labelled(page: str, marks: list[tuple[str, int]]) -> tuple[Dom, list[int]]:
     return dom, y
 
 
-def trained(n: int = 1200, seed: int = 11) -> Model:
+def trained(n: int = 2400, seed: int = 11) -> Model:
     model = Model()
     for page, marks in training_pages(n, seed):
         model.learn(*labelled(page, marks))
