@@ -41,7 +41,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, hash128, lean, ship, store
@@ -392,6 +393,24 @@ def flag_table(hashes: DataFrame) -> np.ndarray:
     return sum_blocks(hashes.select("t1").mapInPandas(mark, "block int, counts binary"), FLAG_BITS) > 0
 
 
+def flags_of(spark: SparkSession, hashes: DataFrame) -> Broadcast:
+    """The buckets of the hashes (t1) as bits, for all tasks."""
+    return spark.sparkContext.broadcast(np.packbits(flag_table(hashes)))
+
+
+def in_table(flags: Broadcast, t1: Column) -> Column:
+    """False only if no hash of the table is t1."""
+
+    @F.pandas_udf("boolean")
+    @lean
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.unpackbits(flags.value).astype(bool)
+        for hashes in batches:
+            yield pd.Series(table[bucket(hashes.to_numpy(dtype=np.int64))], index=hashes.index)
+
+    return test(t1)
+
+
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
 
@@ -402,7 +421,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     # the rows of a node meet in their minimum before anything is joined
     chosen = sets.where("node is not null").groupBy("node").agg(F.min(F.struct(*row)).alias("row")).join(nodes, "node", "left_semi")
     chosen = store(chosen.select("node", *[F.col(f"row.{c}").alias(f"c_{c}") for c in row]))
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flag_table(chosen.select(F.col("c_t1").alias("t1")))))
+    flags = flags_of(docs.sparkSession, chosen.select(F.col("c_t1").alias("t1")))
 
     @lean
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -582,8 +601,11 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     again = store(rows.where("copies > 1").join(best, same("k_", "b_"), "left_semi"))
     t1, t2 = hash128(F.coalesce("text", F.lit("")))
     given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("r_doc_id"), t1.alias("r_t1"), t2.alias("r_t2"))
-    kept = given.join(gone, same("r_", "k_"), "left_anti")
+    # most rows stay; a bit table of bounded size tells most of them, whose texts are then not shuffled
+    marked = given.withColumn("asked", in_table(flags_of(docs.sparkSession, gone.select(F.col("k_t1").alias("t1")).union(again.select("k_t1"))), F.col("r_t1")))
+    kept = marked.where("asked").join(gone, same("r_", "k_"), "left_anti")
     if again.take(1):  # rows that repeat whole
         copies = kept.join(again, same("r_", "k_"), "left_semi").groupBy("r_doc_id", "r_t1", "r_t2").agg(F.first("row").alias("row"))
         kept = kept.join(again, same("r_", "k_"), "left_anti").select("row").union(copies.select("row"))
+    kept = marked.where(~F.col("asked")).select("row").union(kept.select("row"))
     return kept.select("row.*")
