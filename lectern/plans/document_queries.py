@@ -147,8 +147,10 @@ ACCENTED = ("für", "está", "e\u0301te\u0301")
 
 @query(f"{CORPUS_SQL}, q(lemma) AS (VALUES ('fur'), ('esta'), ('ete')) SELECT corpus_id, book_ord, chapter, verse AS v_first, verse AS v_last, lemma, count(*) AS occurrences FROM w JOIN q USING (lemma) GROUP BY ALL")
 def search_accented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accented words, looked up one by one in the real index: one lemma serves texts and queries."""
-    p = index.postings(corpus_nodes(spark, sf_dir))
+    """Accented words, looked up one by one in the real index, written once: one lemma serves texts and queries."""
+    path = scratch(spark)
+    index.postings(corpus_nodes(spark, sf_dir)).select("corpus_id", "lemma", *index.REF).sortWithinPartitions("lemma").write.parquet(path)
+    p = spark.read.parquet(path)
     out = None
     for word in ACCENTED:
         found = search.hits(p, search.query_frame(spark, word), "all_terms").withColumn("lemma", F.lit(lemmas(word)[0]))
