@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -102,19 +105,59 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(7), c)
 
 
+#: The folders of the tables that store() made, innermost scope last.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder as a table and read it back: lineage ends there and any executor may be lost."""
-    import uuid
+    """Write df to the shared checkpoint folder as a table and read it back: lineage ends there and any executor may be lost.
 
-    path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+    Tables of an application share a folder, which goes when the application ends in order; see also forget() and scope().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _scopes[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget(*stored: DataFrame) -> None:
     """Delete tables of store() that nothing reads any more."""
     for df in stored:
-        for file in df.inputFiles()[:1]:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df._stored_at
+        _delete(df.sparkSession, path)
+        for made in _scopes:
+            made[:] = [x for x in made if x[1] != path]
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What store() makes inside is deleted at the end, but for the tables given to the function that it yields."""
+    _scopes.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        for x in [x for x in _scopes[-1] if x[1] == df._stored_at]:
+            _scopes[-1].remove(x)
+            _scopes[-2].append(x)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in (x for made in _scopes for x in made):
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                _delete(spark, path)

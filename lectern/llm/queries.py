@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, packing, quality, secret_scan, sharding, topk
+from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, packing, quality, secret_scan, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op7_license_scan, op8_packing, op9_sharding, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op7_license_scan, op8_packing, op9_sharding, op10_jaccard_join, op11_merkle)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,5 +135,45 @@ FROM ok GROUP BY r, doc_id, license
 """
 
 
+def _digest_sql(*fields: str) -> str:
+    each = (f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields)
+    return f"sha256({' || '.join(each)})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Two tables, name (grp, level, i, n, h) with all nodes of the trees over leaves (grp, i, n, h), and name_run (grp, level, run, hs) with the nodes of each run."""
+    return f"""{name}(grp, level, i, n, h) AS (SELECT grp, 0, i, n, h FROM {leaves} UNION ALL
+  SELECT grp, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY grp, level, n, i // 3),
+{name}_run AS (SELECT grp, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _climb_sql(name: str, tree: str, start: str) -> str:
+    """name (id, i, level, proof, h) goes up a tree from start (id, grp, i, proof, h): a level a step, to where no run is left."""
+    own = "CAST(c.i % 3 AS INTEGER)"
+    return f"""{name}(id, grp, i, level, proof, h) AS (SELECT id, grp, i, 0, proof, h FROM {start} UNION ALL
+  SELECT c.id, c.grp, c.i // 3, c.level + 1, c.proof || array_to_string(r.hs[:{own}], '') || array_to_string(r.hs[{own} + 2:], ''),
+         sha256(array_to_string(r.hs[:{own}], '') || c.h || array_to_string(r.hs[{own} + 2:], ''))
+  FROM {name} c JOIN {tree}_run r ON r.grp = c.grp AND r.level = c.level AND r.run = c.i // 3)"""
+
+
+#: crc32 by its table of 256 remainders, which is made here.
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS UBIGINT), list_transform(range(8), lambda k: CAST(0 AS UBIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS id, doc_id, source, {_digest_sql("doc_id", "source", "lang", "n_chars", "text")} AS h, {_digest_sql("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} AS h2,
+      xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda a, c: xor(a >> 8, t[CAST(xor(a, c) & 255 AS INTEGER) + 1]))) AS crc32 FROM documents, crc),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+{_tree_sql("a", "l")},
+s AS (SELECT 0 AS grp, grp AS i, count(*) OVER () AS n, h FROM a WHERE n = 1),
+{_tree_sql("b", "s")},
+g AS (SELECT id, grp, i, '' AS proof, CASE WHEN crc32 % 2 = 0 THEN h2 ELSE h END AS h FROM l),
+{_climb_sql("u", "a", "g")},
+w AS (SELECT id, 0 AS grp, grp AS i, proof, h FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
+{_climb_sql("v", "b", "w")},
+z AS (SELECT id, proof, h FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(z.proof) AS proof_sha256, z.h AS folded_root, z.h = r.h AS verified
+FROM l JOIN z ON z.id = l.id JOIN s ON s.i = l.grp, (SELECT h FROM b WHERE n = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op7_license_scan": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op7_license_scan": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_merkle": OP11_SQL}
