@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage's result is written
 as Parquet and read again as the docs of the next, so that a stage starts without lineage and any executor may be lost.
 All stages but the last return the columns of documents; n_chars follows the text where a stage changes it. run() deletes a stage's table once the
-next one is written.
+next one is written, and what a stage stored on its way once its result is.
 
 Defined results, those of the operators: a null text is an empty one and stays, empty, unless the classifier rejects it; rows that repeat whole are
 near duplicates of each other, so that one stays, and rows without words are in no group and stay; texts of any length are read whole; an empty table
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from lectern.llm.common import forget, store, table
+from lectern.llm.common import forget, scope, store, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stored = None
     for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
+        with scope() as keep:
+            docs = keep(store(stage(spark, docs, sf_dir)))
         if stored is not None:
             forget(stored)
         stored = docs
