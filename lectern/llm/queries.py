@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, packing, quality, secret_scan, sharding, token_files, topk
+from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, packing, periodic, quality, secret_scan, sharding, token_files, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(*token_files.write(table(spark, sf_dir, "documents")), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), change=periodic.plant)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op7_license_scan, op8_packing, op9_sharding, op10_jaccard_join, op11_merkle, op12_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_topk, op4_quality, op5_html_extract, op6_decontaminate, op7_license_scan, op8_packing, op9_sharding, op10_jaccard_join, op11_merkle, op12_token_files, op13_periodic)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
