@@ -6,8 +6,8 @@ potentials join the states of parent and child, by the child's tag. Sum-product
 the exact marginal of every node; texts whose marginal exceeds one half are content. The potentials are smoothed counts over
 labelled pages (training_pages), whose labels are known by construction: parts of usual names, and wrappers of any depth with no name or
 one never seen, inside and outside of the article. A name counts by the share of its words that are known ("notice" says more than
-"notice-board-history"). Where no text of a page exceeds one half, though one of LEAST_TEXT characters stands outside links, the texts that come
-next to the largest marginal are taken (NEAR), so that an unusual page is not lost.
+"notice-board-history"), and little if less than half of them are (PARTIAL). Where the texts above one half are fewer than LEAST_TEXT characters, but an article or main part, or the page
+outside links, has a text of that length, the texts that come next to the largest marginal there are taken (NEAR; ties all), so that an unusual page is not lost.
 
 Blocks are what block elements part; white space inside a block becomes one blank, a line break too; blocks are joined by one
 line feed. Nothing is capped. Scripts, styles, forms' controls, drawings, comments of the markup and the head hold no text of a page; formulas do.
@@ -62,6 +62,8 @@ NAME_WEIGHT, PLAIN_WEIGHT, NAME_LEAST = 2.0, 0.5, 12
 #: Where nothing exceeds one half: the share of the largest marginal, in odds, that a text must have, and the characters of a text that make a page worth it.
 NEAR, LEAST_TEXT = 0.2, 40
 NAMES_KEPT = 10_000
+#: What a name can say at most, in log odds, of which less than half of the words are known: "ad-free-reading" is no advert.
+PARTIAL = 1.0
 
 
 class Dom:
@@ -265,7 +267,8 @@ class Model:
             total = 0.0
             for name in names:
                 known = [x for w in name if (x := self.lean.get(f"name:{w}")) is not None]
-                total += sum(known) * len(known) / len(name)
+                said = sum(known) * len(known) / len(name)
+                total += said if 2 * len(known) >= len(name) else max(-PARTIAL, min(PARTIAL, said))
             if len(self.known) >= NAMES_KEPT:
                 self.known.clear()
             self.known[names] = total
@@ -344,18 +347,31 @@ def extract_text(page: str | None, model: Model) -> str:
         return ""
     dom = parse(page)
     p = model.marginals(dom)
-    least = cutoff(dom, p)
-    return assemble(dom, [x > least for x in p]) if any(map(str.strip, dom.text)) else ""
-
-
-def cutoff(dom: Dom, p: list[float]) -> float:
-    """One half; less where no text exceeds it and one is long enough to be an article's."""
-    linked = links(dom)
-    texts = [i for i in range(len(p)) if dom.tag[i] == "" and not linked[i] and dom.text[i].strip()]
-    if any(p[i] > 0.5 for i in texts) or not any(len(dom.text[i].strip()) >= LEAST_TEXT for i in texts):
-        return 0.5
-    odds = NEAR * max(p[i] / (1 - p[i]) for i in texts)
-    return odds / (1 + odds)
+    return assemble(dom, chosen(dom, p)) if any(map(str.strip, dom.text)) else ""
+
+
+def chosen(dom: Dom, p: list[float]) -> list[bool]:
+    """The nodes above one half; where their texts are less than an article's, also those that come next.
+
+    If texts of an article or main part are long enough, those of that part come next, links or not; else those outside links of the whole page,
+    if none of them is above one half.
+    """
+    out = [x > 0.5 for x in p]
+    linked, root = links(dom), [False] * len(p)
+    for i in range(1, len(p)):
+        root[i] = root[dom.parent[i]] or dom.tag[i] in ("article", "main")
+    sizes = [len(t.strip()) if tag == "" else 0 for tag, t in zip(dom.tag, dom.text, strict=True)]
+    if sum(n for n, y in zip(sizes, out, strict=True) if y) >= LEAST_TEXT:
+        return out
+    inside = [i for i, n in enumerate(sizes) if root[i] and n and not out[i]]
+    if not any(sizes[i] >= LEAST_TEXT for i in inside):
+        inside = [i for i, n in enumerate(sizes) if n and not linked[i]]
+        if any(out[i] for i in inside) or not any(sizes[i] >= LEAST_TEXT for i in inside):
+            return out
+    odds = NEAR * max(p[i] / (1 - p[i]) for i in inside)
+    for i in inside:
+        out[i] = out[i] or p[i] > odds / (1 + odds)
+    return out
 
 
 # Labelled pages -------------------------------------------------------------------------------------------------------

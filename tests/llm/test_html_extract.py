@@ -72,6 +72,13 @@ def test_nothing_of_an_article_is_lost(model):
     assert got(f'<article><h1>A title</h1><p><a href=/x>A link</a></p><p class="notice-board-history">{words(12)}</p></article>') == f"A title\nA link\n{words(12)}"
     assert got(f'<article><h1>A title</h1><p>{p}</p><p class="ad">Buy now</p><p>{words(30)}</p></article>') == f"A title\n{p}\n{words(30)}"
     assert got(f'<div class="product-page"><h1>A title</h1><p>{words(140)}</p></div>') == f"A title\n{words(140)}"
+    # one known word among others, articles of links, tables
+    for name in ("ad-free-reading", "ad-free", "cookie-recipes-list", "social-history-essay"):
+        assert got(f'<article><h1>A title</h1><div class="{name}"><p>{words(40)}</p></div></article>') == f"A title\n{words(40)}", name
+    assert got(f'<article><h1>A title</h1><p>{p}</p><p class="footer-of-the-page-note">{words(12)}</p></article>') == f"A title\n{p}\n{words(12)}"
+    three = [words(10, k) for k in range(3)]
+    assert got("<article><h1>A title</h1>" + "".join(f"<p><a href=/{k}>{t}</a></p>" for k, t in enumerate(three)) + "</article>") == "\n".join(["A title", *three])
+    assert got(f"<table><tr><td>{p}</td></tr><tr><td><h1>A title</h1><p>{words(60)}</p></td></tr></table>") == f"{p}\nA title\n{words(60)}"
     assert got("") == ""
 
 
