@@ -76,7 +76,7 @@ def default_tokenizer() -> str:
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids (binary, little-endian unsigned 32-bit; left out unless with_ids), ids_crc32, doc_tokens, bucket, sequence_id, offset of every piece.
+    """doc_id, start, length, ids (binary, little-endian unsigned 32-bit; left out unless with_ids), ids_crc32, doc_tokens, sequence_id, offset, bucket of every piece.
 
     bucket is the binary logarithm of the length.
     """
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
 
     kinds = {"ids": "binary", "bucket": "int"}
     cut_up = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
-    return cut_up.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return cut_up.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).select(*[c for c in names if c != "bucket"], "sequence_id", "offset", "bucket")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
