@@ -9,7 +9,7 @@ the NEAR best of each query first, whose kth exact score rules out all but the f
 are read next, and the kth result is certain. Exact vectors travel for such candidates only, cells (an eighth of a long) for the scan.
 
 Row blocks are copied once for each block of QUERIES_A_BLOCK queries, query blocks once for each of `lanes`: tasks are the products, and both
-copies are of cells or of queries, not of exact rows. No side is broadcast.
+copies are of cells or of queries, not of exact rows. Nothing is joined or broadcast for it: queries are dealt to blocks by a hash, and cells list the numbers of the blocks.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; empty vectors have no component
 and take no part. Only vectors of equal length are compared. A query's own row is every row with its vec_id; where rows repeat
@@ -136,24 +136,28 @@ BLOCK = "dim int, ids binary, hashes binary, vectors binary, shift binary"
 def scan_file(rows: DataFrame, asking: DataFrame, k: int, lanes: int) -> DataFrame:
     """(query_id, vec_id, h, upper, lower): candidates with an upper bound, and lower bounds that at least as many rows reach."""
     file = rows.mapInPandas(pack_blocks(ROWS_A_BLOCK, True), BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids", "hashes"), F.lit(lanes)).cast("int"))
-    q = asking.mapInPandas(pack_blocks(QUERIES_A_BLOCK, False), BLOCK).select(F.xxhash64("ids", "dim").alias("qb"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    blocks = -(-asking.count() // QUERIES_A_BLOCK)
+    dealt = asking.select("vec_id", "h", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).cast("int").alias("qb"))
+    one = lambda key, rows: next(pack_blocks(len(rows), False)([rows])).assign(qb=key[0])
+    # QUERIES_A_BLOCK rows a group, nearly
+    q = dealt.groupBy("qb", "dim").applyInPandas(one, BLOCK + ", qb int").select("qb", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # a task is (block of queries, lane): its rows are the block itself, then the cells of the lane
     spread = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     nothing = {c: F.lit(None).cast("binary") for c in ("ids", "hashes", "vectors", "shift")}
     first = spread.select("qb", "lane", "dim", F.lit(0).alias("part"), "q_ids", "q_vectors", *[v.alias(c) for c, v in nothing.items()])
-    met = file.join(q.select("qb", "dim"), "dim").select("qb", "lane", "dim", F.lit(1).alias("part"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_vectors"), *nothing)
+    met = file.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks else F.array().cast("array<int>"))).select("qb", "lane", "dim", F.lit(1).alias("part"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_vectors"), *nothing)
     tasks = first.unionByName(met).repartition("qb", "lane", "dim").sortWithinPartitions("qb", "lane", "dim", "part")
 
     @lean
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = None
+        at = now = None
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.part == 0:
                     if now is not None:
                         yield from now.result()
-                    now = Scan(np.frombuffer(r.q_ids, dtype="<i8"), np.frombuffer(r.q_vectors, dtype="<i8").reshape(-1, r.dim), k)
-                else:
+                    at, now = (r.qb, r.lane, r.dim), Scan(np.frombuffer(r.q_ids, dtype="<i8"), np.frombuffer(r.q_vectors, dtype="<i8").reshape(-1, r.dim), k)
+                elif (r.qb, r.lane, r.dim) == at:  # not cells of a length that no query of the block has
                     now.meet(np.frombuffer(r.ids, dtype="<i8"), np.frombuffer(r.hashes, dtype="<i8"), np.frombuffer(r.vectors, dtype=np.int8).reshape(-1, r.dim), np.frombuffer(r.shift, dtype="<i1").astype(np.int64))
         if now is not None:
             yield from now.result()
