@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, markers
 from ..functions.catalog import load
 from ..functions.references import parse_column
-from ..functions.tokens import lemmas, surface_array, word_array
-from ..operators import aliases, footnotes, index, navigation, passages, search
+from ..functions.tokens import lemma_column, lemmas, surface_array, word_array
+from ..operators import aliases, footnotes, index, intervals, navigation, passages, phrases, search
 from ..operators import nodes as node_ops
 from ..session import scratch
 from . import document_queries  # noqa: F401 - registers its queries
@@ -292,42 +291,92 @@ _MET_SQL = f"WITH {POSTINGS_SQL}, r(lemma, low, high, priority, note) AS (VALUES
 
 @query(f"{_MET_SQL} SELECT note, lemma, count(*) AS n FROM m GROUP BY note, lemma")
 def interval_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(_docs(spark, sf_dir))
-    ref = F.struct("book_ord", "chapter", "v_first", "v_last")
-    met = p.join(F.broadcast(_rules(spark)), "lemma").where((ref >= F.col("low")) & (ref <= F.col("high")))  # four rules
-    best = met.groupBy("corpus_id", "lemma", "book_ord", "segment", "pos").agg(F.max_by("note", "priority").alias("note"))
-    return best.groupBy("note", "lemma").agg(F.count(F.lit(1)).alias("n"))
+    met = intervals.holding(postings(_docs(spark, sf_dir)), _rules(spark), ["lemma"])
+    return met.groupBy("note", "lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_MET_SQL} SELECT corpus_id, book_ord, lemma, note, chapter, verse AS v_first FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, book_ord, lemma, note ORDER BY chapter, verse, pos) AS k FROM m) WHERE k = 1")
 def footnote_single_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = footnotes.single_word_notes(postings(_docs(spark, sf_dir)), F.broadcast(_rules(spark)))
+    found = footnotes.single_word_notes(postings(_docs(spark, sf_dir)), _rules(spark))
     return found.select("corpus_id", "book_ord", "lemma", "note", "chapter", "v_first")
 
 
+#: Words that rules made of orders name, by the key of the order.
+ORDER_WORDS = ("the", "of", "and", "in", "der", "die", "und", "de", "la", "el", "worthless", "idiot", "moron")
+_PLACE = "(CAST({b} AS HUGEINT) * 100000 + {c}) * 100000 + {v}"
+
+
+@query(
+    f"WITH {POSTINGS_SQL}, r AS (SELECT {list(ORDER_WORDS)}[CAST(o_orderkey % {len(ORDER_WORDS)} AS INTEGER) + 1] AS lemma, o_orderkey AS note, "
+    f"{_PLACE.format(b='o_custkey', c='o_orderkey % 7', v='o_orderkey % 5')} AS low, {_PLACE.format(b='(o_custkey + o_orderkey % 3)', c='o_orderkey % 11', v='o_orderkey % 6')} AS high FROM orders), "
+    f"m AS (SELECT p.lemma, {_PLACE.format(b='p.book_ord', c='p.chapter', v='p.verse')} AS at, count(*) AS n FROM p WHERE lemma IN {ORDER_WORDS} GROUP BY ALL) "
+    "SELECT lemma, CAST(note AS BIGINT) AS rule, CAST(sum(n) AS BIGINT) AS n FROM (SELECT m.lemma, m.at, any_value(m.n) AS n, max(r.note) AS note FROM m JOIN r ON m.lemma = r.lemma AND m.at BETWEEN r.low AND r.high GROUP BY m.lemma, m.at) GROUP BY lemma, note"
+)
+def interval_rules_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each order: spans of one to three documents; which rule counts for how many words."""
+    key = F.col("o_orderkey")
+    end = lambda book, chapter, verse: F.struct(book.alias("book_ord"), (key % chapter).alias("chapter"), (key % verse).alias("v_first"), (key % verse).alias("v_last"))
+    word = F.element_at(F.array(*[F.lit(w) for w in ORDER_WORDS]), (key % len(ORDER_WORDS)).cast("int") + 1)
+    rules = table(spark, sf_dir, "orders").select(word.alias("lemma"), end(F.col("o_custkey"), 7, 5).alias("low"), end(F.col("o_custkey") + key % 3, 11, 6).alias("high"), key.alias("priority"), key.cast("string").alias("note"))
+    met = intervals.holding(postings(_docs(spark, sf_dir)), rules, ["lemma"])
+    return met.groupBy("lemma", F.col("priority").cast("long").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
 PHRASES = ("of the", "of the and", "the and", "in the", "de la", "und die")
 
 
-@query()
-def footnote_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each of six phrases is told in each document, longest phrases first."""
-    from ..config import FootnoteRule
+def _phrase_sql(stretches: str, phrases: tuple[str, ...]) -> str:
+    """told (r, k, size, phrase): the phrases told in stretches (r, k, word, n), k from 1 to n; three words at most in each."""
+    return f"""wd AS ({stretches}),
+ph(phrase) AS (VALUES {", ".join(f"('{p}')" for p in phrases)}),
+pw AS (SELECT phrase, string_split(phrase, ' ') AS ws FROM ph),
+bg AS (SELECT DISTINCT ws[:i] AS ws FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM pw)),
+x AS (SELECT r, k, n, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM wd WINDOW o AS (PARTITION BY r ORDER BY k)),
+one AS (SELECT r, k, n, CASE WHEN k + 2 <= n AND [word, w2, w3] IN (SELECT ws FROM bg) THEN 3 WHEN k + 1 <= n AND [word, w2] IN (SELECT ws FROM bg) THEN 2 WHEN [word] IN (SELECT ws FROM bg) THEN 1 ELSE 0 END AS size, [word, w2, w3] AS ws FROM x),
+runs AS (SELECT *, coalesce(max(k + size) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= k AS free FROM one WHERE size > 0),
+go AS (SELECT r, k, size FROM runs WHERE free UNION ALL SELECT t.r, t.k, t.size FROM go JOIN runs t ON t.r = go.r AND t.k = (SELECT min(u.k) FROM runs u WHERE u.r = go.r AND u.k >= go.k + go.size) AND NOT t.free),
+run AS (SELECT go.r, go.k, go.size, ws[:go.size] AS ws, go.k + go.size <= n AS more FROM go JOIN one USING (r, k)),
+told AS (SELECT r, CASE WHEN whole THEN k ELSE k + size - rest END AS k, CASE WHEN whole THEN size ELSE rest END AS size, array_to_string(CASE WHEN whole THEN ws ELSE ws[size - rest + 1:] END, ' ') AS phrase
+  FROM (SELECT *, ws IN (SELECT ws FROM pw) AS whole, CASE WHEN NOT more THEN 0 WHEN size = 3 AND ws[2:] IN (SELECT ws FROM bg) THEN CASE WHEN ws[2:] IN (SELECT ws FROM pw) THEN 2 ELSE 0 END WHEN size >= 2 AND ws[size:] IN (SELECT ws FROM bg) AND ws[size:] IN (SELECT ws FROM pw) THEN 1 ELSE 0 END AS rest FROM run)
+  WHERE whole OR rest > 0)"""
+
 
-    anywhere = (0, 0, 0, 0), (10**9, 0, 0, 0)
-    rules = [FootnoteRule(tuple(p.split()), *anywhere, p, i) for i, p in enumerate(PHRASES)]
+def _phrases(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(p.split(),) for p in names], "phrase array<string>")
 
-    @F.pandas_udf("array<string>")
-    def told(texts: pd.Series) -> pd.Series:
-        book = footnotes.PhraseBook(rules)
 
-        def one(text: str | None) -> list[str]:
-            found = lemmas(text or "")
-            return [" ".join(found[a:b]) for a, b in book.told(found)]
+_WHOLE_TEXTS = r"SELECT doc_id AS r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*') AS ws FROM documents)"
 
-        return texts.map(one)
 
-    rows = spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode(told("text")).alias("phrase"))
-    return rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH RECURSIVE {_phrase_sql(_WHOLE_TEXTS, PHRASES)} SELECT r AS doc_id, phrase, count(*) AS n FROM told GROUP BY ALL")
+def footnote_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of six phrases is told in each document, longest phrases first; a whole text is one stretch."""
+    words = spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", surface_array(F.coalesce("text", F.lit(""))).alias("ws"))
+    each = words.select("doc_id", (F.size("ws") - 1).alias("last_pos"), F.posexplode("ws").alias("pos", "surface")).select("doc_id", "pos", "last_pos", lemma_column(F.col("surface")).alias("lemma"))
+    return phrases.told(each, _phrases(spark, PHRASES), ["doc_id"]).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: phrase, lowest and highest reference, priority, note: a later rule hides an earlier one in a part of its span, and a phrase without a rule at a place hides the shorter one in it.
+PHRASE_RULES = (("of the", (0, 0, 0, 0), (10**9, 0, 0, 0), 0, "any"), ("of the", (100, 1, 2, 2), (600, 4, 9, 9), 1, "middle"), ("the and", (0, 0, 0, 0), (10**9, 0, 0, 0), 2, "pair"), ("of the and", (200, 0, 0, 0), (300, 0, 0, 0), 3, "long"), ("de la", (50, 1, 1, 1), (50, 9, 9, 9), 4, "one"))
+_VERSE_STRETCHES = "SELECT (corpus_id, book_ord, chapter, verse) AS r, lemma AS word, pos AS k, count(*) OVER (PARTITION BY corpus_id, book_ord, chapter, verse) AS n FROM p"
+
+
+@query(
+    f"WITH RECURSIVE {POSTINGS_SQL}, {_phrase_sql(_VERSE_STRETCHES, tuple(dict.fromkeys(r[0] for r in PHRASE_RULES)))}, "
+    f"r(phrase, low, high, priority, note) AS (VALUES {', '.join(f"('{w}', {a}, {b}, {p}, '{n}')" for w, a, b, p, n in PHRASE_RULES)}), "
+    "m AS (SELECT t.r[1] AS corpus_id, t.r[2] AS book_ord, t.r[3] AS chapter, t.r[4] AS verse, t.k, phrase, arg_max(note, priority) AS note FROM told t JOIN r USING (phrase) WHERE (t.r[2], t.r[3], t.r[4], t.r[4]) >= low AND (t.r[2], t.r[3], t.r[4], t.r[4]) <= high GROUP BY ALL) "
+    "SELECT corpus_id, book_ord, phrase, note, CAST(chapter AS INTEGER) AS chapter, CAST(verse AS INTEGER) AS v_first, CAST(k - 1 AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, book_ord, phrase, note ORDER BY chapter, verse, k) AS first FROM m) WHERE first = 1"
+)
+def footnote_phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each phrase's note goes: the first verse of a document in which it is told and the rule holds; verses are stretches."""
+    ref = "struct<book_ord: bigint, chapter: int, v_first: int, v_last: int>"
+    rules = spark.createDataFrame(list(PHRASE_RULES), f"phrase string, low {ref}, high {ref}, priority int, note string")
+    s = sentences(_docs(spark, sf_dir)).select("corpus_id", "book_ord", "chapter", "v_first", "v_last", surface_array(F.col("text")).alias("ws"))
+    keys = ["corpus_id", "book_ord", "chapter", "v_first", "v_last"]
+    each = s.select(*keys, (F.size("ws") - 1).alias("last_pos"), F.posexplode("ws").alias("pos", "surface")).select(*keys, "pos", "last_pos", lemma_column(F.col("surface")).alias("lemma"))
+    found = phrases.told(each, _phrases(spark, tuple(r[0] for r in PHRASE_RULES)), keys)
+    first = phrases.notes(found, rules, ["corpus_id", "book_ord"], ["chapter", "v_first", "pos"])
+    return first.select("corpus_id", "book_ord", "phrase", "note", "chapter", "v_first", "pos")
 
 
 # Labels, markup, JSON -------------------------------------------------------------------------------------------------
