@@ -12,13 +12,19 @@ from pyspark.sql import types as T
 from ..functions.catalog import Catalog, load
 from ..sources.usfm import read_usfm
 from ..sources.usj import NODE_FIELDS, DocumentError, flatten, read_json
+from ..sources.usj_variant import parse_trees
 
 _RAW = f"corpus_id string, path_name string, code_found string, {NODE_FIELDS}, severity string, message string, position int"
 KEYS = ("corpus_id", "book_ord")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """files (corpus_id, path, kind, text) as node rows and diagnostic rows; a file that cannot be read yields one error."""
+def parse_files(files: DataFrame, trees_in_jvm: bool = False) -> DataFrame:
+    """files (corpus_id, path, kind, text) as node rows and diagnostic rows; a file that cannot be read yields one error.
+
+    trees_in_jvm: JSON trees are walked as VARIANT, so that only marker texts need a Python worker.
+    """
+    if trees_in_jvm:
+        return parse_trees(files.where("kind = 'usj'")).unionByName(parse_files(files.where("kind <> 'usj'")))
     names = T._parse_datatype_string(_RAW).names
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import load
 from ..functions.tokens import sentence_array
 from ..operators import nodes as node_ops
+from ..session import scratch
 from .adapter import spread, table
 
 BOOKS, MOST = 66, 255
@@ -84,7 +85,11 @@ def parsed(spark: SparkSession, sf_dir: str, corpus: Column | None = None) -> Da
 
 
 def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return node_ops.nodes(parsed(spark, sf_dir))
+    """The nodes of the documents, which are parsed once and stored: what follows reads them several times."""
+    once = parsed(spark, sf_dir)
+    folder = scratch(spark)
+    once.write.parquet(folder)
+    return node_ops.nodes(spark.read.schema(once.schema).parquet(folder))
 
 
 #: The same in SQL: documents (d), lines (l), sentences (s) and words (w) with their numbers.

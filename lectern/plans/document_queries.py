@@ -15,8 +15,9 @@ from ..operators import aliases, display, index, links, navigation, passages, se
 from ..operators import nodes as node_ops
 from ..session import scratch
 from ..sources.snapshot import read_snapshot, write_snapshot
+from ..sources.usj_variant import parse_trees
 from .adapter import placed_postings, sentences, table
-from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, parsed, sole, usfm_files
+from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, files, parsed, sole, usfm_files
 from .registry import dim_sql, query
 
 # Reading --------------------------------------------------------------------------------------------------------------
@@ -34,6 +35,26 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_nodes(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"{CORPUS_SQL}, {HEADED}, r AS (SELECT corpus_id, book_ord, chapter AS n, 'chapter' AS type, 1 AS depth FROM l UNION ALL SELECT corpus_id, book_ord, verse, 'verse', 2 FROM s UNION ALL SELECT corpus_id, book_ord, length(sentence), 'text', 2 FROM s UNION ALL SELECT corpus_id, book_ord, 3, 'text', 4 FROM s WHERE nth % 4 = 0 UNION ALL SELECT corpus_id, book_ord, 7, 'text', 2 FROM h) "
+    "SELECT corpus_id, book_ord, type, CAST(depth AS INTEGER) AS depth, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM r GROUP BY ALL"
+)
+def document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON trees walked in the JVM: chapters, verses and texts by depth, with the sums of their numbers and lengths."""
+    rows = parse_trees(files(table(spark, sf_dir, "documents"), sole())).where("seq is not null")
+    folder = scratch(spark)
+    rows.write.parquet(folder)
+    n = node_ops.with_coordinates(spark.read.schema(rows.schema).parquet(folder).join(_book_of_path(spark, sf_dir), ["corpus_id", "path_name"]))
+    kept = n.where("type in ('chapter', 'verse') or type = 'text' and chapter is not null")
+    number = F.when(F.col("type") == "text", F.length("text")).otherwise(F.col("number_first"))
+    return kept.groupBy("corpus_id", "book_ord", "type", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("long").alias("total"))
+
+
+def _book_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(sole().alias("corpus_id"), F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".usj")).alias("path_name"), (F.col("doc_id") % 66).cast("int").alias("book_ord"))
+
+
 @query(
     "WITH d AS (SELECT string_split(translate(coalesce(text, ''), '\\|~/', ''), chr(10)) AS ls FROM documents), l AS (SELECT unnest(ls) AS line FROM d), s AS (SELECT unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS sentence FROM l) "
     "SELECT (SELECT count(*) FROM l) AS chapters, count(*) AS verses, CAST(sum(length(regexp_replace(sentence, '\\s', '', 'g'))) AS BIGINT) AS letters FROM s"

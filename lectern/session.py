@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,4 +31,19 @@ def scratch(spark: SparkSession) -> str:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lectern-")
-    return f"{base}/lectern-{uuid.uuid4().hex}"
+    path = f"{base}/lectern-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Scratch folders go when the application ends in order."""
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
