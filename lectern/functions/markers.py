@@ -119,6 +119,16 @@ def parse_sid(text: str) -> tuple[str, int, int | None, int | None] | None:
     return m[1], int(m[2]), first, int(m[4]) if m[4] else first
 
 
+def sid_column(c: Column) -> Column:
+    """parse_sid in the JVM: (book, chapter, v_first, v_last, shown), null for what is no id; shown is the id as format_sid writes it."""
+    part = lambda k: F.regexp_extract(c, SID, k)
+    number = lambda k: F.when(part(k) != "", part(k).cast("int"))
+    chapter, first = number(2), number(3)
+    last = F.coalesce(number(4), first)
+    verses = F.when(first.isNull(), "").otherwise(F.concat(F.lit(":"), range_text(first, last)))
+    return F.when(c.rlike(SID), F.struct(part(1).alias("book"), chapter.alias("chapter"), first.alias("v_first"), last.alias("v_last"), F.concat(part(1), F.lit(" "), chapter.cast("string"), verses).alias("shown")))
+
+
 def format_sid(book: str, chapter: int, first: int | None = None, last: int | None = None) -> str:
     verses = "" if first is None else f":{first}" if first == last or last is None else f":{first}-{last}"
     return f"{book} {chapter}{verses}"

@@ -15,7 +15,7 @@ from ..operators import aliases, display, index, links, navigation, passages, se
 from ..operators import nodes as node_ops
 from ..session import scratch
 from ..sources.snapshot import read_snapshot, write_snapshot
-from ..sources.usj_variant import parse_trees
+from ..sources.usj_variant import parse_marker, parse_trees, verse_range
 from .adapter import placed_postings, sentences, table
 from .corpus import CORPUS_SQL, HEADED, NAMES, corpus_nodes, files, parsed, sole, usfm_files
 from .registry import dim_sql, query
@@ -374,22 +374,11 @@ ASKED = (("q", 4), ("mt", 4), ("p", 0), ("zz", 0))
 def marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers with numbers from none to six, some beyond what the marker takes, some unknown."""
 
-    @F.pandas_udf("struct<base: string, number: int, error: string>")
-    def parse(marker: pd.Series) -> pd.DataFrame:
-        def one(text: str) -> tuple:
-            try:
-                m = markers.parse_marker(text)
-            except markers.MarkerError as e:
-                return None, None, e.kind
-            return m.base, m.low, None
-
-        return pd.DataFrame([one(t) for t in marker], columns=["base", "number", "error"]).astype({"number": "Int32"})
-
     names = F.array(*[F.lit(b) for b, _ in ASKED])
     n = (F.col("o_custkey") % 7).cast("string")
     marker = F.concat(F.get(names, (F.col("o_orderkey") % 4).cast("int")), F.when(n == "0", "").otherwise(n))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", marker.alias("marker")).withColumn("m", parse("marker"))
-    return rows.select("o_orderkey", "m.base", "m.number", "m.error", markers.is_title(F.col("marker")).alias("is_title"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", marker.alias("marker")).withColumn("m", parse_marker(F.col("marker")))
+    return rows.select("o_orderkey", "m.base", F.col("m.low").alias("number"), "m.error", markers.is_title(F.col("marker")).alias("is_title"))
 
 
 @query(
@@ -403,15 +392,7 @@ def sid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = F.when(k % 2 == 0, "GEN").otherwise("5EZ")
     sid = F.when(k % 5 == 4, F.lit("In the third chapter")).otherwise(F.concat(book, F.lit(" "), (c % 50 + 1).cast("string"), F.when(k % 5 == 0, "").when(a == b, F.concat(F.lit(":"), a)).otherwise(F.concat(F.lit(":"), a, F.lit("-"), b))))
 
-    @F.pandas_udf("struct<book: string, chapter: int, v_first: int, v_last: int, shown: string>")
-    def parse(sids: pd.Series) -> pd.DataFrame:
-        def one(text: str) -> tuple:
-            found = markers.parse_sid(text)
-            return (*found, markers.format_sid(*found)) if found else (None,) * 5
-
-        return pd.DataFrame([one(t) for t in sids], columns=["book", "chapter", "v_first", "v_last", "shown"]).astype({c: "Int32" for c in ("chapter", "v_first", "v_last")})
-
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", sid.alias("sid")).withColumn("r", parse("sid"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", sid.alias("sid")).withColumn("r", markers.sid_column(F.col("sid")))
     return rows.select("o_orderkey", "r.*", F.col("sid").rlike(markers.MACHINE).alias("machine"))
 
 
@@ -419,13 +400,8 @@ def sid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges as text, with letters around the numbers, read and shown again; falling ones are refused."""
 
-    @F.pandas_udf("struct<first: int, last: int>")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        known = {t: markers.verse_range(t) or (None, None) for t in texts.unique()}
-        return pd.DataFrame([known[t] for t in texts], columns=["first", "last"]).astype("Int32")
-
     text = F.concat((F.col("l_suppkey") % 20 + 1).cast("string"), F.lit("a-b"), (F.col("l_partkey") % 20 + 1).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse(text).alias("r"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", verse_range(text).alias("r"))
     a, b = F.col("r.first"), F.col("r.last")
     return rows.select("l_orderkey", "l_linenumber", F.when(a.isNotNull(), markers.range_text(a, b)).alias("verses"), ((a <= 7) & (b >= 7)).alias("holds_7"))
 

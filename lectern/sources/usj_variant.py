@@ -65,27 +65,32 @@ def verse_range(c: Column) -> Column:
     return let(F.struct(first.alias("first"), last.alias("last")), lambda r: F.when(r["first"] <= r["last"], r))
 
 
-def marker_fault(c: Column) -> Column:
-    """The message of parse_marker for a marker that is none; null for one that is."""
+def parse_marker(c: Column) -> Column:
+    """(base, low, error) of a content marker, as markers.parse_marker has them: the kind of an error, or the base and its first number."""
     tops = F.expr("map(" + ", ".join(f"'{m}', {n}" for m, n in CONTENT.items()) + ")")
     shape = r"^([a-z]+?)([0-9]*)(?:-(?:([0-9]*)|([se])))?$"
     part = lambda k: F.regexp_extract(c, shape, k)
-    number = lambda s: F.coalesce(F.try_to_number(s, F.lit("9999999999")).cast("long"), F.lit(1 << 40))
+    number = lambda s: F.coalesce(s.try_cast("long"), F.lit(1 << 40))
 
-    def kind(x: Column) -> Column:
-        dash = c.contains("-")
+    def of(x: Column) -> Column:
         low = F.when(x["number"] != "", number(x["number"])).otherwise(F.when(x["top"] > 0, 1))
         high = F.when(x["second"] != "", number(x["second"])).otherwise(low)
         ok = (x["top"] > 0) & low.between(1, x["top"]) & high.between(low, x["top"])
-        return (
+        error = (
             F.when(x["top"].isNull(), F.when(F.element_at(tops, c).isNull(), "unknown"))
             .when(x["side"] != "", "unknown")
-            .when(dash & (~x["base"].isin(*CELLS) | (x["second"] == "") | (x["number"] == "")), "number")
+            .when(c.contains("-") & (~x["base"].isin(*CELLS) | (x["second"] == "") | (x["number"] == "")), "number")
             .when((x["number"] != "") & ~ok, "range")
         )
+        # a name that ends in digits is whole, without a number
+        return let(error, lambda e: F.struct(F.when(e.isNull(), F.when(x["top"].isNull(), c).otherwise(x["base"])).alias("base"), F.when(e.isNull(), low).cast("int").alias("low"), e.alias("error")))
+
+    return let(F.struct(F.element_at(tops, part(1)).alias("top"), part(1).alias("base"), part(2).alias("number"), part(3).alias("second"), part(4).alias("side")), of)
 
-    facts = F.struct(F.element_at(tops, part(1)).alias("top"), part(1).alias("base"), part(2).alias("number"), part(3).alias("second"), part(4).alias("side"))
-    return let(let(facts, kind), lambda k: F.when(k.isNotNull(), F.concat(k, F.lit(" marker '"), c, F.lit("'"))))
+
+def marker_fault(c: Column) -> Column:
+    """The message of markers.parse_marker for a marker that is none; null for one that is."""
+    return let(parse_marker(c), lambda m: F.when(m["error"].isNotNull(), F.concat(m["error"], F.lit(" marker '"), c, F.lit("'"))))
 
 
 # The walk -------------------------------------------------------------------------------------------------------------

@@ -86,11 +86,19 @@ def test_numbers_and_markers(spark):
         assert (tuple(x["v"]) if x["v"] else None) == markers.verse_range(x["t"]), x
         assert x["d"] == markers.digits(x["t"]), x
     names = [*markers.CONTENT, *(b + n for b in ("p", "q", "tc", "th", "k", "zz", "liv", "qt") for n in ("1", "5", "99", "0", "1-2", "2-1", "-", "-1", "1-", "-s", "1-e", "12-12", "99999999999999"))]
-    df = spark.createDataFrame([(t,) for t in names], "t string").select("t", uv.marker_fault(F.col("t")).alias("f"))
+    df = spark.createDataFrame([(t,) for t in names], "t string").select("t", uv.marker_fault(F.col("t")).alias("f"), uv.parse_marker(F.col("t")).alias("m"))
     for x in df.collect():
         try:
-            markers.parse_marker(x["t"])
-            said = None
+            m = markers.parse_marker(x["t"])
+            said, parsed = None, (m.base, m.low, None)
         except markers.MarkerError as e:
-            said = str(e)
-        assert x["f"] == said, x
+            said, parsed = str(e), (None, None, e.kind)
+        assert x["f"] == said and tuple(x["m"]) == parsed, x
+
+
+def test_ids(spark):
+    texts = ["GEN 5", "GEN5", "GEN 5:10", "GEN 5:10-12", "5EZ 1:1-1", "gen 5", "GEN 5:", "GEN", "", "GEN 5:1-2-3", "In the third chapter"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", markers.sid_column(F.col("t")).alias("r"))
+    for x in df.collect():
+        want = markers.parse_sid(x["t"])
+        assert (tuple(x["r"]) if x["r"] else None) == ((*want, markers.format_sid(*want)) if want else None), x
