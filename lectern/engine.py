@@ -159,7 +159,9 @@ class Engine:
 
     def find_words(self, corpus: str, n: DataFrame, term: str, start: int, count: int, mode: str) -> dict:
         p = self.postings.where(F.col("corpus_id") == corpus)
-        query = search.query_frame(self.spark, term, self.corpus_config(corpus).languages)
+        languages = self.corpus_config(corpus).languages
+        query = search.query_frame(self.spark, term, languages)
+        p = search.probe(p, term, languages)
         found = search.hits(p, query, mode).cache()
         try:
             total = found.count()

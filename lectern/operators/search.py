@@ -25,6 +25,11 @@ def query_frame(spark: SparkSession, term: str, languages: list[str] | None = No
     return spark.createDataFrame([(w,) for w in lemmas(term, languages)], "lemma string")
 
 
+def probe(p: DataFrame, term: str, languages: list[str] | None = None) -> DataFrame:
+    """The postings of a query's words, as a filter that reaches the scan: row groups of stored postings without any of them are not read (by their ranges and Bloom filters)."""
+    return p.where(F.col("lemma").isin(lemmas(term, languages)))
+
+
 def hits(p: DataFrame, query: DataFrame, mode: str = "occurrence") -> DataFrame:
     """References with their occurrences, in canonical order by `orderBy` of the caller.
 
