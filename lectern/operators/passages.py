@@ -46,6 +46,11 @@ def bounds(n: DataFrame, wanted: DataFrame) -> DataFrame:
     here = F.array_min(F.transform(F.filter("chapters", lambda c: c["number"] == F.col("chapter")), lambda c: c["root"]))
     base = wanted.join(roots, [*KEYS]).withColumn("chapter_root", here).where("chapter_root is not null").join(marks, [*KEYS, "chapter"], "left")
 
+    # a number may be that of several chapters: the first one counts, up to the next chapter of any number
+    until = F.array_min(F.filter(F.transform("chapters", lambda c: c["root"]), lambda r: r > F.col("chapter_root")))
+    base = base.withColumn("chapter_until", until)
+    base = base.withColumn("marks", F.filter("marks", lambda m: (m["place"]["root"] > F.col("chapter_root")) & F.coalesce(m["place"]["root"] < F.col("chapter_until"), F.lit(True))))
+
     def first(test: Callable[[Column], Column]) -> Column:
         """The first mark in the chapter that a test holds for."""
         return F.get(F.filter(F.coalesce("marks", F.array().cast(base.schema["marks"].dataType)), test), F.lit(0))

@@ -211,3 +211,17 @@ def test_note_labels(engine):
     histogram = {r["marker_or_type"]: r["n"] for r in nd.marker_histogram(engine.nodes).collect()}
     assert (histogram["v"], histogram["c"], histogram["f"]) == (8, 4, 1)
     assert [(r["book_ord"], r["n"]) for r in nd.unsupported(engine.nodes, [m for m in histogram if m != "q1"]).collect()] == [(0, 1)]
+
+
+def test_a_chapter_number_that_comes_twice(spark):
+    """A reference names the first chapter of its number; a verse that only the later one has is none."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import nodes as nd
+    from lectern.operators import passages
+
+    text = "\\id GEN\n\\c 3\n\\p\n\\v 1 a\n\\v 2 b\n\\c 4\n\\p\n\\v 1 c\n\\c 3\n\\p\n\\v 1 d\n\\v 2 e\n\\v 3 f\n\\v 4 g"
+    n = nd.nodes(nd.parse_files(spark.createDataFrame([("a", "1.usfm", "usfm", text)], "corpus_id string, path string, kind string, text string")))
+    wanted = spark.createDataFrame([(2, 2), (4, 4)], "v_first int, v_last int").select(F.col("v_first").alias("req_id"), F.lit("a").alias("corpus_id"), F.lit(0).alias("book_ord"), F.lit(3).alias("chapter"), "v_first", "v_last")
+    found = [(r["req_id"], tuple(r["start_at"]), tuple(r["end_at"])) for r in passages.bounds(n, wanted).collect()]
+    assert found == [(2, (2, 2), (3, 0))]
