@@ -2,7 +2,7 @@
 
 A file stream says that something came; as it does not tell of files that went, each batch also compares the names and times below the root
 with the manifest of what was read. A change of documents is a set of (corpus, book) keys: the old rows of those keys go and new ones come, by dynamic
-partition overwrite; a book without rows in a table loses its partition. A change of a corpus's configuration that its index depends on (whether it is
+partition overwrite of the buckets that hold them; a bucket without rows in a table goes. A change of a corpus's configuration that its index depends on (whether it is
 indexed, its ignored words, the scripts of its languages) makes its postings anew from the stored nodes. A full rebuild gives the same tables.
 
 The manifest and the configurations are one small file, moved into place when the tables are written, so that an update that fails is done again.
@@ -151,11 +151,9 @@ class Maintainer:
         return read_snapshot(self.spark, self.store)[0].where(F.concat_ws("/", "corpus_id", "book_ord").isin([f"{c}/{b}" for c, b in keys]))
 
     def put(self, table: str, rows: DataFrame, keys: set[Key]) -> None:
-        """Rows in place of those of the keys; keys without new rows lose their partition."""
-        replace_books(self.store, table, rows)
-        there = {(r[0], r[1]) for r in rows.select("corpus_id", "book_ord").distinct().collect()}
-        for corpus, book in keys - there:
-            self.tables_at.delete(f"{table}/corpus_id={corpus}/book_ord={book}")
+        """Rows in place of those of the keys; keys without new rows lose theirs."""
+        for bucket in replace_books(self.store, table, rows, keys):
+            self.tables_at.delete(f"{table}/bucket={bucket}")
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
         n, p, _ = read_snapshot(self.spark, self.store)
