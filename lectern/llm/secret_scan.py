@@ -7,7 +7,7 @@ characters is parted at its '=' and at the sensitive words it holds, so that in
 characters); a run without such a part is measured whole.
 
 Novelty is the number of bytes that zstandard adds for the candidate, over its length. The compressor is primed with dictionaries (names and values
-usual in configuration and code, words of names, ordinary prose, and the words that several documents of a bounded sample of the corpus hold, so that no
+usual in configuration and code, words of names, ordinary prose, and the words that several documents of the corpus, and a share of all, hold, so that no
 single document's secret is in them) and has then read the surrounding text, AROUND characters on either side, in a block of its own. Words of names, and what
 stands nearby already, are matches and cost little; a random string has no match and costs its length or more. All is in lower case, as a
 name written in another case is the same name, while a random string stays without a match. Candidates at or above the threshold that touch no span
@@ -22,6 +22,7 @@ Memory is that of one Arrow batch and the dictionary.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
@@ -52,8 +53,8 @@ PARTING = re.compile(rf"=+(?=[^=])|[_\-]*(?:{CONTEXT.pattern})[_/\-]*", re.IGNOR
 REACH, AROUND, NOVELTY = 48, 512, 1.0
 #: Bytes of a block of the compressor.
 SLICE = 48
-#: The bound of the sample that the dictionary's corpus words come from, in rows; the documents that must hold a word; the words taken.
-SAMPLE, WORD_DOCS, MAX_WORDS = 1000, 3, 4000
+#: The rows that must hold a word of the dictionary, at least and as a share of all; the words taken.
+WORD_DOCS, WORD_SHARE, MAX_WORDS = 3, 0.003, 4000
 #: What stands between candidates of one block, and the head and end of a private key.
 BETWEEN = re.compile(r"[\W_]*")
 KEY_HEAD, KEY_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----"), "-----END "
@@ -208,15 +209,17 @@ def scan_text(text: str | None, novelty, threshold: float = NOVELTY) -> list[tup
 
 
 def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The words of the dictionary that come from the corpus, the most frequent first: runs of 3 to 15 letters, parted at changes of case, that WORD_DOCS of the SAMPLE rows of the least hash hold."""
-    hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    last = [r[0] for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()][-1:]
-    if not last:
-        return []
-    sample = hashed.where(F.col("h") <= last[0]).groupBy("h").agg(F.min("text").alias("text"))
+    """The words of the dictionary that come from the corpus, the most frequent first: runs of 3 to 15 letters, parted at changes of case, that WORD_DOCS rows of any, and WORD_SHARE of all, hold. Rows that repeat count once."""
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    counted = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    there = counted.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    least = max(WORD_DOCS, math.ceil(there * WORD_SHARE))
+    # eight bytes for each row that repeats whole, its id too, which are few; so no text is shuffled but theirs
+    twice = F.broadcast(counted.where("n > 1").select("h"))
+    once = rows.join(twice, "h", "left_anti").unionByName(rows.join(twice, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")))
     word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{2,14}|[A-Z]{3,15}"), F.lit(0)), F.lower)))
-    counted = sample.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_DOCS)
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
+    held = once.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return [r["word"] for r in held.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NOVELTY) -> DataFrame:

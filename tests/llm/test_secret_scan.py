@@ -191,3 +191,13 @@ def test_strings_without_digits_or_letters():
             assert s.scan_text(f"the credential of the service is {key} for now", novelty) == [(33, 3, 33 + n)], key
     for name in ("get_user_password_from_database", "internationalization", "ABSTRACT_BASE_FACTORY", "authenticationProviderManager", "0000000000000000", "----------------"):
         assert s.scan_text(f"the credential of the service is {name} for the user and the base of the data", novelty) == [], name
+
+
+def test_the_dictionary_is_counted_over_all_rows(spark):
+    """Words that just enough rows hold, and words that one row too few holds; a row that comes fifty times is one."""
+    letters = lambda i: chr(97 + i) * 3
+    rows = [(i, "none " + " ".join([f"enough{letters(j)}" for j in range(20) if (i + j) % 300 < 9 and i < 300] + [f"fewer{letters(j)}" for j in range(20) if (i + j) % 300 < 8 and i < 300])) for i in range(2951)]
+    rows += [(9000, "repeated " + " ".join(f"fewer{letters(j)[:2]}" for j in range(3)))] * 50
+    found = s.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == ["none", *(f"enough{letters(j)}" for j in range(20))]
+    assert s.corpus_words(spark.createDataFrame([], "doc_id long, text string")) == []
