@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterable
 
 import regex
 from pyspark.sql import Column
@@ -90,6 +91,14 @@ def lemma_column(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(c))
 
 
+def may_hold(c: Column, asked: Iterable[str]) -> Column:
+    """False only for texts without a word of these lemmas, found without cutting them: a word in ASCII is its lemma but for case, and others are in no ASCII text."""
+    out = c.rlike(r"[^\x00-\x7F]")
+    for w in sorted(set(asked)):
+        out = out | F.lower(c).contains(w)
+    return out
+
+
 def word_array(c: Column) -> Column:
     """The lemmas of the words of a text, in the JVM."""
     return F.transform(surface_array(c), lemma_column)

@@ -5,10 +5,12 @@ Everything here stays in the JVM, without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import lemma_column, sentence_array, surface_array
+from ..functions.tokens import lemma_column, may_hold, sentence_array, surface_array
 from ..operators.index import token_rows
 
 #: Lines of a document that a segment number has room for.
@@ -28,22 +30,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
-def sentences(documents: DataFrame) -> DataFrame:
-    """corpus_id, book_ord, chapter, v_first, v_last, segment, text of each sentence."""
-    documents = spread(documents.select("lang", "doc_id", "text"))
+def sentences(documents: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+    """corpus_id, book_ord, chapter, v_first, v_last, segment, text of each sentence. words: texts, lines and sentences that cannot hold any of these lemmas are passed over."""
+    some = lambda df, c: df if words is None else df.where(may_hold(F.col(c), words))
+    documents = some(spread(documents.select("lang", "doc_id", "text")), "text")
     lines = documents.select(F.col("lang").alias("corpus_id"), F.col("doc_id").alias("book_ord"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "line"))
-    each = lines.select("corpus_id", "book_ord", (F.col("l") + 1).alias("chapter"), F.posexplode(sentence_array(F.col("line"))).alias("s", "text"))
+    each = some(lines, "line").select("corpus_id", "book_ord", (F.col("l") + 1).alias("chapter"), F.posexplode(sentence_array(F.col("line"))).alias("s", "text"))
     verse = F.col("s") + 1
-    return each.select("corpus_id", "book_ord", "chapter", verse.alias("v_first"), verse.alias("v_last"), (F.col("chapter").cast("long") * ROOM + verse).alias("segment"), "text")
+    return some(each, "text").select("corpus_id", "book_ord", "chapter", verse.alias("v_first"), verse.alias("v_last"), (F.col("chapter").cast("long") * ROOM + verse).alias("segment"), "text")
 
 
 CARRY = ("corpus_id", "book_ord", "chapter", "v_first", "v_last", "segment")
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """The postings of the documents, without places in the sentence."""
-    tokens = sentences(documents).select(*CARRY, F.posexplode(surface_array(F.col("text"))).alias("pos", "surface"))
-    return tokens.withColumn("lemma", lemma_column(F.col("surface")))
+def postings(documents: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+    """The postings of the documents, without places in the sentence; of some lemmas only, if words are given."""
+    tokens = sentences(documents, words).select(*CARRY, F.posexplode(surface_array(F.col("text"))).alias("pos", "surface"))
+    out = tokens.withColumn("lemma", lemma_column(F.col("surface")))
+    return out if words is None else out.where(F.col("lemma").isin(*words))
 
 
 def placed_postings(some: DataFrame) -> DataFrame:

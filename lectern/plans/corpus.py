@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import load
 from ..functions.tokens import sentence_array
 from ..operators import nodes as node_ops
-from ..session import scratch
+from ..session import stored
 from .adapter import spread, table
 
 BOOKS, MOST = 66, 255
@@ -86,13 +86,7 @@ def parsed(spark: SparkSession, sf_dir: str, corpus: Column | None = None) -> Da
 
 def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the documents, which are parsed and placed once, and stored: what follows reads them several times."""
-    return _stored(spark, node_ops.nodes(parsed(spark, sf_dir)))
-
-
-def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    folder = scratch(spark)
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    return stored(node_ops.nodes(parsed(spark, sf_dir)))
 
 
 #: The same in SQL: documents (d), lines (l), sentences (s) and words (w) with their numbers.

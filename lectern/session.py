@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lectern", **conf: str) -> SparkSession:
@@ -36,6 +36,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written once to a folder of their own: what is read several times is worked out once, and joins know its size."""
+    folder = scratch(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

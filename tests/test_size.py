@@ -31,3 +31,36 @@ def test_nodes_are_read_and_shuffled_once(spark, tmp_path):
     chosen = node_ops.books_of(parsed).where("not ignored").count()
     assert n.where("type = 'book'").count() == chosen == 3
     assert n.groupBy("corpus_id", "book_ord").agg((F.max("seq") + 1 == F.count(F.lit(1))).alias("whole")).where("not whole").count() == 0
+
+
+def test_texts_without_the_words_are_told_without_cutting_them(spark):
+    """Nothing that holds a word is passed over, whatever its case and marks."""
+    from lectern.functions.tokens import lemmas, may_hold
+
+    texts = ["The end", "nothing of it", "THÉ", "für", "fur", "FUR.", "other", "K", "k", "t h e", "", "ünd", "there"]
+    asked = ["the", "fur", "k"]
+    got = {r["text"]: r["held"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", may_hold(F.col("text"), asked).alias("held")).collect()}
+    assert all(got[t] for t in texts if set(lemmas(t)) & set(asked))
+    assert not any(got[t] for t in ("nothing of it", "t h e", ""))
+
+
+def test_searches_cut_texts_into_words_once(spark):
+    """What hits and rules read twice is stored; rules that are few reach the places without a shuffle of the places by key."""
+    from lectern.plans.queries import QUERIES
+
+    for name in ("search_page", "search_total", "interval_rules_of_orders", "footnote_single_word", "footnote_phrase_rules"):
+        assert "documents.parquet" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    assert "Exchange" not in plan(QUERIES["highlight_pieces"](spark, "/root/testdata/sf0.001")).replace("Exchange RoundRobin", "")
+
+
+def test_places_are_asked_for_at_the_lengths_of_the_rules_only(spark):
+    """Rules of two books in a row have no longer pieces than that, however far numbers reach."""
+    from lectern.operators import intervals
+
+    ref = "struct<book_ord: long, chapter: int, v_first: int, v_last: int>"
+    rules = spark.createDataFrame([("a", (10**6, 0, 0, 0), (10**6 + 2, 0, 0, 0), 0, "x")], f"lemma string, low {ref}, high {ref}, priority int, note string")
+    rows = spark.createDataFrame([("a", 10**6 + k, 1, 1, 1) for k in range(4)], "lemma string, book_ord long, chapter int, v_first int, v_last int")
+    held = intervals.holding(rows, rules, ["lemma"])
+    assert sorted(r["book_ord"] for r in held.collect()) == [10**6, 10**6 + 1]
+    asked = intervals.lookup(rules, ["lemma"], intervals.tops_of(rules)).select("axis", "level").distinct().count()
+    assert asked < 10 and held._jdf.queryExecution().optimizedPlan().toString().count("shiftright") <= asked
