@@ -3,7 +3,7 @@
 A reference is four whole numbers (book, chapter, first and last verse), compared one after another. A rule's span falls into at most seven ranges of one number under equal
 numbers before it, and a range into pieces: aligned stretches of a power of two, two of each length at most. A place lies in one piece of each length, so that rules and places
 meet by equal keys, without a comparison of ranges. Of a piece only the rule of the highest priority can hold, so each key has one row on the rules' side, and a
-place never meets more rows than there are lengths. Numbers beyond all that rules name are alike, which bounds the lengths. Nothing is broadcast by hand: the join picks its way by
+place never meets more rows than there are lengths; lengths that no rule has are not asked for. Numbers beyond all that rules name are alike, which bounds the lengths. Nothing is broadcast by hand: the join picks its way by
 sizes, and the adaptive join splits a key that many places have.
 
 Defined results: a span whose low end is above its high end holds nowhere; a rule or place with a null number takes no part; numbers run from 0 to 2^31 - 1, and a
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 AXES = ("book_ord", "chapter", "v_first", "v_last")
 BITS = 31
 TOP = (1 << BITS) - 1
@@ -88,13 +90,17 @@ def lookup(rules: DataFrame, on: list[str], tops: list[int]) -> DataFrame:
 def holding(rows: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
     """rows (on, AXES, and more) with priority and note of the rule that holds there; rows without a rule go.
 
-    on: what a rule and a row must have in common, such as a lemma.
+    on: what a rule and a row must have in common, such as a lemma. Rows that share it with a rule are stored, as they are read twice; so are the pieces of the rules, whose levels are the
+    only ones that places are asked at.
     """
     tops = tops_of(rules)
     values = [F.least(F.col(c).cast("long"), F.lit(top)) for c, top in zip(AXES, tops, strict=True)]
-    keys = [F.struct(F.lit(axis).alias("axis"), F.lit(level).alias("level"), *_heads(values, axis), F.shiftright(values[axis], level).alias("piece")) for axis in range(4) for level in range(tops[axis].bit_length() + 1)]
-    some = rows.join(rules.select(*on).distinct(), on, "left_semi")
+    pieces = stored(lookup(rules, on, tops))
+    # at most 32 levels of four axes
+    levels = sorted((r["axis"], r["level"]) for r in pieces.select("axis", "level").distinct().collect())
+    keys = [F.struct(F.lit(axis).alias("axis"), F.lit(level).alias("level"), *_heads(values, axis), F.shiftright(values[axis], level).alias("piece")) for axis, level in levels or [(0, 0)]]
+    some = stored(rows.join(stored(pieces.select(*on).distinct()), on, "left_semi"))
     places = some.select(*on, *AXES).distinct()
-    met = places.select("*", F.inline(F.array(*keys))).join(lookup(rules, on, tops), [*on, *KEY])
+    met = places.select("*", F.inline(F.array(*keys))).join(pieces, [*on, *KEY])
     best = met.groupBy(*on, *AXES).agg(F.max("best").alias("best"))
     return some.join(best, [*on, *AXES]).withColumns({"priority": F.col("best.priority"), "note": F.col("best.note")}).drop("best")

@@ -69,6 +69,6 @@ def notes(found: DataFrame, rules: DataFrame, within: list[str], order: list[str
 
     A phrase without a rule at its place hides the shorter ones in it, as it was told.
     """
-    each = holding(found, rules, ["phrase"])
+    each = holding(found.select(*dict.fromkeys([*within, "phrase", *AXES, *order])), rules, ["phrase"])
     first = each.groupBy(*within, "phrase", "note").agg(F.min(F.struct(*order, *[c for c in AXES if c not in order and c not in within])).alias("at"))
     return first.select(*within, "phrase", "note", "at.*")
