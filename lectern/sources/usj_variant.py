@@ -46,23 +46,28 @@ def digits(c: Column) -> Column:
     """A number from 1 to 255 in digits, those of other forms (circled, raised) among them; else null."""
     one = {k: v for k, v in PLAIN.items() if len(v) == 1}
     several = {k: v for k, v in PLAIN.items() if len(v) > 1}
-    spread = c
-    for k, v in several.items():
-        spread = F.replace(spread, F.lit(k), F.lit(v))
-    whole = F.when(c.rlike(f"[{''.join(several)}]"), spread).otherwise(c)
-    plain = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(whole, "".join(one), "".join(one.values()))).otherwise(c)
-    bare = F.regexp_extract(plain, r"^0*([0-9]{1,3})$", 1)
-    n = F.when(bare != "", bare.cast("int"))
-    return F.when(n.between(1, 255), n)
+
+    def of(c: Column) -> Column:
+        spread = c
+        for k, v in several.items():
+            spread = F.replace(spread, F.lit(k), F.lit(v))
+        whole = F.when(c.rlike(f"[{''.join(several)}]"), spread).otherwise(c)
+        plain = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(whole, "".join(one), "".join(one.values()))).otherwise(c)
+        n = F.regexp_extract(plain, r"^0*([0-9]{1,3})$", 1).try_cast("int")
+        return let(n, lambda n: F.when(n.between(1, 255), n))
+
+    return let(c, of)
 
 
 def verse_range(c: Column) -> Column:
     """(first, last) of `5` or `5-7`, each possibly null; letters around the numbers are dropped."""
     bare = lambda s: digits(F.regexp_extract(s, f"(?s)({NUMERAL}.*{NUMERAL}|{NUMERAL})", 1))
-    parts = F.split(c, "-", 2)
-    first = bare(parts[0])
-    last = F.when(F.size(parts) > 1, bare(F.get(parts, F.lit(1)))).otherwise(first)
-    return let(F.struct(first.alias("first"), last.alias("last")), lambda r: F.when(r["first"] <= r["last"], r))
+
+    def of(parts: Column) -> Column:
+        both = lambda first: F.struct(first.alias("first"), F.when(F.size(parts) > 1, bare(F.get(parts, F.lit(1)))).otherwise(first).alias("last"))
+        return let(let(bare(parts[0]), both), lambda r: F.when(r["first"] <= r["last"], r))
+
+    return let(F.split(c, "-", 2), of)
 
 
 def parse_marker(c: Column) -> Column:
@@ -121,7 +126,7 @@ def _facts(n: Column) -> Column:
     def of(x: Column) -> Column:
         node, s, text = x["node"], x["s"], x["text"]
         kind = F.when(text.isNotNull(), "text").otherwise(s["type"])
-        base = F.regexp_replace(s["marker"], "[0-9]+$", "")
+        base = F.rtrim(s["marker"], F.lit("0123456789"))
         span = F.when(kind == "verse", verse_range(s["number"])).when(kind == "chapter", let(digits(s["number"]), lambda n: F.struct(n.alias("first"), n.alias("last"))))
         attrs = F.transform_values(F.map_filter(node, lambda k, _: ~k.isin(*KNOWN)), lambda _, a: F.when(F.substring(F.to_json(a), 1, 1) == '"', a.cast("string")).otherwise(F.to_json(a)))
         return F.struct(
@@ -132,13 +137,13 @@ def _facts(n: Column) -> Column:
         )
 
     # a text is a string; what is neither that nor an object has no type, which is a fault
-    node = v.try_cast("map<string,variant>")
-    text = let(F.when(node.isNull() & (F.size(path) > 0), F.to_json(v)), lambda j: F.when(F.substring(j, 1, 1) == '"', v.cast("string")))
-    return let(F.struct(node.alias("node"), F.try_variant_get(v, "$", shape).alias("s"), text.alias("text")), of)
+    text = lambda node: let(F.when(node.isNull() & (F.size(path) > 0), F.to_json(v)), lambda j: F.when(F.substring(j, 1, 1) == '"', v.cast("string")))
+    parted = lambda node: F.struct(node.alias("node"), F.try_variant_get(v, "$", shape).alias("s"), text(node).alias("text"))
+    return let(let(v.try_cast("map<string,variant>"), parted), of)
 
 
 def _title(kind: Column, marker: Column) -> Column:
-    return F.coalesce((kind == "para") & F.regexp_replace(marker, "[0-9]+$", "").isin(*TITLES), F.lit(False))
+    return F.coalesce((kind == "para") & F.rtrim(marker, F.lit("0123456789")).isin(*TITLES), F.lit(False))
 
 
 NODE = "struct<path: array<int>, v: variant, indexed: boolean, in_para: boolean>"
@@ -182,13 +187,15 @@ def parse_trees(files: DataFrame) -> DataFrame:
     """JSON files (corpus_id, path, text) as the rows of nodes.parse_files: node rows, or one error for a file that cannot be read."""
     parsed = files.select("corpus_id", F.col("path").alias("path_name"), F.try_parse_json("text").alias("tree"))
     walked = parsed.select("corpus_id", "path_name", F.when(F.col("tree").isNotNull(), _nodes(F.col("tree"))).alias("nodes"))
-    order = lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
-    facts = walked.select("corpus_id", "path_name", F.transform(F.array_sort("nodes", order), _facts).alias("rows"))
+    # a VARIANT has no order, so that paths are sorted with the places of their nodes
+    in_order = F.array_sort(F.transform("nodes", lambda n, i: F.struct(n["path"].alias("path"), i.alias("at"))))
+    facts = walked.select("corpus_id", "path_name", F.transform(in_order, lambda x: let(F.get("nodes", x["at"]), _facts)).alias("rows"))
     fault = F.when(F.col("rows").isNull(), "the file is no JSON").otherwise(F.get(F.filter("rows", lambda r: r["fault"].isNotNull()), F.lit(0))["fault"])
     code = F.get(F.filter("rows", lambda r: r["type"] == "book"), F.lit(0))["code"]
     told = facts.select("corpus_id", "path_name", fault.alias("fault"), code.alias("code_found"), "rows")
     fine = F.col("fault").isNull()
-    lasts = _lasts(F.transform("rows", lambda r: r["depth"]))
+    # worked out once, not for each node again
+    lasts = let(F.transform("rows", lambda r: r["depth"]), _lasts)
     told = told.select("corpus_id", "path_name", "fault", F.when(fine, F.col("code_found")).alias("code_found"), F.when(fine, F.arrays_zip(F.col("rows").alias("r"), lasts.alias("last"))).alias("rows"))
     each = told.select("corpus_id", "path_name", "code_found", "fault", F.posexplode_outer("rows").alias("seq", "row"))
     places = {"seq": F.col("seq"), "last": F.col("row.last")}
