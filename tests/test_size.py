@@ -78,3 +78,20 @@ def test_a_long_tree_is_walked_in_proportion(spark):
     rows = parse_trees(files).agg(F.count(F.lit(1)), F.max("seq"), F.max("last")).first()
     assert tuple(rows) == (12003, 12002, 12002)
     assert time.time() - began < 30
+
+
+def test_placed_nodes_are_those_of_the_shuffle(spark, tmp_path):
+    """Chapters and verses that hold are told where a file is read, so that its nodes are not shuffled; a row a file tells which files count."""
+    two = '{"type":"USJ","version":"3.1","content":[{"type":"para","marker":"p","content":[{"type":"verse","marker":"v","number":"9"},"before"]},{"type":"book","marker":"id","code":"LEV","content":["about"]},{"type":"book","marker":"id","code":"RUT"}]}'
+    files = [("a", "2.usj", "usj", usj("GEN", 7)), ("a", "1.usj", "usj", usj("GEN", 1, 2)), ("a", "3.usj", "usj", two), ("b", "8.usj", "usj", usj("???", 5)), ("b", "0.usj", "usj", "{")]
+    files += [("b", "9.usfm", "usfm", "\\id EXO Two\n\\h Name\n\\p\n\\v 3 early\n\\c 1\n\\s1 Head\n\\p\n\\v 1-2 one\\f + \\ft two\\f*\n\\q1\n\\v 3 three\n\\nonsense x\n\\c 2\n\\p\n\\v 1 four"), (None, "7.usj", "usj", usj("RUT", 1))]
+    given = spark.createDataFrame(files, "corpus_id string, path string, kind string, text string")
+    node_ops.parse_placed(given).write.parquet(str(tmp_path / "placed"))
+    placed = node_ops.placed_nodes(spark.read.parquet(str(tmp_path / "placed")))
+    assert "Exchange hashpartitioning" not in plan(placed)
+    n = node_ops.nodes(node_ops.parse_files(given))
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(placed) == rows(n) and len(rows(n)) > 20 and set(placed.columns) == set(n.columns)
+    by = lambda df: sorted(map(str, df.select("corpus_id", "path_name", "code_found", "book_ord", "ignored").collect()))
+    assert by(node_ops.books_of(node_ops.parse_books(given))) == by(node_ops.books_of(node_ops.parse_files(given)))
+    assert node_ops.parse_books(given).count() == len(files)
