@@ -95,3 +95,17 @@ def test_placed_nodes_are_those_of_the_shuffle(spark, tmp_path):
     by = lambda df: sorted(map(str, df.select("corpus_id", "path_name", "code_found", "book_ord", "ignored").collect()))
     assert by(node_ops.books_of(node_ops.parse_books(given))) == by(node_ops.books_of(node_ops.parse_files(given)))
     assert node_ops.parse_books(given).count() == len(files)
+
+
+def test_names_and_descriptions_meet_few_texts(spark, tmp_path):
+    """Texts are joined by their places and those of verses are passed over; a book that does not describe itself stays."""
+    text = "\\id GEN About it\n\\h Name\n\\toc1 Long\n\\c 1\n\\p\n\\v 1 one\n\\h Late\n\\v 2 two"
+    bare = '{"type":"USJ","version":"3.1","content":[{"type":"book","marker":"id","code":"EXO"},{"type":"chapter","marker":"c","number":"1"},{"type":"para","marker":"p","content":["text"]}]}'
+    files = spark.createDataFrame([("a", "1.usfm", "usfm", text), ("a", "2.usj", "usj", bare)], "corpus_id string, path string, kind string, text string")
+    node_ops.nodes(node_ops.parse_files(files)).write.parquet(str(tmp_path / "n"))
+    n = spark.read.parquet(str(tmp_path / "n"))
+    info = node_ops.book_info(n)
+    assert sorted(map(tuple, info.select("code", "description").collect())) == [("EXO", None), ("GEN", "About it")]
+    named = node_ops.translated_book_info(n)
+    assert [(r["running_header"], r["long"]) for r in named.collect()] == [("Name", "Long")]
+    assert "(in_para" in plan(info) and "isnull(chapter" in plan(named)
