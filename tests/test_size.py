@@ -109,3 +109,22 @@ def test_names_and_descriptions_meet_few_texts(spark, tmp_path):
     named = node_ops.translated_book_info(n)
     assert [(r["running_header"], r["long"]) for r in named.collect()] == [("Name", "Long")]
     assert "(in_para" in plan(info) and "isnull(chapter" in plan(named)
+
+
+def test_a_vocabulary_is_counted_without_sorting_postings(spark):
+    """Places of all sizes compare as they are, and words numbered through a document are those of its sentences."""
+    import re
+
+    from lectern.operators import index
+    from lectern.plans.adapter import document_words, postings
+
+    top, big = 2**63 - 1, 2**31 - 1
+    rows = [("c", "a", "A1", top, 0, 0), ("c", "a", "A2", -top - 1, big, big), ("c", "a", "A3", -top - 1, big, big - 1), ("c", "a", "a", -top - 1, 0, 0), ("c", "b", "B1", top, big, big), ("c", "b", "B2", top, big - 1, big), ("d", "b", "b", 0, 0, 0)]
+    p = spark.createDataFrame(rows, "corpus_id string, lemma string, surface string, book_ord long, segment int, pos int")
+    v = index.vocabulary(p)
+    assert sorted(map(tuple, v.select("corpus_id", "lemma", "total", "name").collect())) == [("c", "a", 4, "A3"), ("c", "b", 2, "B2"), ("d", "b", 1, "b")]
+    assert re.search(r"HashAggregate\(keys=\[corpus_id#\d+, lemma#\d+, surface#\d+\], functions=\[partial_count", plan(v))
+    texts = ["One two. Three?!four\n\n...five 5,6\r\nÄpfel été ́x. .y", "", None, "漢字 kana. ไทย\n字。a b!c"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    ordered = lambda df, *by: [(r["book_ord"], r["surface"], r["lemma"]) for r in df.orderBy("book_ord", *by).collect()]
+    assert ordered(document_words(docs), "pos") == ordered(postings(docs), "segment", "pos") != []
