@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.catalog import Catalog, load
-from ..session import stored
+from ..session import small_batches, stored
 from ..sources.usfm import read_usfm
 from ..sources.usj import NODE_FIELDS, Columns, DocumentError, books_in, read_json
 from ..sources.usj_variant import parse_trees
@@ -45,6 +45,7 @@ def parse_books(files: DataFrame) -> DataFrame:
 
 def _read(files: DataFrame, fields: str) -> DataFrame:
     schema = to_arrow_schema(T._parse_datatype_string(fields))
+    small_batches(files.sparkSession)
     return files.mapInArrow(lambda batches: read_batches(batches, schema), fields)
 
 

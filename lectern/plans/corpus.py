@@ -44,10 +44,14 @@ def _verses(sentences: Column, first: int) -> Column:
 
 
 def _chapter(line: Column, i: Column) -> Column:
-    s = sentence_array(line)
     start = F.concat(F.lit('{"type":"chapter","marker":"c","number":"'), _number(i), F.lit('"},'))
-    parted = F.concat(_para("p", _verses(F.slice(s, 1, 3), 0)), F.lit(","), _para("s1", F.lit('"Heading"')), F.lit(","), _para("p", _verses(F.slice(s, 4, F.greatest(F.size(s), F.lit(1))), 3)))
-    return F.concat(start, F.when(((i + 1) % 3 == 0) & (F.size(s) > 3), parted).otherwise(_para("p", _verses(s, 0))))
+
+    def paras(s: Column) -> Column:
+        parted = F.concat(_para("p", _verses(F.slice(s, 1, 3), 0)), F.lit(","), _para("s1", F.lit('"Heading"')), F.lit(","), _para("p", _verses(F.slice(s, 4, F.greatest(F.size(s), F.lit(1))), 3)))
+        return F.when(((i + 1) % 3 == 0) & (F.size(s) > 3), parted).otherwise(_para("p", _verses(s, 0)))
+
+    # a variable: the line is cut into sentences once, not for each use of them
+    return F.concat(start, F.transform(F.array(sentence_array(line)), paras)[0])
 
 
 def files(documents: DataFrame, corpus: Column) -> DataFrame:

@@ -24,6 +24,15 @@ def session(app: str = "lectern", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch. Spark's own limit is 64 MB, of which a task holds a batch several times: in vectors that double as they grow, in the stream to the worker, and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers are bounded by bytes: files are long rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir. Only a local session, one process, may use a temporary folder without it."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -128,3 +128,17 @@ def test_a_vocabulary_is_counted_without_sorting_postings(spark):
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     ordered = lambda df, *by: [(r["book_ord"], r["surface"], r["lemma"]) for r in df.orderBy("book_ord", *by).collect()]
     assert ordered(document_words(docs), "pos") == ordered(postings(docs), "segment", "pos") != []
+
+
+def test_files_reach_workers_in_small_batches(spark):
+    """A batch of files is bounded by bytes, not by 10,000 rows or 64 MB: a task holds it several times."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files = spark.range(200, numPartitions=1).select(F.lit("a").alias("corpus_id"), F.col("id").cast("string").alias("path"), F.lit("usj").alias("kind"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert node_ops.parse_books(files).count() == 200
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.nbytes]})
+
+    got = [r["n"] for r in files.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 6_000_000
