@@ -142,3 +142,19 @@ def test_files_reach_workers_in_small_batches(spark):
 
     got = [r["n"] for r in files.mapInArrow(sizes, "n long").collect()]
     assert sum(got) > 20_000_000 and max(got) < 6_000_000
+
+
+def test_only_marks_and_their_texts_meet_the_windows_of_segments(spark, tmp_path):
+    """Notes, paragraphs and the rest are left out where nodes are read, and marks are counted in one order."""
+    from lectern.operators import index
+    from lectern.plans.queries import QUERIES
+
+    text = "\\id GEN About it\n\\c 1\n\\p\n\\v 1 one\\f + \\ft note\\f* more\n\\v 2 two\n\\s1 Head\n\\p\n\\v 2 again\n\\q1 on"
+    files = spark.createDataFrame([("a", "1.usfm", "usfm", text)], "corpus_id string, path string, kind string, text string")
+    node_ops.nodes(node_ops.parse_files(files)).write.parquet(str(tmp_path / "n"))
+    segs = index.segments(spark.read.parquet(str(tmp_path / "n")))
+    assert sorted((r["v_first"], r["text"].strip()) for r in segs.collect()) == [(1, "one more"), (2, "again"), (2, "on"), (2, "two")]
+    scans = [x for x in plan(segs).splitlines() if "FileScan" in x]
+    assert scans and all("(type#" in x.split("DataFilters:")[1] for x in scans)
+    p = plan(QUERIES["segment_text"](spark, "/root/testdata/sf0.001"))
+    assert "root_no" not in "".join(x for x in p.splitlines() if "Sort [" in x)
