@@ -3,8 +3,8 @@
 A reference is four whole numbers (book, chapter, first and last verse), compared one after another. A rule's span falls into at most seven ranges of one number under equal
 numbers before it, and a range into pieces: aligned stretches of a power of two, two of each length at most. A place lies in one piece of each length, so that rules and places
 meet by equal keys, without a comparison of ranges. Of a piece only the rule of the highest priority can hold, so each key has one row on the rules' side, and a
-place never meets more rows than there are lengths; lengths that no rule has are not asked for. Numbers beyond all that rules name are alike, which bounds the lengths. Nothing is broadcast by hand: the join picks its way by
-sizes, and the adaptive join splits a key that many places have.
+place never meets more rows than there are lengths; lengths that no rule has are not asked for. Numbers beyond all that rules name are alike, which bounds the lengths. What is stored and has many rows
+is never broadcast: its files hold a few bytes a row, by which Spark takes millions of rows for a small table. The adaptive join splits a key that many places have.
 
 Defined results: a span whose low end is above its high end holds nowhere; a rule or place with a null number takes no part; numbers run from 0 to 2^31 - 1, and a
 rule's beyond that are cut to them. Of rules of equal priority the greatest note wins.
@@ -21,6 +21,8 @@ AXES = ("book_ord", "chapter", "v_first", "v_last")
 BITS = 31
 TOP = (1 << BITS) - 1
 KEY = ("axis", "level", "head1", "head2", "head3", "piece")
+#: Stored rows that may go to all tasks: some 300 bytes each in memory.
+FEW = 50_000
 
 
 def _heads(values: list[Column], axis: int) -> list[Column]:
@@ -87,6 +89,11 @@ def lookup(rules: DataFrame, on: list[str], tops: list[int]) -> DataFrame:
     return pieces.groupBy(*on, *KEY).agg(F.max("rule").alias("best"))
 
 
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    """n stored rows, joined by a shuffle unless they are few."""
+    return rows if n <= FEW else rows.hint("merge")
+
+
 def holding(rows: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
     """rows (on, AXES, and more) with priority and note of the rule that holds there; rows without a rule go.
 
@@ -97,10 +104,11 @@ def holding(rows: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
     values = [F.least(F.col(c).cast("long"), F.lit(top)) for c, top in zip(AXES, tops, strict=True)]
     pieces = stored(lookup(rules, on, tops))
     # at most 32 levels of four axes
-    levels = sorted((r["axis"], r["level"]) for r in pieces.select("axis", "level").distinct().collect())
+    counts = {(r["axis"], r["level"]): r["n"] for r in pieces.groupBy("axis", "level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    levels = sorted(counts)
     keys = [F.struct(F.lit(axis).alias("axis"), F.lit(level).alias("level"), *_heads(values, axis), F.shiftright(values[axis], level).alias("piece")) for axis, level in levels or [(0, 0)]]
     some = stored(rows.join(stored(pieces.select(*on).distinct()), on, "left_semi"))
     places = some.select(*on, *AXES).distinct()
-    met = places.select("*", F.inline(F.array(*keys))).join(pieces, [*on, *KEY])
+    met = places.select("*", F.inline(F.array(*keys))).join(_bounded(pieces, sum(counts.values())), [*on, *KEY])
     best = met.groupBy(*on, *AXES).agg(F.max("best").alias("best"))
-    return some.join(best, [*on, *AXES]).withColumns({"priority": F.col("best.priority"), "note": F.col("best.note")}).drop("best")
+    return _bounded(some, some.count()).join(best, [*on, *AXES]).withColumns({"priority": F.col("best.priority"), "note": F.col("best.note")}).drop("best")

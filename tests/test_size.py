@@ -158,3 +158,20 @@ def test_only_marks_and_their_texts_meet_the_windows_of_segments(spark, tmp_path
     assert scans and all("(type#" in x.split("DataFilters:")[1] for x in scans)
     p = plan(QUERIES["segment_text"](spark, "/root/testdata/sf0.001"))
     assert "root_no" not in "".join(x for x in p.splitlines() if "Sort [" in x)
+
+
+def test_many_rules_and_rows_are_not_broadcast(spark):
+    """Stored rows are small on disk: some hundred thousands of them were sent to all tasks, and the driver had no memory for them."""
+    from lectern.operators import intervals
+
+    k = F.col("id")
+    end = lambda c, v: F.struct(c.alias("book_ord"), v.cast("int").alias("chapter"), v.cast("int").alias("v_first"), v.cast("int").alias("v_last"))
+    rules = lambda n: spark.range(n).select(F.lit("a").alias("lemma"), end(k, k % 3).alias("low"), end(k + 1, k % 5).alias("high"), k.alias("priority"), k.cast("string").alias("note"))
+    rows = lambda n: spark.range(n).select(F.lit("a").alias("lemma"), (k % 1000).alias("book_ord"), F.lit(1).alias("chapter"), F.lit(1).alias("v_first"), F.lit(1).alias("v_last"))
+    many = intervals.holding(rows(60_000), rules(20_000), ["lemma"])
+    joins = [x.strip(" +-:") for x in plan(many).splitlines() if "Join" in x and "LeftSemi" not in x]
+    assert len(joins) == 2 and all(x.startswith("SortMergeJoin") for x in joins), joins
+    few = intervals.holding(rows(1000), rules(100), ["lemma"])
+    assert "Inner, Build" in plan(few)
+    held = lambda df: {(r["book_ord"], r["note"]) for r in df.where("book_ord < 90").select("book_ord", "note").collect()}
+    assert held(many) == held(few) and len(held(few)) > 80
