@@ -175,3 +175,45 @@ def test_many_rules_and_rows_are_not_broadcast(spark):
     assert "Inner, Build" in plan(few)
     held = lambda df: {(r["book_ord"], r["note"]) for r in df.where("book_ord < 90").select("book_ord", "note").collect()}
     assert held(many) == held(few) and len(held(few)) > 80
+
+
+def test_a_snapshot_shuffles_segments_and_not_words(spark, tmp_path):
+    """Postings that are dealt to buckets are written where they are cut, with those of attributes, and scratch folders do not outlive their use."""
+    import os
+
+    from lectern.operators import index
+    from lectern.session import passing, stored
+    from lectern.sources.snapshot import deal, read_snapshot, write_snapshot
+
+    text = '\\id {} About it\n\\c 1\n\\p\n\\v 1 one\\f + \\ft note\\f* more\n\\v 2 \\w two|lemma="deux trois"\\w*\n\\p on'
+    files = [("a", "1.usfm", "usfm", text.format("GEN")), ("a", "2.usfm", "usfm", text.format("EXO")), ("b", "1.usfm", "usfm", text.format("GEN"))]
+    given = spark.createDataFrame(files, "corpus_id string, path string, kind string, text string")
+    with passing(spark):
+        n = stored(node_ops.nodes(node_ops.parse_files(given)))
+        folder = n.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        p = index.postings(n, deal=deal())
+        words = "".join(x for x in plan(p).splitlines() if x.startswith("   :"))  # the first branch of the union
+        assert words.count("Exchange hashpartitioning") == 1 and "hashpartitioning(bucket" in words
+        counts = write_snapshot(str(tmp_path / "s"), n, p, {})
+        _, got, _ = read_snapshot(spark, str(tmp_path / "s"))
+        rows = lambda df: sorted(str(r) for r in df.select(sorted(df.columns)).collect())
+        assert rows(got) == rows(index.postings(n)) and counts["words"] == len(rows(got)) > 9
+        assert got.where("from_attr").count() == 6
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_words_without_places_are_those_of_the_postings(spark):
+    """What adds up no offsets finds the same words, in every script, and numbers them alike."""
+    from lectern.operators import index
+
+    texts = ["One two. \u0301Three?!four", "...five 5,6 A\u0308pfel \u00e9te\u0301 \u0301x. .y", "\u6f22\u5b57 kana. \u0e44\u0e17\u0e22\u0e48 \u5b57\u0301a b!c", "\u30ab\u3099x\u0e48", "", "..."]
+    body = ",".join('{"type":"verse","marker":"v","number":"%d"},"%s"' % (i + 1, t) for i, t in enumerate(texts))  # noqa: UP031
+    tree = '{"type":"USJ","version":"3.1","content":[{"type":"book","marker":"id","code":"GEN"},{"type":"chapter","marker":"c","number":"1"},{"type":"para","marker":"p","content":[' + body + "]}]}"
+    files = spark.createDataFrame([("a", "1.usj", "usj", tree)], "corpus_id string, path string, kind string, text string")
+    n = node_ops.nodes(node_ops.parse_files(files)).cache()
+    columns = ["corpus_id", "lemma", *index.REF, "segment", "pos", "surface"]
+    rows = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    assert rows(index.words(n)) == rows(index.postings(n)) and len(rows(index.words(n))) > 20
+    assert "lambdafunction" not in plan(index.words(n)).split("Union")[1].split("SortMergeJoin")[0].split("Generate posexplode")[1].split("\n")[0]
