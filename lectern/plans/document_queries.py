@@ -13,7 +13,7 @@ from ..functions.references import Reference, parse_column
 from ..functions.tokens import lemma_column, lemmas, run_array, surface_array
 from ..operators import aliases, display, index, links, navigation, passages, search
 from ..operators import nodes as node_ops
-from ..session import passing, scratch, shuffles_dropped
+from ..session import passing, scratch, shuffles_dropped, stored
 from ..sources.snapshot import deal, read_snapshot, write_snapshot
 from ..sources.usj_variant import parse_marker, parse_trees, verse_range
 from .adapter import sentences, table
@@ -41,20 +41,12 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON trees walked in the JVM: chapters, verses and texts by depth, with the sums of their numbers and lengths."""
-    rows = parse_trees(files(table(spark, sf_dir, "documents"), sole())).where("seq is not null")
-    folder = scratch(spark)
-    rows.write.parquet(folder)
-    n = node_ops.with_coordinates(spark.read.schema(rows.schema).parquet(folder).join(_book_of_path(spark, sf_dir), ["corpus_id", "path_name"]))
+    n = node_ops.nodes(stored(parse_trees(files(table(spark, sf_dir, "documents"), sole()))))
     kept = n.where("type in ('chapter', 'verse') or type = 'text' and chapter is not null")
     number = F.when(F.col("type") == "text", F.length("text")).otherwise(F.col("number_first"))
     return kept.groupBy("corpus_id", "book_ord", "type", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("long").alias("total"))
 
 
-def _book_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(sole().alias("corpus_id"), F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".usj")).alias("path_name"), (F.col("doc_id") % 66).cast("int").alias("book_ord"))
-
-
 @query(
     "WITH d AS (SELECT string_split(translate(coalesce(text, ''), '\\|~/', ''), chr(10)) AS ls FROM documents), l AS (SELECT unnest(ls) AS line FROM d), s AS (SELECT unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS sentence FROM l) "
     "SELECT (SELECT count(*) FROM l) AS chapters, count(*) AS verses, CAST(sum(length(regexp_replace(sentence, '\\s', '', 'g'))) AS BIGINT) AS letters FROM s"

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markers import CELLS, CONTENT, TITLES
+from ..functions.markers import parse_marker as parse_one
 from .usj import INDEXED, KNOWN, NEEDS, NODE_FIELDS
 
 #: Levels of a tree that the walk is ready for; JSON itself is read to a thousand.
 DEPTH = 1000
+#: The same in folds of so many levels: a fold copies all it holds at each step, done or not, and most trees end in the first.
+FOLDS = (8, 24, 96, 384, 488)
 KEYS = ("type", "marker", "number", "altnumber", "pubnumber", "sid", "code", "caller", "category", "align")
 NAMES = [f.strip().split(" ")[0] for f in NODE_FIELDS.replace("map<string,string>", "map").split(",")]
 
@@ -40,6 +43,13 @@ def _numerals() -> tuple[str, dict[str, str]]:
 
 LETTERS, PLAIN = _numerals()
 NUMERAL = rf"[\p{{N}}{LETTERS}]"
+#: Numbers as nearly all are written; a sign before the end of a line is not among them.
+SIMPLE = r"^[0-9]{1,3}\z"
+
+
+def _number(c: Column) -> Column:
+    """A SIMPLE number from 1 to 255."""
+    return let(c.cast("int"), lambda n: F.when(n.between(1, 255), n))
 
 
 def digits(c: Column) -> Column:
@@ -54,7 +64,7 @@ def digits(c: Column) -> Column:
         whole = F.when(c.rlike(f"[{''.join(several)}]"), spread).otherwise(c)
         plain = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(whole, "".join(one), "".join(one.values()))).otherwise(c)
         n = F.regexp_extract(plain, r"^0*([0-9]{1,3})$", 1).try_cast("int")
-        return let(n, lambda n: F.when(n.between(1, 255), n))
+        return F.when(c.rlike(SIMPLE), _number(c)).otherwise(let(n, lambda n: F.when(n.between(1, 255), n)))
 
     return let(c, of)
 
@@ -67,7 +77,8 @@ def verse_range(c: Column) -> Column:
         both = lambda first: F.struct(first.alias("first"), F.when(F.size(parts) > 1, bare(F.get(parts, F.lit(1)))).otherwise(first).alias("last"))
         return let(let(bare(parts[0]), both), lambda r: F.when(r["first"] <= r["last"], r))
 
-    return let(F.split(c, "-", 2), of)
+    one = lambda n: F.when(n.isNotNull(), F.struct(n.alias("first"), n.alias("last")))
+    return F.when(c.rlike(SIMPLE), let(_number(c), one)).otherwise(let(F.split(c, "-", 2), of))
 
 
 def parse_marker(c: Column) -> Column:
@@ -93,9 +104,20 @@ def parse_marker(c: Column) -> Column:
     return let(F.struct(F.element_at(tops, part(1)).alias("top"), part(1).alias("base"), part(2).alias("number"), part(3).alias("second"), part(4).alias("side")), of)
 
 
+def _fine(marker: str) -> bool:
+    try:
+        return bool(parse_one(marker))
+    except ValueError:
+        return False
+
+
+#: Markers that are right as they stand: nearly all, which need not be taken apart.
+FINE = sorted(filter(_fine, (f"{m}{k or ''}" for m, top in CONTENT.items() for k in range(top + 1))))
+
+
 def marker_fault(c: Column) -> Column:
     """The message of markers.parse_marker for a marker that is none; null for one that is."""
-    return let(parse_marker(c), lambda m: F.when(m["error"].isNotNull(), F.concat(m["error"], F.lit(" marker '"), c, F.lit("'"))))
+    return F.when(~F.coalesce(c.isin(*FINE), F.lit(False)), let(parse_marker(c), lambda m: F.when(m["error"].isNotNull(), F.concat(m["error"], F.lit(" marker '"), c, F.lit("'")))))
 
 
 # The walk -------------------------------------------------------------------------------------------------------------
@@ -137,9 +159,13 @@ def _facts(n: Column) -> Column:
         )
 
     # a text is a string; what is neither that nor an object has no type, which is a fault
-    text = lambda node: let(F.when(node.isNull() & (F.size(path) > 0), F.to_json(v)), lambda j: F.when(F.substring(j, 1, 1) == '"', v.cast("string")))
-    parted = lambda node: F.struct(node.alias("node"), F.try_variant_get(v, "$", shape).alias("s"), text(node).alias("text"))
-    return let(let(v.try_cast("map<string,variant>"), parted), of)
+    text = F.when((F.size(path) > 0) & (F.schema_of_variant(v) == "STRING"), v.cast("string"))
+
+    def parted(t: Column) -> Column:
+        other = t.isNull()
+        return F.struct(F.when(other, v.try_cast("map<string,variant>")).alias("node"), F.when(other, F.try_variant_get(v, "$", shape)).alias("s"), t.alias("text"))
+
+    return let(let(text, parted), of)
 
 
 def _title(kind: Column, marker: Column) -> Column:
@@ -167,7 +193,11 @@ def _nodes(tree: Column) -> Column:
         return F.when(F.size(now) == 0, done).otherwise(F.struct(F.flatten(F.transform(now, children)).alias("now"), F.concat(done["all"], now).alias("all")))
 
     start = F.struct(F.array(root).cast(f"array<{NODE}>").alias("now"), F.array().cast(f"array<{NODE}>").alias("all"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, level, lambda done: done["all"])
+
+    def levels(done: Column, width: Column) -> Column:
+        return F.when(F.size(done["now"]) == 0, done).otherwise(F.aggregate(F.sequence(F.lit(1), width), done, level))
+
+    return F.aggregate(F.array(*map(F.lit, FOLDS)), start, levels, lambda done: done["all"])
 
 
 def _lasts(depths: Column) -> Column:

@@ -102,3 +102,18 @@ def test_ids(spark):
     for x in df.collect():
         want = markers.parse_sid(x["t"])
         assert (tuple(x["r"]) if x["r"] else None) == ((*want, markers.format_sid(*want)) if want else None), x
+
+
+def test_a_fold_of_levels_is_as_deep_as_json_is_read(spark):
+    """The walk copies what it holds at each step: a few steps for a tree of few levels, which took a thousand, and enough for the deepest one."""
+    import time
+
+    assert sum(uv.FOLDS) == uv.DEPTH and len(uv.FOLDS) + uv.FOLDS[0] < 20
+    deep = '{"type":"char","marker":"nd","content":[' * 450 + '"end"' + "]}" * 450
+    wide = ",".join(f'{{"type":"para","marker":"p","content":[{{"type":"verse","marker":"v","number":"{k % 200 + 1}"}},"text {k}"]}}' for k in range(20_000))
+    tree = lambda body: f'{{"type":"USJ","version":"3.1","content":[{{"type":"book","marker":"id","code":"GEN"}},{body}]}}'
+    files = spark.createDataFrame([("a", "1", tree(deep)), ("a", "2", tree(wide))], "corpus_id string, path string, text string").repartition(1)
+    began = time.time()
+    got = {r["path_name"]: (r["n"], r["deepest"], r["faults"]) for r in uv.parse_trees(files).groupBy("path_name").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"), F.count("message").alias("faults")).collect()}
+    assert got == {"1": (453, 451, 0), "2": (60_002, 2, 0)}
+    assert time.time() - began < 30
